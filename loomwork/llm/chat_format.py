@@ -2,7 +2,7 @@ r"""Chat formatting: a finite-state machine over roles, and a declarative templa
 
 Native: DataFrame functions only. A conversation is one array of turns; a fold over it
 runs the state machine, and another writes text segments, each with a loss flag. The whole
-formatted text and the spans under the loss mask (in code points) are the output.
+formatted text and its segments are the output.
 
 Template: a turn is OPEN + label + SEP + text + CLOSE. Within texts and labels every backslash is
 doubled, and a backslash is put after the first character of every control string. A
@@ -97,10 +97,9 @@ def _machine(turns: Column, t: Template) -> Column:
 
 
 def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
-    """(conv_id, n_turns, valid, bad_turn, segments, formatted, loss_spans), one row per conversation.
+    """(conv_id, n_turns, valid, bad_turn, segments, formatted), one row per conversation.
 
-    turns: conv_id, turn, role, text. segments: array of (text, loss), whose texts make up `formatted`;
-    loss_spans: array of (start, size) in code points of `formatted`, from 0.
+    turns: conv_id, turn, role, text. segments: array of (text, loss), whose texts make up `formatted`.
     """
     t = template
     rows = pick(turns, "conv_id", "turn", "role", "text").select(
@@ -118,20 +117,7 @@ def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
             ),
         )
     )
-    sizes = F.transform("segments", lambda s: F.length(s["text"]).cast("long"))
     chats = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _machine(F.col("turns"), t).alias("run"), segments.alias("segments"))
-    # spans: the starts are running sums, kept in one growing array by the fold
-    spans = F.aggregate(
-        F.zip_with("segments", sizes, lambda s, n: F.struct(n.alias("n"), s["loss"].alias("loss"))),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,size:bigint>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["n"]).alias("at"),
-            F.when(x["loss"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["n"].alias("size")))))
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
     return chats.select(
         "conv_id",
         "n_turns",
@@ -139,12 +125,11 @@ def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
         F.col("run.bad").alias("bad_turn"),
         "segments",
         F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
-        spans.alias("loss_spans"),
     )
 
 
 def read_chats(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
-    """(conv_id, turns, loss_text): the turns parsed from `formatted`, and the unescaped texts that loss_spans mark."""
+    """formatted with two more columns, (turns, loss_text): the turns parsed from `formatted`, and the unescaped texts of the segments under the loss."""
     t = template
     pieces = F.split("formatted", _quoted(t.close))
     pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))  # after the last close nothing is left
@@ -156,5 +141,5 @@ def read_chats(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
             unescape(F.substring(p, cut(p) + len(t.sep), F.length(p))).alias("text"),
         ),
     )
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["size"].cast("int"))))
-    return formatted.select("conv_id", turns.alias("turns"), F.array_join(loss, "").alias("loss_text"))
+    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
+    return formatted.withColumns({"turns": turns, "loss_text": F.array_join(loss, "")})
