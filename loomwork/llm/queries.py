@@ -44,6 +44,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.quality import score_quality, train
 
@@ -97,6 +103,22 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
 FROM d JOIN g USING (payload_digest)
 """
 
+SQL_OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+  coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM bi),
+sizes AS (SELECT DISTINCT size FROM bw),
+di AS (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+h AS (SELECT DISTINCT rid, i, di.size, item FROM di JOIN bw ON di.size = bw.size AND array_to_string(w[i:i + di.size - 1], ' ') = win),
+p AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS pos FROM (SELECT DISTINCT rid, i, size FROM h)) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)
+"""
+
 SQL_OP8 = r"""
 WITH r(rhost, rpath, rverdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
@@ -129,8 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mpeg_ts": op2_mpeg_ts,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_archive": SQL_OP1, "op8_url_filter": SQL_OP8, "op10_chat_format": SQL_OP10}
+ORACLE_SQL: dict[str, str] = {"op1_warc_archive": SQL_OP1, "op6_decontamination": SQL_OP6, "op8_url_filter": SQL_OP8, "op10_chat_format": SQL_OP10}
