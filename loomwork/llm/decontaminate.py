@@ -166,3 +166,12 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_rows: int =
         (F.size("spans") > 0).alias("contaminated"),
         "spans",
     )
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of documents, all columns, in which no window of the benchmark occurs."""
+    hits, _ = find_hits(documents, benchmark)
+    bad = stage(hits.where(F.col("at").isNotNull()).select(F.col("doc_id").alias("bad_id"), "digest").distinct(), "contaminated")
+    bad = small(bad)
+    same = documents["doc_id"].eqNullSafe(bad["bad_id"]) & F.md5(documents["text"]).eqNullSafe(bad["digest"])
+    return documents.join(bad, same, "left_anti")

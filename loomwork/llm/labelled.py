@@ -62,6 +62,12 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], column: st
     return docs.mapInArrow(run, schema)
 
 
+def filtered(docs: DataFrame, score: Callable[[list[str]], np.ndarray], keep: Callable) -> DataFrame:
+    """The rows of docs, all columns, whose score `keep` accepts."""
+    column = "score_" + "_" * max(len(c) for c in docs.columns)  # longer than any name there is
+    return scored(docs, score, column).where(keep(F.col(column))).drop(column)
+
+
 def verdicts(docs: DataFrame, score: Callable[[list[str]], np.ndarray], folds: int, fold: int, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
     out = scored(pick(docs, "doc_id", "text"), score)

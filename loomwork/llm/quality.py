@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from loomwork.llm.labelled import SAMPLE_ROWS, calibrate, examples, scored, verdicts
+from loomwork.llm.labelled import SAMPLE_ROWS, calibrate, examples, filtered, verdicts
 
 BUCKETS = 1 << 18
 FOLDS, HELD_OUT = 5, 0
@@ -116,5 +116,6 @@ def score_quality(docs: DataFrame, model: NBSVM) -> DataFrame:
     return verdicts(docs, model.score, FOLDS, HELD_OUT)
 
 
-def with_quality(docs: DataFrame, model: NBSVM, column: str = "quality_score") -> DataFrame:
-    return scored(docs, model.score, column)
+def with_quality(docs: DataFrame, model: NBSVM, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, that score at least the threshold."""
+    return filtered(docs, model.score, lambda score: score >= threshold)

@@ -44,6 +44,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.decontaminate import decontaminate
 
@@ -73,6 +79,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2).drop("text_md5")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.chat_format import format_chats, read_chats
     from loomwork.llm.common import pick
@@ -151,9 +163,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mpeg_ts": op2_mpeg_ts,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc_archive": SQL_OP1, "op6_decontamination": SQL_OP6, "op8_url_filter": SQL_OP8, "op10_chat_format": SQL_OP10}

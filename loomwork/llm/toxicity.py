@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from loomwork.llm.labelled import SAMPLE_ROWS, examples, scored, verdicts
+from loomwork.llm.labelled import SAMPLE_ROWS, examples, filtered, verdicts
 
 BUCKETS = 1 << 18
 FOLDS, HELD_OUT = 4, 2
@@ -121,5 +121,6 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     return verdicts(docs, model.score, FOLDS, HELD_OUT)
 
 
-def with_toxicity(docs: DataFrame, model: FactorizationMachine, column: str = "toxicity_score") -> DataFrame:
-    return scored(docs, model.score, column)
+def without_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, that score under the threshold."""
+    return filtered(docs, model.score, lambda score: score < threshold)
