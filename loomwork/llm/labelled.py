@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomwork.llm.common import pick
 
-SAMPLE_ROWS = 20_000  #: labelled rows that a model is fitted on at most
+SAMPLE_ROWS = 8_000  #: labelled rows that a model is fitted on at most; their features are all that the driver holds
 
 
 def is_held_out(doc_id, folds: int, fold: int):

@@ -75,8 +75,8 @@ class NBSVM:
 def fit(features: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int = 20, seed: int = 7) -> NBSVM:
     if not len(labels) or labels.min() == labels.max():
         return NBSVM(np.zeros(BUCKETS), 0.0, 1.0, 0.0 if not len(labels) else (5.0 if labels[0] else -5.0))
-    flat = np.concatenate(features).astype(np.int64)
-    of = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    flat = np.concatenate(features).view(np.int32)
+    of = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     p1 = (np.bincount(flat[labels[of] > 0], minlength=BUCKETS) + 1) / (n1 + 2)
     p0 = (np.bincount(flat[labels[of] == 0], minlength=BUCKETS) + 1) / (n0 + 2)

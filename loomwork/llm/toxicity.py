@@ -74,8 +74,8 @@ def fit(features: list[np.ndarray], labels: np.ndarray, epochs: int = 30, seed:
     if not len(labels) or labels.min() == labels.max():  # nothing to tell apart
         bias = 0.0 if not len(labels) else (5.0 if labels[0] else -5.0)
         return FactorizationMachine(bias, np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, FACTORS)))
-    flat = np.concatenate(features).astype(np.int64)
-    of = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    flat = np.concatenate(features).view(np.int32)
+    of = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     c1 = np.bincount(flat[labels[of] > 0], minlength=BUCKETS)
     c0 = np.bincount(flat[labels[of] == 0], minlength=BUCKETS)
