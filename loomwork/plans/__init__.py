@@ -1 +1,5 @@
-"""See the README for what lives here."""
+"""Queries by family; REGISTRIES lists them all."""
+
+from loomwork.plans import links, publishing, relational, telemetry, texts
+
+REGISTRIES = [links.R, relational.R, texts.R, publishing.R, telemetry.R]
