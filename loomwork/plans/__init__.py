@@ -1,5 +1,5 @@
 """Queries by family; REGISTRIES lists them all."""
 
-from loomwork.plans import links, publishing, relational, telemetry, texts
+from loomwork.plans import links, parsing, publishing, relational, sequences, telemetry, texts
 
-REGISTRIES = [links.R, relational.R, texts.R, publishing.R, telemetry.R]
+REGISTRIES = [links.R, relational.R, texts.R, publishing.R, telemetry.R, sequences.R, parsing.R]
