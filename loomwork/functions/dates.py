@@ -55,11 +55,10 @@ def iso_date(text: Column) -> Column:
     return F.when(~text.rlike(r"\d/\d"), F.try_to_date(F.nullif(found, F.lit("")), "yyyy-MM-dd"))
 
 
-@F.pandas_udf("string")
 def _written(texts: pd.Series) -> pd.Series:
     return texts.map(written_date)
 
 
 def text_date(text: Column) -> Column:
     """The date in a text: ISO if there is one, else written."""
-    return F.coalesce(iso_date(text), F.to_date(_written(text)))
+    return F.coalesce(iso_date(text), F.to_date(F.pandas_udf(_written, "string")(text)))

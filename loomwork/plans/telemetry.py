@@ -9,14 +9,14 @@ from loomwork.operators import ranking
 from loomwork.plans.registry import Registry
 
 R = Registry()
-BOT = F.col("event_type") == "error"
+BOT = "event_type = 'error'"
 
 
 @R.add("p17_bot_exclusion", "SELECT event_id FROM events WHERE NOT (event_type = 'error' AND CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0)")
 def bot_exclusion(t):
     """Events of bots go, unless their properties allow the bot."""
     allowed = F.get_json_object("props", "$.k").cast("bigint") % 2 != 0
-    return t.events.where(~(BOT & ~allowed)).select("event_id")
+    return t.events.where(~(F.expr(BOT) & ~allowed)).select("event_id")
 
 
 @R.add("a19_counts_by_type", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
@@ -59,7 +59,7 @@ def regressions(t):
 def envelopes(t):
     time = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
     body = F.struct(F.col("event_id").cast("string").alias("insert_id"), "event_type", time.alias("time"))
-    return t.events.where(~BOT).select("event_id", F.to_json(body).alias("envelope"))
+    return t.events.where(~F.expr(BOT)).select("event_id", F.to_json(body).alias("envelope"))
 
 
 @R.add("r04_latest_wins", "SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts)::DATE AS day FROM events GROUP BY 1")
