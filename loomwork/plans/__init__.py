@@ -1,5 +1,5 @@
 """Queries by family; REGISTRIES lists them all."""
 
-from loomwork.plans import evaluation, links, parsing, publishing, relational, sequences, streams, telemetry, texts
+from loomwork.plans import candidates, evaluation, links, parsing, publishing, relational, sequences, streams, telemetry, texts
 
-REGISTRIES = [links.R, relational.R, texts.R, publishing.R, telemetry.R, sequences.R, parsing.R, streams.R, evaluation.R]
+REGISTRIES = [links.R, relational.R, texts.R, publishing.R, telemetry.R, sequences.R, parsing.R, streams.R, evaluation.R, candidates.R]
