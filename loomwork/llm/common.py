@@ -18,9 +18,13 @@ BROADCAST_ROWS = 500_000
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, by exact name, even where others differ from them in case or are repeated."""
-    at = [df.columns.index(n) for n in names]
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+    plain, at = numbered(df, *names)
+    return plain.select(*[F.col(c).alias(n) for c, n in zip(at, names, strict=True)])
+
+
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with the columns c0, c1, ..., and which of them the named ones are; `df.toDF(*columns)` undoes it whatever the names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import ascii_lower, copies_of, pick, small, stage
+from loomwork.llm.common import ascii_lower, copies_of, numbered, pick, small, stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K, W = 5, 6
@@ -171,7 +171,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_rows: int =
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents, all columns, in which no window of the benchmark occurs."""
     hits, _ = find_hits(documents, benchmark)
-    bad = stage(hits.where(F.col("at").isNotNull()).select(F.col("doc_id").alias("bad_id"), "digest").distinct(), "contaminated")
-    bad = small(bad)
-    same = documents["doc_id"].eqNullSafe(bad["bad_id"]) & F.md5(documents["text"]).eqNullSafe(bad["digest"])
-    return documents.join(bad, same, "left_anti")
+    bad = stage(hits.where(F.col("at").isNotNull()).select("doc_id", "digest").distinct(), "contaminated")
+    plain, (doc_id, text) = numbered(documents, "doc_id", "text")
+    same = F.col(doc_id).eqNullSafe(F.col("doc_id")) & F.md5(text).eqNullSafe(F.col("digest"))
+    return plain.join(small(bad), same, "left_anti").toDF(*documents.columns)

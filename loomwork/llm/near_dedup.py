@@ -11,8 +11,8 @@ r"""Near duplicates: bottom-k sketches of one hash function, inverted lists, uni
 3. First pairs: in each list, the least member with each other one. Estimates from the sketch of the union filter
    pairs, the whole sets then decide. This collapses groups of copies into components without all their pairs.
 4. The rest: lists whose members, the least one apart, lie in several components. All pairs of members of
-   different components are compared by sketch, in blocks of at most BLOCK members, many blocks in many tasks; pairs
-   never become rows, only those whose common values allow the similarity do, and are then verified as before.
+   different components are compared by sketches of LONG values, in blocks of at most BLOCK members, many blocks in many tasks; pairs
+   never become rows, only those whose common values allow the similarity do, once each, and are then verified as before.
 
 Defined cases: documents without words (null or empty text) have an empty set and are linked with nothing; a row without doc_id is linked
 with nothing and has a null component; rows that share a doc_id count as one document where that id represents
@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import ascii_lower, pick, small, stage, unstage
+from loomwork.llm.common import ascii_lower, numbered, pick, small, stage, unstage
 from loomwork.llm.components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
 SKETCH = 64
 SLACK = 0.25  #: what an estimate may fall short of the threshold: 5 standard deviations at 64 values
-BLOCK = 256
+LONG, LONG_SLACK = 256, 0.125  #: the sketch by which the rest is compared, and 5 standard deviations of its estimates
+BLOCK, CHUNK = 512, 4096  #: members of a block, and values that are counted at a time
 
 
 def _ints(a: Column, b: Column) -> Column:
@@ -82,58 +83,87 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(sized & (common >= (percent / 100 - SLACK) * F.size(least))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets have at least the similarity, staged."""
-    pairs = stage(_estimated(pairs, reps, percent), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = ids.join(reps.select(F.col("rid").alias("doc_id"), "d1", "d2"), "doc_id")
-    texts = pick(docs, "doc_id", "text").join(small(stage(wanted, "wanted")), "doc_id")
-    sets = texts.select("doc_id", "d1", "d2", shingle_set(F.col("text"), shingle).alias("set"))
-    # an id may have several texts; its class's is meant
-    sets = stage(sets.where((F.xxhash64("set") == F.col("d1")) & (F.xxhash64(F.lit(1), F.reverse("set")) == F.col("d2"))).select("doc_id", "set"), "sets")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}"))
+def _sets(ids: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """(rid, set): the whole sets of the representatives in ids (rid), staged."""
+    wanted = stage(ids.join(reps.select("rid", "d1", "d2"), "rid").select(F.col("rid").alias("doc_id"), "d1", "d2"), "wanted")
+    texts = pick(docs, "doc_id", "text").join(small(wanted), "doc_id")
+    sets = texts.select(F.col("doc_id").alias("rid"), "d1", "d2", shingle_set(F.col("text"), shingle).alias("set"))
+    # an id may have several texts, or one text more than once; a text of its class is meant
+    same = (F.xxhash64("set") == F.col("d1")) & (F.xxhash64(F.lit(1), F.reverse("set")) == F.col("d2"))
+    made = stage(sets.where(same), "sets")
+    if made.groupBy("rid", "d1", "d2").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():  # rows that repeat a representative
+        made = stage(made.dropDuplicates(["rid", "d1", "d2"]), "sets")
+    return made
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets have at least the similarity, staged."""
+    side = lambda x: sets.select(F.col("rid").alias(x), F.col("set").alias(f"set_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    out = stage(both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct(), "links")
-    unstage(pairs, sets)
-    return out
+    return stage(both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct(), "links")
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
-    """rest (key, rid, comp, n, sketch) dealt to groups (key, i, j) of at most about two blocks of members."""
-    sizes = stage(rest.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high"), "sizes")
-    dealt = rest.join(small(sizes.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))), "key")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "comp", "n", "sketch")
+    """rest (key, rid, comp) dealt to groups (key, i, j) of at most about two blocks of members, with each member's side.
+
+    A list's largest component is its main one, whose members needn't meet each other: each of its blocks meets each block
+    of the others (i is negative then), and the others' blocks meet each other. Only members of different sides are
+    compared where i and j differ.
+    """
+    parts = rest.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("members")).where("members > main.n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = stage(sizes.select("key", F.col("main.comp").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("members") - F.col("main.n")).alias("others")), "sizes")
+    dealt = rest.join(small(sizes), "key")
+    is_main = F.col("comp") == F.col("main")
+    own = F.pmod(F.xxhash64("rid"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    group = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("own"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_main = F.transform(upto("others"), lambda j: group(-1 - own, j, F.lit(0)))
+    of_other = F.concat(
+        F.transform(upto("mains"), lambda i: group(-1 - i, own, F.lit(1))), F.transform(upto("others"), lambda j: group(F.least(own, j), F.greatest(own, j), own))
+    )
+    return dealt.select("key", "rid", "comp", F.explode(F.when(is_main, of_main).otherwise(of_other)).alias("g")).select("key", "g.i", "g.j", "g.own", "rid", "comp")
 
 
 def _compared(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components within a group whose sketches have enough values in common."""
+    """(a, b): pairs of different components within a group whose similarity, estimated from long sketches, isn't clearly too low.
+
+    A pair that shares several lists comes from the one of the least key. If one of the two leads that list, it was compared already.
+    """
 
-    def pairs(own: np.ndarray, rid: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[np.ndarray], i: int, j: int):
-        _, at = np.unique(np.concatenate(sketch), return_inverse=True)
+    def pairs(own: np.ndarray, rid: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[np.ndarray], keys: list[np.ndarray], key: int, i: int, j: int):
+        _, at, times = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sketch)), [len(s) for s in sketch])
-        x = np.zeros((len(sketch), at.max() + 1), np.float32)
-        x[row, at] = 1
-        common = x @ x.T
+        shared = times > 1  # the others are in one set only
+        column = np.cumsum(shared) - 1
+        row, at = row[shared[at]], column[at[shared[at]]]
+        common = np.zeros((len(sketch), len(sketch)), np.float32)
+        for first in range(0, int(shared.sum()), CHUNK):  # some values at a time
+            now = (at >= first) & (at < first + CHUNK)
+            x = np.zeros((len(sketch), CHUNK), np.float32)
+            x[row[now], at[now] - first] = 1
+            common += x @ x.T
         size = np.array([len(s) for s in sketch])
         # a value of the union's sketch that both sets have is in both sketches
-        least = np.minimum(SKETCH, size[:, None] + size[None, :] - common)
-        fits = (common >= (percent / 100 - SLACK) * least) & (comp[:, None] != comp[None, :]) & (rid[:, None] < rid[None, :])
+        least = np.minimum(LONG, size[:, None] + size[None, :] - common)
+        whole = np.maximum(n[:, None], n[None, :]) <= LONG  # then the sketches are the sets
+        fits = common >= np.where(whole, percent / 100, percent / 100 - LONG_SLACK) * least - 1e-3
+        fits &= (comp[:, None] != comp[None, :]) & (rid[:, None] < rid[None, :])
         fits &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
         if i != j:
             fits &= own[:, None] != own[None, :]
-        a, b = np.nonzero(fits)
-        return rid[a], rid[b]
+        kept = [(a, b) for a, b in zip(*np.nonzero(fits), strict=True) if np.intersect1d(keys[a], keys[b])[0] == key]
+        return rid[[a for a, _ in kept]], rid[[b for _, b in kept]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, found = None, [], []
 
         def done():
             if len(held) > 1 and len({h[2] for h in held}) > 1:
-                own, rid, comp, n, sketch = zip(*held, strict=True)
-                found.append(pairs(np.array(own), np.array(rid), np.array(comp), np.array(n), list(sketch), *group[1:]))
+                own, rid, comp, n, sketch, keys = zip(*held, strict=True)
+                found.append(pairs(np.array(own), np.array(rid), np.array(comp), np.array(n), list(sketch), list(keys), *group))
             held.clear()
 
         def out():
@@ -144,19 +174,18 @@ def _compared(groups: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keys = list(zip(*[batch.column(x).to_pylist() for x in range(3)], strict=True))
             own, rid, comp, n = (batch.column(x).to_pylist() for x in range(3, 7))
-            lists = batch.column(7)
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            (values, ends), (keyed, key_ends) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(7), batch.column(8)))
             for r, k in enumerate(keys):
                 if k != group:
                     done()
                     group = k
-                held.append((own[r], rid[r], comp[r], n[r], values[ends[r] : ends[r + 1]]))
+                held.append((own[r], rid[r], comp[r], n[r], values[ends[r] : ends[r + 1]].copy(), keyed[key_ends[r] : key_ends[r + 1]].copy()))
             yield out()
         done()
         yield out()
 
     ordered = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.select("key", "i", "j", "own", "rid", "comp", "n", "sketch").mapInArrow(run, "a long, b long")
+    return ordered.select("key", "i", "j", "own", "rid", "comp", "n", "sketch", "keys").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -177,14 +206,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     postings = reps.where("n > 3").select(F.explode(list_keys(F.col("n"), F.col("sketch"))).alias("key"), "rid")
     lists = stage(postings.groupBy("key").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).where("leader < last").select("key", "leader"), "lists")
     members = stage(postings.join(small(lists), "key").where("rid <> leader"), "members")
-    links = _verified(members.select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct(), docs, reps, shingle, percent)
+    ids = members.select("rid").union(lists.select("leader")).distinct()
+    sets = _sets(ids, docs, reps, shingle)
+    first = stage(_estimated(members.select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct(), reps, percent), "pairs")
+    links = _verified(first, sets, percent)
     found = components(links)
 
     rest = members.select("key", "rid").join(small(found.select(F.col("node").alias("rid"), "component")), "rid", "left")
     rest = rest.select("key", "rid", F.coalesce("component", "rid").alias("comp"))
     mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rest = rest.join(small(stage(mixed, "mixed")), "key").join(reps.select("rid", "n", "sketch"), "rid")
-    more = _verified(_compared(_blocks(stage(rest, "rest")), percent).distinct(), docs, reps, shingle, percent)
+    rest = stage(rest.join(small(stage(mixed, "mixed")), "key"), "rest")
+    long = sets.select("rid", F.size("set").alias("n"), F.slice("set", 1, LONG).alias("sketch"), list_keys(F.size("set"), F.slice("set", 1, SKETCH)).alias("keys"))
+    dealt = _blocks(rest).join(long, "rid")
+    more = _verified(stage(_compared(dealt, percent), "more"), sets, percent)
+    unstage(sets)
     found = small(components(links.unionByName(more)))
 
     out = rows.join(small(classes.where("copies > 1").select("n", "d1", "d2", "rid")), ["n", "d1", "d2"], "left")
@@ -195,12 +230,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, with one document of each component; a row that repeats its document is dropped too."""
-    md5 = F.md5(docs["text"])
     result = near_duplicates(docs, shingle, percent).where("kept")
     kept = stage(result.groupBy("doc_id", "text_md5").agg(F.count("*").alias("copies")), "kept")
+    plain, (doc_id, text) = numbered(docs, "doc_id", "text")
 
     def rows(which: str) -> DataFrame:
-        ids = small(kept.where(which).select(F.col("doc_id").alias("kept_id"), "text_md5"))
-        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]) & md5.eqNullSafe(ids["text_md5"]), "left_semi")
+        ids = small(kept.where(which).select("doc_id", "text_md5"))
+        return plain.join(ids, F.col(doc_id).eqNullSafe(F.col("doc_id")) & F.md5(text).eqNullSafe(F.col("text_md5")), "left_semi")
 
-    return rows("copies = 1").union(rows("copies > 1").dropDuplicates(["doc_id", "text"]))
+    return rows("copies = 1").union(rows("copies > 1").dropDuplicates([doc_id, text])).toDF(*docs.columns)
