@@ -30,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path()).drop("ids")
+    return packing.pack(docs, tokenizer_path(), with_ids=False).drop("ids")
 
 
 STAGES = [

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomwork.llm.common import pick
+from loomwork.llm.common import numbered, pick
 
 SAMPLE_ROWS = 8_000  #: labelled rows that a model is fitted on at most; their features are all that the driver holds
 
@@ -49,13 +49,13 @@ def examples(
     return [np.frombuffer(r["features"], "<u4") for r in rows], np.array([r["label"] for r in rows], np.float64)
 
 
-def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], column: str = "score") -> DataFrame:
-    """docs with one more column, the score of `text`; all columns of docs are kept. Null texts are empty."""
-    at = docs.columns.index("text")
+def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], text: str = "text", column: str = "score") -> DataFrame:
+    """docs with one more column, the score of `text`. Null texts are empty."""
+    at = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
+        for batch in (whole.slice(first, 1000) for whole in frames for first in range(0, whole.num_rows, 1000)):
             texts = [x.as_py() or "" for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(texts), pa.float64())], schema=batch.schema.append(pa.field(column, pa.float64())))
 
@@ -64,8 +64,8 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], column: st
 
 def filtered(docs: DataFrame, score: Callable[[list[str]], np.ndarray], keep: Callable) -> DataFrame:
     """The rows of docs, all columns, whose score `keep` accepts."""
-    column = "score_" + "_" * max(len(c) for c in docs.columns)  # longer than any name there is
-    return scored(docs, score, column).where(keep(F.col(column))).drop(column)
+    plain, (text,) = numbered(docs, "text")
+    return scored(plain, score, text).where(keep(F.col("score"))).drop("score").toDF(*docs.columns)
 
 
 def verdicts(docs: DataFrame, score: Callable[[list[str]], np.ndarray], folds: int, fold: int, threshold: float = 0.3) -> DataFrame:

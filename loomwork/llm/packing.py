@@ -41,7 +41,7 @@ def _byte_level() -> dict[int, str]:
 
 
 BYTE_LEVEL = _byte_level()
-CACHE_WORDS = 400_000  #: words that a Python worker keeps in each of two generations
+CACHE_WORDS = 150_000  #: words that a Python worker keeps in each of two generations
 
 
 class WordEncoder:
@@ -169,10 +169,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
     return pick(docs, "doc_id", "text").mapInArrow(run, "part int, doc_id long, start long, n_tokens long, width int, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to, ids), one row per piece.
 
-    `ids` are the piece's ids, packed little-endian with 32 bits each; drop the column where only the layout is of interest.
+    `ids` are the piece's ids, packed little-endian with 32 bits each; null without with_ids, where only the layout is of interest.
     """
     encoded = stage(encode_documents(docs, tokenizer_path, end_id), "tokens")
     totals = encoded.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
                         length = min(size - offset, n - start)
                         piece = ids[4 * start : 4 * (start + length)]
                         left = total - sequence * size
-                        rows.append((doc_id, start, length, zlib.crc32(piece), n, sequence, offset, size if left >= size else min(size, 1 << (left - 1).bit_length()), piece))
+                        rows.append((doc_id, start, length, zlib.crc32(piece), n, sequence, offset, size if left >= size else min(size, 1 << (left - 1).bit_length()), piece if with_ids else None))
                         start += length
                 kinds = [pa.int64()] * 8 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names=names)

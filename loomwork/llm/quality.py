@@ -66,7 +66,7 @@ class NBSVM:
         known: dict[str, int] = {}
         margins = np.empty(len(texts))
         for n, text in enumerate(texts):
-            if len(known) > 500_000:
+            if len(known) > 150_000:
                 known.clear()
             margins[n] = self.weights[ngrams_of(text, known)].sum() + self.offset
         return 1 / (1 + np.exp(-np.clip(self.a * margins + self.b, -30, 30)))

@@ -34,7 +34,7 @@ def tokenizer_path() -> str:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("ids")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ class FactorizationMachine:
         known: dict[str, tuple[int, ...]] = {}
         out = np.empty(len(texts))
         for n, text in enumerate(texts):
-            if len(known) > 500_000:
+            if len(known) > 150_000:
                 known.clear()
             found: set[int] = set()
             for w in set(text.lower().split()):
