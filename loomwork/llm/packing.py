@@ -57,9 +57,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        lowers = "Lowercase" in self.tokenizer.to_str()[:4000] and self._separate([b"AbZ"]) == self._separate([b"abz"])
+        self.lowers = "Lowercase" in self.tokenizer.to_str()[:4000] and self._separate([b"AbZ"]) == self._separate([b"abz"])
         special = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.has_case = (lambda text: any(x in text.lower() for x in special)) if lowers else (lambda text: True)
+        self.has_case = (lambda text: any(x in text.lower() for x in special)) if self.lowers else (lambda text: True)
         self.quick: bool | None = None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -89,7 +89,8 @@ class WordEncoder:
 
         def one(x: bytes) -> bytes:
             s = x.decode()
-            if s.isalpha() and (s.isascii() or (max(s) <= "ÿ" and (s := s.lower()))):
+            if s.isalpha() and (s.isascii() or max(s) <= "ÿ"):
+                s = s.lower() if self.lowers else s  # texts with special tokens come in their own case
                 return np.array([t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(BYTE_LEVEL))], kind).tobytes()
             return self._separate([x])[0]
 

@@ -111,7 +111,7 @@ def test_packing(spark, odd):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(max_size=60), st.sampled_from(["", " don't'd, WORLD!! ", "Ünï,cödé. ", "<|endoftext|>", " <|ENDOFTEXT|>,x", "\x1c\x85  á "]))
+@given(st.text(max_size=60), st.sampled_from(["", " don't'd, WORLD!! ", "Ünï,cödé. ", "<|endoftext|>", " <|ENDOFTEXT|>,x", "B À <|endoftext|> Word, É.", "\x1c\x85  á "]))
 def test_word_encoder_is_exact(text, more):
     own = packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
     text = (text + more).encode("utf-8", "ignore").decode()
