@@ -2,11 +2,13 @@
 
 A text's terms are its distinct words (lower-cased, marks at either end dropped) and their first four and five
 characters, hashed to 2^18 buckets. A term is there or not, so a long text doesn't thin out an
-insult. Buckets whose share differs between the classes by more than chance get weights: a linear weight and a
-vector each; the score is sigmoid(w0 + sum of weights + sum over pairs of vector products), so
+insult. Every bucket that LEAST_ROWS sampled texts have gets a linear weight and a
+vector; the score is sigmoid(w0 + sum of weights + sum over pairs of vector products), so
 pairs of terms, such as an insult with the mention of a group, have a weight that neither has alone.
 
-Fitted by Adam on the logistic loss, with fixed seed and order, on a bounded sample of labelled rows.
+Fitted by Adam on the logistic loss, with fixed seed and order, on a bounded sample of labelled rows: first the
+terms whose shares differ most between the classes, then, from there, all terms, with steps that fade with the
+gradient, so what the first leave unexplained moves terms that matter only in pairs.
 Defined cases: null and empty texts have the score of no terms; equal texts have equal scores.
 """
 
@@ -23,7 +25,9 @@ from loomwork.llm.labelled import SAMPLE_ROWS, examples, filtered, verdicts
 BUCKETS = 1 << 18
 FOLDS, HELD_OUT = 4, 2
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-MOST_TERMS, LEAST_Z, FACTORS = 2000, 4.0, 4
+MOST_TERMS, LEAST_Z, FACTORS = 2000, 4.0, 4  #: terms that are fitted first, at most and by what z; the length of vectors
+LEAST_ROWS = 3  #: sampled texts that must have a term
+LEAST_STEPS = 300  #: of Adam for the first terms, as few labels make few steps an epoch; for all terms about so many are enough
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -52,7 +56,9 @@ class FactorizationMachine:
     vectors: np.ndarray
 
     def score(self, texts: list[str]) -> np.ndarray:
-        place = {int(b): i for i, b in enumerate(self.buckets)}
+        place = np.full(BUCKETS, -1, np.int32)
+        place[self.buckets] = np.arange(len(self.buckets))
+        place = place.tolist()
         known: dict[str, tuple[int, ...]] = {}
         out = np.empty(len(texts))
         for n, text in enumerate(texts):
@@ -61,15 +67,47 @@ class FactorizationMachine:
             found: set[int] = set()
             for w in set(text.lower().split()):
                 if (t := known.get(w)) is None:
-                    t = known[w] = tuple(place[b] for b in word_terms(w) if b in place)
+                    t = known[w] = tuple(place[b] for b in word_terms(w) if place[b] >= 0)
                 if t:
                     found.update(t)
-            at = np.array(sorted(found), np.int64)
+            at = np.sort(np.fromiter(found, np.int64, len(found)))
             v = self.vectors[at]
             out[n] = self.bias + self.weights[at].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def _descend(theta: np.ndarray, bias: float, rows: list[np.ndarray], labels: np.ndarray, epochs: int, damp: float, rng: np.random.Generator) -> float:
+    """Adam over rows of term positions; theta (weight, vector for each term) is changed in place, the new bias returned.
+
+    damp is Adam's epsilon: gradients far below it hardly move anything.
+    """
+    mean, square, t = np.zeros_like(theta), np.zeros_like(theta), 0
+    bias_mean = bias_square = 0.0
+    decay = np.array([1e-4] + [1e-3] * FACTORS, np.float32)
+    for _ in range(epochs):
+        order = rng.permutation(len(labels))
+        for a in range(0, len(order), 256):
+            b, t = order[a : a + 256], t + 1
+            at = np.concatenate([rows[i] for i in b])
+            of = np.repeat(np.arange(len(b)), [len(rows[i]) for i in b])
+            own = theta[at]
+            total = np.stack([np.bincount(of, own[:, k], len(b)) for k in range(1 + FACTORS)], 1)
+            s, squares = total[:, 1:], np.bincount(of, (own[:, 1:] ** 2).sum(1), len(b))
+            raw = bias + total[:, 0] + 0.5 * ((s**2).sum(1) - squares)
+            g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[b]) / len(b)
+            each = np.concatenate([g[:, None], g[:, None] * s], 1)
+            grad = np.stack([np.bincount(at, each[of, k], len(theta)) for k in range(1 + FACTORS)], 1).astype(np.float32)
+            grad[:, 1:] -= grad[:, :1] * theta[:, 1:]
+            grad += decay * theta
+            mean += 0.1 * (grad - mean)
+            square += 0.001 * (grad**2 - square)
+            theta -= 0.02 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + damp)
+            bias_mean += 0.1 * (g.sum() - bias_mean)
+            bias_square += 0.001 * (g.sum() ** 2 - bias_square)
+            bias -= 0.02 * (bias_mean / (1 - 0.9**t)) / (np.sqrt(bias_square / (1 - 0.999**t)) + 1e-8)
+    return float(bias)
+
+
 def fit(features: list[np.ndarray], labels: np.ndarray, epochs: int = 30, seed: int = 7) -> FactorizationMachine:
     if not len(labels) or labels.min() == labels.max():  # nothing to tell apart
         bias = 0.0 if not len(labels) else (5.0 if labels[0] else -5.0)
@@ -81,34 +119,26 @@ def fit(features: list[np.ndarray], labels: np.ndarray, epochs: int = 30, seed:
     c0 = np.bincount(flat[labels[of] == 0], minlength=BUCKETS)
     p = (c1 + c0) / len(labels)
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    z[c1 + c0 < 3] = 0
-    buckets = np.sort(np.argsort(-np.abs(z), kind="stable")[:MOST_TERMS])
-    buckets = buckets[np.abs(z[buckets]) > LEAST_Z].astype(np.uint32)
-    place = np.full(BUCKETS, -1)
-    place[buckets] = np.arange(len(buckets))
-    kept = place[flat] >= 0
-    x = np.zeros((len(labels), len(buckets)), np.float32)
-    x[of[kept], place[flat[kept]]] = 1
+    z[c1 + c0 < LEAST_ROWS] = 0
+    first = np.sort(np.argsort(-np.abs(z), kind="stable")[:MOST_TERMS])
+    first = first[np.abs(z[first]) > LEAST_Z]
+    buckets = np.flatnonzero(c1 + c0 >= LEAST_ROWS)
+    del flat, of
 
     rng = np.random.default_rng(seed)
-    theta = [np.array([np.log(n1 / n0)], np.float32), np.zeros(len(buckets), np.float32), rng.normal(0, 0.05, (len(buckets), FACTORS)).astype(np.float32)]
-    mean, square, t = [np.zeros_like(a) for a in theta], [np.zeros_like(a) for a in theta], 0
-    decay = (0.0, 1e-4, 1e-3)
-    for _ in range(epochs):
-        order = rng.permutation(len(labels))
-        for a in range(0, len(order), 256):
-            b, t = order[a : a + 256], t + 1
-            xb, yb = x[b], labels[b].astype(np.float32)
-            s = xb @ theta[2]
-            raw = theta[0] + xb @ theta[1] + 0.5 * ((s**2).sum(1) - xb @ (theta[2] ** 2).sum(1))
-            g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - yb) / len(b)
-            grads = [np.array([g.sum()]), xb.T @ g, xb.T @ (g[:, None] * s) - (xb.T @ g)[:, None] * theta[2]]
-            for i, grad in enumerate(grads):
-                grad = grad + decay[i] * theta[i]
-                mean[i] = 0.9 * mean[i] + 0.1 * grad
-                square[i] = 0.999 * square[i] + 0.001 * grad**2
-                theta[i] = (theta[i] - 0.02 * (mean[i] / (1 - 0.9**t)) / (np.sqrt(square[i] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return FactorizationMachine(float(theta[0][0]), buckets, theta[1].astype(np.float64), theta[2].astype(np.float64))
+    theta = np.zeros((BUCKETS, 1 + FACTORS), np.float32)
+    theta[:, 1:] = rng.normal(0, 0.005, (BUCKETS, FACTORS))
+    theta[first, 1:] = rng.normal(0, 0.05, (len(first), FACTORS))
+    bias = float(np.log(n1 / n0))
+    rounds = max(epochs, -(-LEAST_STEPS // -(-len(labels) // 256)))
+    for terms, rounds, damp in ((first, rounds, 1e-8), (buckets, min(2 * epochs // 3, -(-LEAST_STEPS // -(-len(labels) // 256))), 1e-2)):
+        place = np.full(BUCKETS, -1, np.int32)
+        place[terms] = np.arange(len(terms), dtype=np.int32)
+        rows = [at[at >= 0] for at in (place[f.view(np.int32)] for f in features)]
+        own = theta[terms]
+        bias = _descend(own, bias, rows, labels, rounds, damp, rng)
+        theta[terms] = own
+    return FactorizationMachine(bias, buckets.astype(np.uint32), theta[buckets, 0], theta[buckets, 1:])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> FactorizationMachine:

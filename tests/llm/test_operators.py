@@ -166,6 +166,16 @@ def test_factorization_machine_learns_pairs():
     assert both > 0.8 and one < 0.2 and none < 0.2
 
 
+def test_factorization_machine_learns_pairs_without_marginal_effect():
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 2, 4000), rng.integers(0, 2, 4000)
+    other = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)]
+    made = [" ".join(["base"] + ["insult"] * x + ["groups"] * y + list(rng.choice(other, 30))) for x, y in zip(a, b)]
+    truth = a ^ b
+    model = toxicity.fit([toxicity.terms_of(t) for t in made[:3000]], truth[:3000].astype(float))
+    assert ((model.score(made[3000:]) >= 0.5) == truth[3000:]).mean() > 0.9
+
+
 # --- license scans ---
 
 
