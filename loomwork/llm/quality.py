@@ -1,8 +1,9 @@
 """Quality: naive Bayes log-count ratios on n-gram indicators, then a linear hinge-loss model (NBSVM).
 
-A text is a sequence of word shapes: runs of upper-case letters, lower-case letters and digits become A, a
+A text is a sequence of words and of their shapes, of the whole of each word: runs of upper-case letters, lower-case letters and digits become A, a
 and 0, other characters stay, repeats of one are cut to two; a word equal to the one before it is the shape "=". The
-n-grams of one to three shapes, hashed to 2^18 buckets, are there or not. Each indicator is scaled by the log ratio
+n-grams of one to three shapes and those of one or two words, hashed to the two halves of 2^19 buckets, are
+there or not. Each indicator is scaled by the log ratio
 of its smoothed shares in the two classes, and a linear model with hinge loss is fitted by dual coordinate
 descent. Platt's sigmoid makes margins into scores.
 
@@ -21,13 +22,14 @@ from pyspark.sql import DataFrame
 
 from loomwork.llm.labelled import SAMPLE_ROWS, calibrate, examples, filtered, verdicts
 
-BUCKETS = 1 << 18
+HALF = 1 << 18  #: of the buckets: shapes lie below, words from here
+BUCKETS = 2 * HALF
 FOLDS, HELD_OUT = 5, 0
 SAME = 1  #: the shape of a word that repeats the one before it
 
 
 def shape_of(word: str) -> str:
-    classes = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    classes = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return re.sub(r"(.)\1\1+", r"\1\1", re.sub(r"([Aa0])\1+", r"\1", classes))
 
 
@@ -43,14 +45,16 @@ def ngrams_of(text: str, known: dict[str, int] | None = None) -> np.ndarray:
     for w in set(words).difference(known):
         known[w] = _code(w)
     codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    shapes = codes & 0xFFFF
+    shapes, w = codes & 0xFFFF, (codes >> 16).astype(np.uint64)
     if len(codes) > 1:
         shapes[1:][codes[1:] == codes[:-1]] = SAME
     s = shapes.astype(np.uint64)
     mix = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)  # noqa: E731  the upper 18 bits
     two = (s[:-1] << np.uint64(17)) + s[1:] + np.uint64(1 << 60)
     three = (s[:-2] << np.uint64(34)) + (s[1:-1] << np.uint64(17)) + s[2:] + np.uint64(1 << 61)
-    return np.unique(np.concatenate([mix(s), mix(two), mix(three)])).astype(np.uint32)
+    pairs = w[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + w[1:] + np.uint64(1 << 62)
+    of_words = np.concatenate([mix(w), mix(pairs)]) + np.uint64(HALF)
+    return np.unique(np.concatenate([mix(s), mix(two), mix(three), of_words]).astype(np.uint32))
 
 
 @dataclass

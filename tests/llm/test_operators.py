@@ -176,6 +176,17 @@ def test_factorization_machine_learns_pairs_without_marginal_effect():
     assert ((model.score(made[3000:]) >= 0.5) == truth[3000:]).mean() > 0.9
 
 
+def test_quality_reads_whole_words_and_vocabulary():
+    assert quality.shape_of("x" * 100 + "$$$7") == "a$$0"
+    assert set(quality.ngrams_of("字" * 64 + "。A")) != set(quality.ngrams_of("字" * 64))
+    rng = np.random.default_rng(1)
+    good, spam = ([f"{c}{a}{b}" for a in "abcdefgh" for b in "klmnopqr"] for c in "xy")
+    truth = rng.integers(0, 2, 600)
+    made = [" ".join(rng.choice(good if t else spam, 30)) for t in truth]
+    model = quality.fit([quality.ngrams_of(t) for t in made[:400]], truth[:400].astype(float))
+    assert ((model.score(made[400:]) >= 0.5) == truth[400:]).mean() > 0.95
+
+
 # --- license scans ---
 
 
