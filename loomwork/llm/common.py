@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rows of a side that may be broadcast; a side is counted first, and beyond this the join is left to shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of a side that may be broadcast; a side is measured first, and beyond these the join is left to shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -73,12 +73,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def unstage(*frames: DataFrame) -> None:
     """Remove staged tables that nothing reads any more."""
     for df in frames:
-        _remove(df.sparkSession, df._staged_at)
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows at most `most` rows, else as it is (Spark then shuffles)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+        if path := getattr(df, "_staged_at", None):
+            _remove(df.sparkSession, path)
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is measured to have at most `most` rows and `most_bytes` bytes, else as it is (Spark then shuffles)."""
+    size = F.lit(16 + 8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size += F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    n, total = df.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= most and (total or 0) <= most_bytes else df
 
 
 def copies_of(n: Column) -> Column:
