@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomwork.llm import chat_format, decontaminate, license_scan, mpegts, near_dedup, packing, quality, toxicity, url_filter, warc
 from loomwork.llm.common import pick
 from loomwork.llm.components import components
+from loomwork.llm.license_texts import catalogue
 
 DOCS = "doc_id long, text string"
 LONG = "The quick brown fox jumps over the lazy dog and then " * 400
@@ -190,25 +191,58 @@ def test_quality_reads_whole_words_and_vocabulary():
 # --- license scans ---
 
 
-def test_license_scan_equals_brute_force(spark, odd):
-    notice = license_scan.TEMPLATES["Apache-2.0"][1]
-    mit = license_scan.TEMPLATES["MIT"][1]
-    filler = " ".join(f"w{i}" for i in range(300))
-    rows = [(1, filler + " " + mit + " " + filler), (2, "Released under the MIT License."), (3, filler), (4, " ".join(notice.split()[:12]) + filler), (5, (filler + " released under the mit license ") * 3), (6, None), (7, mit[: len(mit) // 2])]
-    flat = [(n, t) for n, ts in license_scan.TEMPLATES.items() for t in ts]
-    matcher = license_scan.Matcher(flat, 80)
-    for r in license_scan.scan_licenses(spark.createDataFrame(rows, DOCS)).collect():
-        text = dict(rows)[r.doc_id]
-        hashes = license_scan._hashes((text or "").encode(), {})
-        found = set()
-        for name, s in zip(matcher.names, matcher.sets):
-            size = 1 << (len(s) - 1).bit_length()
-            for at in range(0, max(len(hashes), 1), size):
-                inside = set(hashes[at : at + 2 * size].tolist())
-                if 100 * len(inside & set(s.tolist())) >= 80 * len(s):
-                    found.add(name)
-        assert r.licenses == ",".join(sorted(found)), r.doc_id
-    assert license_scan.scan_licenses(odd).count() == len(ODD)
+def in_a_stretch(text, template, length, percent=80):
+    """Does some stretch of `length` consecutive shingles, or the whole text, hold enough of the template? Shares no code with the operator."""
+    shingles = lambda t: [tuple(w) for w in (lambda w: [w[i : i + 5] for i in range(len(w) - 4)])(re.findall(r"[a-z0-9\x80-\U0010ffff]+", lowered(t)))]
+    have, want = shingles(text), set(shingles(template))
+    return any(100 * len(want & set(have[i : i + length])) >= percent * len(want) for i in range(max(1, len(have) - length + 1))) if have else False
+
+
+def test_license_scan_equals_brute_force(spark):
+    """Whatever is in S shingles in a row must be found, and what isn't even in 2S in a row must not be."""
+    short = {n: [t for t in ts if len(t) < 3000][-3:] for n, ts in catalogue().items()}
+    rng = random.Random(4)
+    filler = lambda n: " ".join(rng.choices([f"w{i}" for i in range(300)], k=n))
+    rows = []
+    for ts in short.values():
+        for t in ts:
+            words = t.split()
+            for kind in range(3):
+                w = list(words)
+                for _ in range(kind * len(w) // 40):  # edits that leave some above and some below the threshold
+                    w[rng.randrange(len(w))] = "edited"
+                cut = rng.randrange(len(w)) if kind == 2 and rng.random() < 0.3 else 0  # and halves
+                rows.append((len(rows), filler(rng.randint(0, 400)) + " " + " ".join(w[cut:]) + " " + filler(rng.randint(0, 90))))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, filler(500)), (len(rows) + 3, "four words are few")]
+    names = sorted(short)
+    seen = 0
+    for name in names:  # one license at a time, so that no rival hides another
+        got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(spark.createDataFrame(rows, DOCS).repartition(2), {name: short[name]}).collect()} if name in names[::6] else None
+        if got is None:
+            continue
+        for i, text in rows:
+            size = {t: 1 << (len({tuple(x) for x in zip(*[re.findall(r"[a-z0-9]+", t.lower())[k:] for k in range(5)])}) - 1).bit_length() for t in short[name]}
+            if any(in_a_stretch(text or "", t, size[t]) for t in short[name]):
+                assert got[i] == name, (i, name)
+                seen += 1
+            elif not any(in_a_stretch(text or "", t, 2 * size[t]) for t in short[name]):
+                assert got[i] == "", (i, name)
+    assert seen > 10
+
+
+def test_license_scan_tells_licenses_apart(spark, odd):
+    every = catalogue()
+    texts = [(name, t) for name, ts in every.items() for t in ts]
+    rows = [(i, "before it stand some words " + t + " and after it some more words") for i, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, (name, text) in enumerate(texts):
+        assert name in got[i].licenses.split(","), (name, text[:80])
+    bsd = next(i for i, (n, t) in enumerate(texts) if n == "BSD-3-Clause" and "Neither the name" in t)
+    gpl = next(i for i, (n, t) in enumerate(texts) if n == "GPL-3.0" and t.startswith("This program is free"))
+    assert (got[bsd].licenses, got[gpl].licenses) == ("BSD-3-Clause", "GPL-3.0")
+    assert license_scan.scan_licenses(odd).count() == len(ODD) and license_scan.scan_licenses(odd.where("false")).count() == 0
+    twice = license_scan.scan_licenses(spark.createDataFrame([(1, texts[0][1]), (1, texts[0][1]), (None, texts[0][1])], DOCS)).collect()
+    assert len(twice) == 3 and len({r.licenses for r in twice}) == 1
     with pytest.raises(ValueError):
         license_scan.Matcher([("x", "too few words")], 80)
 
