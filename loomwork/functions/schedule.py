@@ -38,10 +38,14 @@ def run_time(day: Column, zone: Column | str) -> Column:
     return to_utc(day.cast("timestamp_ntz"), zone) + F.expr(RUN_AFTER_MIDNIGHT)
 
 
-def next_run(day: Column, zone: Column | str, now: Column, most_days: int = 366) -> Column:
-    """struct(run_at, day, skipped): the first run after `day` that isn't over at `now`, and how many days were skipped."""
-    days = F.sequence(F.date_add(day, 1), F.date_add(day, most_days))
-    left = F.filter(days, lambda d: run_time(d, zone) >= now)
+def next_run(day: Column, zone: Column | str, now: Column) -> Column:
+    """struct(run_at, day, skipped): the first run after `day` that isn't over at `now`, and how many days were skipped.
+
+    The run of the local day of two hours before `now`, or one soon after it, is the first that isn't over; so a
+    few days are tried, however long ago `day` was.
+    """
+    base = F.greatest(F.date_add(day, 1), local_date(now - F.expr(RUN_AFTER_MIDNIGHT), zone))
+    left = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.date_add(base, i)), lambda d: run_time(d, zone) >= now)
     first = F.get(left, F.lit(0))
     return F.struct(run_time(first, zone).alias("run_at"), first.alias("day"), (F.datediff(first, day) - 1).alias("skipped"))
 

@@ -162,3 +162,9 @@ def common_prefix(a: Column, b: Column) -> Column:
 def one_of(value: Column, allowed: Sequence[str]) -> Column:
     """The value if it is allowed, else null (enumerations are strings with a set of allowed values)."""
     return F.when(value.isin(*allowed), value)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """part of whole in percent, with one decimal, rounded half up in whole numbers; null for a whole of 0."""
+    tenths = F.floor((2000 * part + whole) / F.nullif(2 * whole, F.lit(0)))
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))

@@ -7,7 +7,7 @@ keys, and so makes links comparable; `uri_key` turns a configurable equality int
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Query keys that tell pages apart.
 QUERY_KEYS = ("page", "year", "m", "start", "offset", "skip", "updated-max", "sort", "order", "format")
 
+#: Blanks, plain and percent-encoded.
 _BLANK = r"(?i)(?: |\t|\n|\x00|\x0b|\f|\r|%20|%09|%0a|%00|%0b|%0c|%0d)+"
 
 
@@ -34,9 +35,18 @@ def cleaned(url: Column) -> Column:
     return F.replace(url, F.lit("\n"), F.lit(""))
 
 
-def _part(url: Column, group: int) -> Column:
-    """Of scheme (1), "//authority" (2), authority (3), path (4), "?query" (5)."""
-    return F.regexp_extract(url, r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(\?[^#]*)?(?:#.*)?$", group)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parts(url: Column) -> Column:
+    """struct(scheme, net, authority, path, query) of an address, with one mark before the authority in `net` and before the query in `query`."""
+    pattern = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(\?[^#]*)?(?:#.*)?$"
+    # one match: its groups with a character between them that no address has after cleaning
+    marked = F.split(F.regexp_replace(url, pattern, "$1\uffff$2\uffff$3\uffff$4\uffff$5"), "\uffff")
+    names = ("scheme", "net", "authority", "path", "query")
+    return _let(marked, lambda m: F.struct(*[F.coalesce(F.get(m, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)]))
 
 
 def _dots_removed(path: Column) -> Column:
@@ -57,32 +67,36 @@ def canonical_link(url: Column, base: Column | None = None) -> Column:
 
     Rejected: other schemes, user info, schemes without "//", ports that aren't numbers, blanks in the host, broken percent escapes in the host.
     """
-    link = cleaned(url)
     base = F.lit(None).cast("string") if base is None else base
-    scheme, authority, path, query = F.lower(_part(link, 1)), _part(link, 3), _part(link, 4), _part(link, 5)
-    has_authority = _part(link, 2) != ""
-    base_dir = F.regexp_replace(_part(base, 4), r"[^/]*$", "")
-    base_dir = F.when(base_dir == "", F.lit("/")).otherwise(base_dir)
-    relative = (scheme == "") & base.isNotNull()
-    resolved_path = (
-        F.when(has_authority | path.startswith("/"), _dots_removed(path))
-        .when(path == "", _part(base, 4))
-        .otherwise(_dots_removed(F.concat(base_dir, path)))
-    )
-    full_scheme = F.when(relative, F.lower(_part(base, 1))).otherwise(scheme)
-    full_authority = F.when(relative & ~has_authority, _part(base, 3)).otherwise(authority)
-    full_path = F.replace(F.when(relative, resolved_path).otherwise(path), F.lit("//"), F.lit("/"))
-    full_query = F.when(relative & ~has_authority & (path == "") & (query == ""), _part(base, 5)).otherwise(query)
-    opaque = (scheme != "") & ~has_authority & ~path.startswith("/")
-    host = F.when(full_scheme == "http", F.regexp_replace(full_authority, r":80$", "")).otherwise(F.regexp_replace(full_authority, r":443$", ""))
-    good = (
-        full_scheme.isin("http", "https")
-        & ~opaque
-        & ~full_authority.contains("@")
-        & full_authority.rlike(r"^[^:\s%<>\"]*(?::[0-9]*)?$")
-        & ((scheme == "") | (authority != "") | (path != ""))
-    )
-    return F.when(good, F.concat(full_scheme, F.lit("://"), host, full_path, full_query))
+
+    def made(two: Column) -> Column:
+        own, page = two["own"], two["page"]
+        scheme, authority, path, query = F.lower(own["scheme"]), own["authority"], own["path"], own["query"]
+        has_authority = own["net"] != ""
+        base_dir = F.regexp_replace(page["path"], r"[^/]*$", "")
+        base_dir = F.when(base_dir == "", F.lit("/")).otherwise(base_dir)
+        relative = (scheme == "") & two["based"]
+        resolved_path = F.when((path == "") & ~has_authority, page["path"]).otherwise(
+            _dots_removed(F.when(has_authority | path.startswith("/"), path).otherwise(F.concat(base_dir, path)))
+        )
+        opaque = (scheme != "") & ~has_authority & ~path.startswith("/")
+        whole = F.struct(
+            F.when(relative, F.lower(page["scheme"])).otherwise(scheme).alias("scheme"),
+            F.when(relative & ~has_authority, page["authority"]).otherwise(authority).alias("authority"),
+            F.replace(F.when(relative, resolved_path).otherwise(path), F.lit("//"), F.lit("/")).alias("path"),
+            F.when(relative & ~has_authority & (path == "") & (query == ""), page["query"]).otherwise(query).alias("query"),
+            (~opaque & ((scheme == "") | (authority != "") | (path != ""))).alias("fits"),
+        )
+
+        def rendered(w: Column) -> Column:
+            host = F.when(w["scheme"] == "http", F.regexp_replace(w["authority"], r":80$", "")).otherwise(F.regexp_replace(w["authority"], r":443$", ""))
+            good = w["fits"] & w["scheme"].isin("http", "https") & ~w["authority"].contains("@") & w["authority"].rlike(r"^[^:\s%<>\"]*(?::[0-9]*)?$")
+            return F.when(good, F.concat(w["scheme"], F.lit("://"), host, w["path"], w["query"]))
+
+        return _let(whole, rendered)
+
+    link = cleaned(url)
+    return F.when(link.isNotNull(), _let(F.struct(_parts(link).alias("own"), _parts(base).alias("page"), base.isNotNull().alias("based")), made))
 
 
 def canonical_uri(link: Column) -> Column:
@@ -91,20 +105,26 @@ def canonical_uri(link: Column) -> Column:
     The port is empty where it is the scheme's own. The path of a bare root is empty.
     Of the query, known keys with their first values stay, sorted by key.
     """
-    scheme, authority, path, query = _part(link, 1), _part(link, 3), _part(link, 4), F.substring(_part(link, 5), 2, 2**31 - 1)
-    host = F.regexp_replace(authority, r":[0-9]*$", "")
-    port = F.regexp_extract(authority, r"(:[0-9]+)$", 1)
-    port = F.when(((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443")), F.lit("")).otherwise(port)
-    path = F.when((path == "/") & (query == ""), F.lit("")).otherwise(path)
-    tokens = F.transform(F.split(query, "&"), lambda t: F.struct(F.substring_index(t, "=", 1).alias("key"), F.when(t.contains("="), F.regexp_replace(t, r"^[^=]*=", "")).otherwise(F.lit("")).alias("value")))
-    known = F.filter(tokens, lambda t: t["key"].isin(*QUERY_KEYS))
-    # position as second sort key keeps the first value of a key
-    numbered = F.transform(known, lambda t, i: F.struct(t["key"].alias("key"), i.alias("i"), t["value"].alias("value")))
-    firsts = F.filter(F.array_sort(numbered), lambda t: F.forall(numbered, lambda o: (o["key"] != t["key"]) | (o["i"] >= t["i"])))
-    rendered = F.array_join(F.transform(firsts, lambda t: F.concat(t["key"], F.lit("="), t["value"])), "&")
-    rendered = F.when(rendered == "", F.lit("")).otherwise(F.concat(F.lit("?"), rendered))
-    out = F.struct(host.alias("host"), port.alias("port"), path.alias("path"), F.regexp_replace(path, r"/+$", "").alias("trimmed_path"), rendered.alias("query"))
-    return F.when(link.isNotNull(), out)
+
+    def made(own: Column) -> Column:
+        scheme, authority, query = own["scheme"], own["authority"], F.substring(own["query"], 2, 2**31 - 1)
+        host = F.regexp_replace(authority, r":[0-9]*$", "")
+        port = F.regexp_extract(authority, r"(:[0-9]+)$", 1)
+        port = F.when(((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443")), F.lit("")).otherwise(port)
+        path = F.when((own["path"] == "/") & (query == ""), F.lit("")).otherwise(own["path"])
+        # the first token of each known key that there is, by key
+        firsts = _let(
+            F.split(query, "&"),
+            lambda tokens: F.filter(
+                F.transform(F.array(*[F.lit(k) for k in sorted(QUERY_KEYS)]), lambda k: F.get(F.filter(tokens, lambda t: F.substring_index(t, "=", 1) == k), F.lit(0))),
+                lambda t: t.isNotNull(),
+            ),
+        )
+        rendered = F.array_join(F.transform(firsts, lambda t: F.when(t.contains("="), t).otherwise(F.concat(t, F.lit("=")))), "&")
+        rendered = F.when(rendered == "", F.lit("")).otherwise(F.concat(F.lit("?"), rendered))
+        return F.struct(host.alias("host"), port.alias("port"), path.alias("path"), F.regexp_replace(path, r"/+$", "").alias("trimmed_path"), rendered.alias("query"))
+
+    return F.when(link.isNotNull(), _let(_parts(link), made))
 
 
 def canonical_string(curi: Column) -> Column:
@@ -135,7 +155,7 @@ def path_ladder(url: Column) -> Column:
 
 
 def path_class(path: Column) -> Column:
-    """archives, main, post or other, by the end of the path."""
+    """archives, main, post or other, by the end of the path. The patterns are fixed values."""
     return (
         F.when(path.rlike(r"/(?:[a-z-]*archives?|posts?|all(?:-[a-z]+)?)(?:\.[a-z]+)?$"), "archives")
         .when(path.rlike(r"/(?:(?:blog|articles|writing|journal|essays)(?:\.[a-z]+)?|index)$"), "main")

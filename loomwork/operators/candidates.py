@@ -75,3 +75,12 @@ def zone_labels(zones: DataFrame) -> DataFrame:
     city = F.replace(F.substring_index("zone", "/", -1), F.lit("_"), F.lit(" "))
     label = F.when(F.col("_n") > 1, F.concat("name", F.lit(" ("), city, F.lit(")"))).otherwise(F.col("name"))
     return zones.join(shared, "name").select("zone", label.alias("label"))
+
+
+#: A feed of more entries is long; a multiple of the step looks cut off.
+LONG_FEED, ROUND_STEP = 50, 100
+
+
+def is_long_feed(n: Column) -> Column:
+    """Does a feed of n entries seem to hold the whole history?"""
+    return (n > LONG_FEED) & (n % ROUND_STEP != 0)

@@ -58,9 +58,9 @@ def collapsed_runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return df.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
 
 
-def gap_filled_days(df: DataFrame, keys: Sequence[str], day: str, most_days: int = 366) -> DataFrame:
-    """(keys, day, has_rows): each day from a group's first to its last, at most `most_days` after a gap's begin."""
-    days = df.select(*keys, day).distinct()
+def gap_filled_days(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
+    """(keys, day, has_rows): each day from a group's first to its last, however long a gap is."""
+    days = df.select(*keys, day).where(F.col(day).isNotNull()).distinct()
     before = F.lag(day).over(Window.partitionBy(*keys).orderBy(day))
-    start = F.when(before.isNull(), F.col(day)).otherwise(F.greatest(F.date_add(before, 1), F.date_sub(F.col(day), most_days)))
+    start = F.coalesce(F.date_add(before, 1), F.col(day))
     return days.withColumn("_from", start).select(*keys, F.col(day).alias("_to"), F.explode(F.sequence("_from", F.col(day))).alias(day)).select(*keys, day, (F.col(day) == F.col("_to")).alias("has_rows"))

@@ -6,7 +6,9 @@ rows (feed, pos, key). All operators work on every feed at once, by joins and wi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -118,30 +120,77 @@ def lists_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("feed").agg(F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))).alias("equal"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
+    """(feed, name): each feed's entries as an array, by position."""
+    return rows.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+
+def _runs(entries: Column) -> Column:
+    """For each entry the number of its bucket: neighbours of equal time share one, if all have a time."""
+    dated = F.forall(entries, lambda e: e["at"].isNotNull())
+
+    def step(acc: Column, e: Column) -> Column:
+        same = dated & acc["at"].eqNullSafe(e["at"]) & (F.size(acc["runs"]) > 0)
+        now = F.when(same, acc["run"]).otherwise(acc["run"] + 1)
+        return F.struct(now.alias("run"), e["at"].alias("at"), F.concat(acc["runs"], F.array(now)).alias("runs"))
+
+    start = F.struct(F.lit(-1).alias("run"), F.lit(None).cast("timestamp_ntz").alias("at"), F.array().cast("array<int>").alias("runs"))
+    return F.aggregate(entries, start, step, lambda acc: acc["runs"])
+
+
+def _suffix(seen: Column, known: Column) -> Column:
+    """The feed's end that the list may begin with: what comes after the first bucket with the list's first key, and what the list has of that bucket."""
+
+    def of(runs: Column) -> Column:
+        numbered = F.zip_with(seen, runs, lambda e, r: F.struct(e["key"].alias("key"), e["at"].alias("at"), r.alias("run")))
+        start = F.array_min(F.transform(F.filter(numbered, lambda e: e["key"] == F.get(known, F.lit(0))), lambda e: e["run"]))
+        return F.filter(numbered, lambda e: (e["run"] > start) | ((e["run"] == start) & F.array_contains(known, e["key"])))
+
+    return let(_runs(seen), of)
+
+
+def _laid(suffix: Column, known: Column) -> Column:
+    """Does the list, laid at the suffix's begin, have in each bucket the keys of that bucket, once each?"""
+
+    def of(runs: Column) -> Column:
+        own = F.zip_with(suffix, runs, lambda e, r: F.struct(r.alias("r"), e["key"].alias("k")))
+        other = F.zip_with(F.slice(known, 1, F.size(suffix)), runs, lambda k, r: F.struct(r.alias("r"), k.alias("k")))
+        return F.array_sort(own) == F.array_sort(other)
+
+    return (F.size(suffix) > 0) & (F.size(known) >= F.size(suffix)) & let(_runs(suffix), of)
+
+
 def feed_diff(feed: DataFrame, existing: DataFrame, discarded: DataFrame, missing: DataFrame, least_overlap: int = 3) -> DataFrame:
     """(feed, status, key, pos): new entries of each feed against the posts known before.
 
     Known posts that are `missing` from the feed and feed entries that were `discarded` don't count. No
     new entry: status ok without key. An overlap under least_overlap, a feed whose end isn't the known list, or an
     overlap that isn't all of that end: status no_match. Else a row for each new entry, in feed order.
+
+    A feed has tens to hundreds of entries: each input is shuffled once by feed and gathered there, and the rest are array functions.
     """
-    known = existing.join(missing.select("feed", "key"), ["feed", "key"], "left_anti")
-    known = known.withColumn("pos", F.row_number().over(Window.partitionBy("feed").orderBy("pos")) - 1)
-    seen = feed.join(discarded.select("feed", "key"), ["feed", "key"], "left_anti")
-    seen = seen.withColumn("pos", F.row_number().over(Window.partitionBy("feed").orderBy("pos")) - 1)
-    counts = included_counts(seen, known).select("feed", "n", "n_in", "all_in")
-    suffix = suffix_match(seen, known)
-    state = counts.join(suffix, "feed", "left")
-    status = (
-        F.when(F.col("all_in"), "ok")
-        .when((F.col("n_in") < least_overlap) | F.col("suffix_length").isNull() | (F.col("suffix_length") != F.col("n_in")), "no_match")
-        .otherwise("new")
-    )
-    state = state.select("feed", status.alias("status"))
-    fresh = included(seen, known).where(~F.col("in_set")).join(state.where("status = 'new'").select("feed"), "feed", "left_semi")
-    fresh = fresh.withColumn("pos", F.row_number().over(Window.partitionBy("feed").orderBy("pos")) - 1)
-    out = state.where("status <> 'new'").select("feed", "status", F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("pos"))
-    return out.unionByName(fresh.select("feed", F.lit("ok").alias("status"), F.col("key").cast("string").alias("key"), F.col("pos").cast("int").alias("pos")))
+    keys = lambda rows, name: rows.groupBy("feed").agg(F.collect_set("key").alias(name))
+    none = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    kind = f"array<{dict(feed.dtypes)['key']}>"
+    listed = _listed(feed, "seen", "pos", "key", "at").join(_listed(existing, "known", "pos", "key"), "feed", "left")
+    listed = listed.join(keys(discarded, "gone"), "feed", "left").join(keys(missing, "lost"), "feed", "left")
+    listed = listed.select("feed", "seen", F.transform("known", lambda e: e["key"]).alias("known"), none("gone", kind), none("lost", kind)).select("feed", "seen", none("known", kind), "gone", "lost")
+    rows = listed.select(
+        "feed", F.filter("seen", lambda e: ~F.array_contains("gone", e["key"])).alias("seen"), F.filter("known", lambda k: ~F.array_contains("lost", k)).alias("known")
+    ).where(F.size("seen") > 0)
+    rows = rows.select("feed", "seen", "known", F.filter("seen", lambda e: ~F.array_contains("known", e["key"])).alias("fresh"))
+    overlap = F.size("seen") - F.size("fresh")
+    matches = let(_suffix(F.col("seen"), F.col("known")), lambda s: (F.size(s) == overlap) & _laid(s, F.col("known")))
+    status = F.when(F.size("fresh") == 0, "ok").when((overlap < least_overlap) | ~F.coalesce(matches, F.lit(False)), "no_match").otherwise("new")
+    state = rows.select("feed", status.alias("status"), F.transform("fresh", lambda e: e["key"].cast("string")).alias("fresh"))
+    shown = F.when(F.col("status") == "new", F.col("fresh")).otherwise(F.array(F.lit(None).cast("string")))
+    out = state.select("feed", "status", F.posexplode(shown).alias("pos", "key"))
+    return out.select("feed", F.when(F.col("status") == "new", "ok").otherwise(F.col("status")).alias("status"), "key", F.when(F.col("key").isNotNull(), F.col("pos")).alias("pos"))
 
 
 def appended(stored: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -46,11 +46,16 @@ def versioned_upsert(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], v
 
 
 def null_aware_anti(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
-    """NOT IN with SQL's nulls: a null on the other side leaves no row, and a null here is kept only if the other side is empty."""
-    spark = df.sparkSession
-    df.createOrReplaceTempView("_left")
-    other.select(column).createOrReplaceTempView("_right")
-    return spark.sql(f"SELECT * FROM _left WHERE `{column}` NOT IN (SELECT `{column}` FROM _right)")
+    """NOT IN with SQL's nulls: a null on the other side leaves no row, and a null here is kept only if the other side is empty.
+
+    One aggregate over the other side tells which case holds; the rest is a plain anti join, which may shuffle.
+    """
+    rows, known = other.agg(F.count("*"), F.count(column)).first()
+    if not rows:
+        return df
+    if known < rows:
+        return df.where("false")
+    return df.where(F.col(column).isNotNull()).join(other.select(column), column, "left_anti").select(*df.columns)
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -21,22 +21,22 @@ def order_flags(t):
 
 
 MATCH_SQL = """feed AS (SELECT DISTINCT l_suppkey AS feed, l_partkey AS key FROM lineitem WHERE l_returnflag = 'R'),
-lists AS (SELECT DISTINCT l_suppkey * 10 + l_linenumber AS list, l_suppkey AS feed, l_partkey AS key FROM lineitem WHERE l_linenumber <= 3),
+lists AS (SELECT DISTINCT l_suppkey * 10 + l_linenumber AS list, l_suppkey AS feed, l_partkey AS key FROM lineitem),
 n AS (SELECT feed, count(*) AS n_feed FROM feed GROUP BY 1)"""
 
 
 @R.add("x10_match_kinds", f"WITH {MATCH_SQL}, m AS (SELECT list, lists.feed, count(feed.key) AS n_match FROM lists LEFT JOIN feed ON feed.feed = lists.feed AND feed.key = lists.key GROUP BY 1, 2) SELECT list, n_match, n_feed, CASE WHEN n_match = n_feed THEN 'all' WHEN n_match >= n_feed - CASE WHEN n_feed <= 3 THEN 0 WHEN n_feed <= 7 THEN 1 WHEN n_feed <= 25 THEN 2 WHEN n_feed <= 62 THEN 3 ELSE 7 END THEN 'almost' ELSE 'none' END AS kind FROM m JOIN n USING (feed)")
 def match_kinds(t):
     entries = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("feed"), F.col("l_partkey").alias("key")).distinct()
-    lists = t.lineitem.where("l_linenumber <= 3").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("list"), F.col("l_suppkey").alias("feed"), F.col("l_partkey").alias("key"))
+    lists = t.lineitem.select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("list"), F.col("l_suppkey").alias("feed"), F.col("l_partkey").alias("key"))
     return C.match_kinds(lists, entries, X.archives_threshold)
 
 
-@R.add("x11_covering_triples", "WITH m AS (SELECT o_orderpriority AS c, bit_or(1::BIGINT << (o_custkey % 6)::INT) AS bits FROM orders WHERE o_orderkey % 997 = 0 GROUP BY 1) SELECT a.c AS c1, b.c AS c2, d.c AS c3 FROM m a JOIN m b ON a.c > b.c JOIN m d ON b.c > d.c WHERE ((a.bits | b.bits | d.bits) & 63) = 63")
+@R.add("x11_covering_triples", "WITH m AS (SELECT s_nationkey AS c, bit_or(1::BIGINT << (s_suppkey % 9)::INT) AS bits FROM supplier GROUP BY 1) SELECT a.c AS c1, b.c AS c2, d.c AS c3 FROM m a JOIN m b ON a.c > b.c JOIN m d ON b.c > d.c WHERE ((a.bits | b.bits | d.bits) & 511) = 511")
 def covering(t):
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("o_custkey", F.lit(6)).cast("int"))
-    m = t.orders.where("o_orderkey % 997 = 0").groupBy(F.col("o_orderpriority").alias("c")).agg(F.bit_or(bit).alias("bits"))
-    return C.covering_sets(m, F.lit(63).cast("bigint"), 3)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("s_suppkey", F.lit(9)).cast("int"))
+    m = t.supplier.groupBy(F.col("s_nationkey").alias("c")).agg(F.bit_or(bit).alias("bits"))
+    return C.covering_sets(m, F.lit(511).cast("bigint"), 3)
 
 
 @R.add("x15_date_path", "SELECT c_custkey AS page_set, CASE c_custkey % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'meta' WHEN 2 THEN 'time' END AS source, CASE c_custkey % 4 WHEN 0 THEN '/p[1]' WHEN 1 THEN '/meta[1]' ELSE '/time[1]' END AS xpath FROM customer WHERE c_custkey % 4 <> 3")
@@ -58,10 +58,10 @@ def titles(t):
     return C.best_titles(links, a, b)
 
 
-@R.add("x22_partly_known_dates", "SELECT l_orderkey, l_partkey, coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate::DATE END, o_orderdate::DATE) AS day FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
+@R.add("x22_partly_known_dates", "SELECT l_orderkey, l_partkey, coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate::DATE END, o_orderdate::DATE) AS day FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def known_dates(t):
     """Dates of links where the link has one, else those of its page."""
-    pages = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("page_day"))
+    pages = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("page_day"))
     own = F.when(F.col("l_linenumber") % 2 == 0, F.to_date("l_shipdate"))
     return t.lineitem.join(pages, "l_orderkey").select("l_orderkey", "l_partkey", F.coalesce(own, "page_day").alias("day"))
 

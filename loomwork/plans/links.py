@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import urls as U
@@ -79,12 +80,14 @@ def urls_per_host(t):
     return hosts.groupBy("host").agg(F.count("*").alias("n_urls")).where("n_urls > 2")
 
 
-@R.add("a12_hosts_by_links", f"WITH {HOSTS_SQL}, c AS (SELECT host, count(*) AS n_links FROM h GROUP BY host) SELECT host, n_links, row_number() OVER (ORDER BY n_links DESC, host) AS place FROM c ORDER BY n_links DESC, host LIMIT 20")
+@R.add("a12_hosts_by_links", f"WITH {HOSTS_SQL}, c AS (SELECT host, count(*) AS n_links FROM h GROUP BY host) SELECT host, n_links, rank() OVER (ORDER BY n_links DESC) AS place FROM c")
 def hosts_by_links(t):
-    """The busiest hosts first; the ranks are of a top-k, so no window spans all hosts."""
-    top = t.pages.groupBy(U.bare_host(F.col("url")).alias("host")).agg(F.count("*").alias("n_links")).orderBy(F.desc("n_links"), "host").limit(20)
-    ordered = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n_links")).alias("k"), "host"))).alias("rows"))
-    return ordered.select(F.posexplode("rows").alias("pos", "row")).select("row.host", (-F.col("row.k")).alias("n_links"), (F.col("pos") + 1).cast("long").alias("place"))
+    """All hosts with their rank, the busiest first. Ranks come from the table of distinct counts, so no window spans all hosts."""
+    hosts = t.pages.groupBy(U.bare_host(F.col("url")).alias("host")).agg(F.count("*").alias("n_links"))
+    sizes = hosts.groupBy("n_links").agg(F.count("*").alias("n"))
+    before = Window.orderBy(F.desc("n_links")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = sizes.select("n_links", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("place"))
+    return hosts.join(ranks, "n_links").select("host", "n_links", "place")
 
 
 @R.add("p13_host_skip_list", f"WITH {HOSTS_SQL} SELECT page_id, host FROM h WHERE host NOT LIKE 'm.%' AND host NOT IN ('spam-farm.example.org')")

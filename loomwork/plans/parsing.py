@@ -14,8 +14,8 @@ R = Registry()
 
 
 def _feed_documents(t, kind: str):
-    """A feed for each of the first customers, its orders as entries in order of keys."""
-    orders = t.orders.where("o_custkey % 10 = 0").select("o_custkey", "o_orderkey", "o_orderdate", F.concat(F.lit("Post <b>"), F.col("o_orderpriority"), F.lit("</b> & more")).alias("title"))
+    """A feed for each customer, its orders as entries in order of keys."""
+    orders = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", F.concat(F.lit("Post <b>"), F.col("o_orderpriority"), F.lit("</b> & more")).alias("title"))
     key = F.col("o_orderkey").cast("string")
     link, title = F.concat(F.lit("https://example.com/p/"), key), X.escaped_xml(F.col("title"))
     if kind == "rss":
@@ -34,7 +34,7 @@ def _feed_documents(t, kind: str):
 
 def _entries_sql(published: str) -> str:
     return f"""SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, 'https://example.com/p/' || o_orderkey AS url,
- 'Post <b>' || o_orderpriority || '</b> & more' AS title, {published} AS published FROM orders WHERE o_custkey % 10 = 0"""
+ 'Post <b>' || o_orderpriority || '</b> & more' AS title, {published} AS published FROM orders"""
 
 
 def _read(t, kind):
@@ -57,7 +57,7 @@ def atom(t):
 
 
 @R.add("d01_feed_heads", """SELECT o_custkey AS doc_id, k AS kind, CASE k WHEN 'rss' THEN 'Some <blog' WHEN 'rdf' THEN 'example.com' ELSE 'Atom' END AS title, 'https://example.com/' AS root_link,
-CASE k WHEN 'rss' THEN 'tumblr' WHEN 'rdf' THEN 'other' ELSE 'blogger' END AS generator, k AS sniffed FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 10 = 0), (VALUES ('rss'), ('rdf'), ('atom')) v(k)""")
+CASE k WHEN 'rss' THEN 'tumblr' WHEN 'rdf' THEN 'other' ELSE 'blogger' END AS generator, k AS sniffed FROM (SELECT DISTINCT o_custkey FROM orders), (VALUES ('rss'), ('rdf'), ('atom')) v(k)""")
 def heads(t):
     out = None
     for kind in ("rss", "rdf", "atom"):
@@ -85,10 +85,13 @@ def page_titles(t):
     return t.pages.select("page_id", html_pages.page_title(F.col("html"), F.col("url")).alias("title"))
 
 
-@R.add("d12_feed_links", "SELECT page_id, page_id % 3 = 0 AS is_feed FROM pages")
+@R.add("d12_feed_links", "SELECT page_id, page_id % 6 IN (0, 3, 4) AS is_feed FROM pages")
 def feed_links(t):
-    end = F.when(F.col("page_id") % 3 == 0, "/blog/feed.xml?x=1").when(F.col("page_id") % 3 == 1, "/comments/feed").otherwise("/feeds/posts/default?alt=rss")
-    return t.pages.select("page_id", html_pages.is_feed_link(F.concat(F.lit("https://example.com"), end)).alias("is_feed"))
+    """Feeds by the end of their address or by their type; feeds of comments, ?alt=rss twins and other links aren't."""
+    ends = ["/blog/feed.xml", "/comments/feed", "/feeds/posts?alt=rss", "/feeds/posts/default", "/any", "/any"]
+    end = F.get(F.array(*[F.lit(e) for e in ends]), (F.col("page_id") % 6).cast("int"))
+    rel, kind = F.lit("alternate"), F.when(F.col("page_id") % 6 == 4, "application/atom+xml").when(F.col("page_id") % 6 == 2, "application/rss+xml").otherwise("text/html")
+    return t.pages.select("page_id", html_pages.is_feed_link(F.concat(F.lit("https://example.com"), end), rel, kind).alias("is_feed"))
 
 
 @R.add("d16_meta_refresh", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id % 10 END AS delay, CASE WHEN page_id % 2 = 0 THEN url END AS target FROM pages")

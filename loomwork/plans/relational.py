@@ -43,9 +43,9 @@ def like(t):
     return t.part.where(F.col("p_type").ilike("%s%") & (~F.col("p_name").ilike("%1%") | (F.col("p_size") > 10))).select("p_partkey", "p_name")
 
 
-@R.add("p07_pattern_from_columns", "SELECT p_partkey FROM part WHERE contains(p_name, substr(p_brand, length(p_brand))) AND starts_with(p_brand, 'Brand#1')")
+@R.add("p07_pattern_from_columns", "SELECT p_partkey FROM part WHERE contains(p_name, lower(substr(p_type, 1, 1))) AND starts_with(p_brand, 'Brand#1')")
 def pattern_from_columns(t):
-    return t.part.where(F.col("p_name").contains(F.substring("p_brand", -1, 1)) & F.col("p_brand").startswith("Brand#1")).select("p_partkey")
+    return t.part.where(F.col("p_name").contains(F.lower(F.substring("p_type", 1, 1))) & F.col("p_brand").startswith("Brand#1")).select("p_partkey")
 
 
 @R.add("p08_older_than", f"SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '{CUTOFF}'")
@@ -129,14 +129,26 @@ def semi(t):
     return t.customer.select("c_custkey").join(t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@R.add("j06_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@R.add("j06_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def anti(t):
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return t.customer.select("c_custkey").join(t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@R.add("j07_null_aware_anti", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey NOT IN (SELECT nullif(r_regionkey, 0) FROM region)")
+@R.add(
+    "j07_null_aware_anti",
+    """SELECT 'with a null' AS side, n_nationkey AS k FROM nation WHERE n_nationkey NOT IN (SELECT nullif(r_regionkey, 0) FROM region)
+UNION ALL SELECT 'without', n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)
+UNION ALL SELECT 'empty', nullif(n_nationkey, 3) FROM nation WHERE nullif(n_nationkey, 3) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 0)""",
+)
 def null_aware(t):
-    return sets.null_aware_anti(t.nation.select(F.col("n_nationkey").alias("k")), t.region.select(F.nullif(F.col("r_regionkey"), F.lit(0)).alias("k")), "k")
+    """Against a side with a null, one without, and an empty one."""
+    k, r = t.nation.select(F.col("n_nationkey").alias("k")), t.region.select(F.col("r_regionkey").alias("k"))
+    sides = {
+        "with a null": sets.null_aware_anti(k, r.select(F.nullif(F.col("k"), F.lit(0)).alias("k")), "k"),
+        "without": sets.null_aware_anti(k, r, "k"),
+        "empty": sets.null_aware_anti(k.select(F.nullif(F.col("k"), F.lit(3)).alias("k")), r.where("k < 0"), "k"),
+    }
+    return sets.tagged_union(sides, "side")
 
 
 @R.add("j07_extracted_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) FROM customer WHERE c_acctbal > 0 AND regexp_matches(c_name, '[0-9]+$'))")
@@ -204,13 +216,13 @@ def positional_zip(t):
 
 @R.add(
     "j19_cover_pairs",
-    """WITH m AS (SELECT o_orderpriority AS c, bit_or(1::BIGINT << (o_custkey % 40)::INT) AS bits FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1)
+    """WITH m AS (SELECT s_nationkey AS c, bit_or(1::BIGINT << (s_suppkey % 40)::INT) AS bits FROM supplier GROUP BY 1)
 SELECT a.c AS c1, b.c AS c2, bit_count(a.bits | b.bits)::BIGINT AS covered FROM m a JOIN m b ON a.c > b.c""",
 )
 def cover_pairs(t):
     """Pairs of categories and how many posts they cover together; category bitmaps are small, and few."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("o_custkey", F.lit(40)).cast("int"))
-    m = t.orders.where("o_orderkey % 97 = 0").groupBy(F.col("o_orderpriority").alias("c")).agg(F.bit_or(bit).alias("bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("s_suppkey", F.lit(40)).cast("int"))
+    m = t.supplier.groupBy(F.col("s_nationkey").alias("c")).agg(F.bit_or(bit).alias("bits"))
     a, b = m.select(F.col("c").alias("c1"), F.col("bits").alias("x")), m.select(F.col("c").alias("c2"), F.col("bits").alias("y"))
     return a.join(b, F.col("c1") > F.col("c2")).select("c1", "c2", F.bit_count(F.col("x").bitwiseOR(F.col("y"))).cast("long").alias("covered"))
 
@@ -230,11 +242,11 @@ def having(t):
     return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n >= 15")
 
 
-@R.add("a04_duplicates_by_key", "SELECT p_brand || '/' || p_size AS k, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1 HAVING count(*) > 1")
+@R.add("a04_duplicates_by_key", "SELECT p_brand || '/' || p_size AS k, p_partkey FROM part WHERE (p_brand, p_size) IN (SELECT (p_brand, p_size) FROM part GROUP BY p_brand, p_size HAVING count(*) > 1)")
 def duplicates_by_key(t):
-    key = F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"))
-    ids = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string"))
-    return t.part.groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("ids")).where("n > 1").select("k", "ids")
+    """The rows of keys that occur more than once, a row each, so that no group is gathered."""
+    rows = t.part.select(F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("k"), "p_partkey")
+    return rows.join(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "k", "left_semi")
 
 
 @R.add("a05_many_aggregates", "SELECT l_returnflag, max(l_quantity) AS max_q, max(l_extendedprice) AS max_p, count(*) FILTER (l_discount > 0.05) AS n_disc, count(*) FILTER (l_tax > 0.05) AS n_tax, count(*) AS n FROM lineitem GROUP BY 1")
@@ -467,10 +479,11 @@ def alias_dedup(t):
     return rows.groupBy("k").agg(F.min("p_partkey").alias("first"))
 
 
-@R.add("u08_case_insensitive_merge", "SELECT lower(p_brand) AS name, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS links FROM part WHERE p_size = 1 GROUP BY 1")
+@R.add("u08_case_insensitive_merge", "SELECT lower(b) AS name, min(b) AS shown, p_partkey AS link FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS b, p_partkey FROM part) GROUP BY lower(b), p_partkey")
 def case_insensitive_merge(t):
-    ids = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string"))
-    return t.part.where("p_size = 1").groupBy(F.lower("p_brand").alias("name")).agg(F.array_join(ids, ",").alias("links"))
+    """Categories whose names differ in case are one; their links stay rows."""
+    rows = t.part.select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("b"), F.col("p_partkey").alias("link"))
+    return rows.groupBy(F.lower("b").alias("name"), "link").agg(F.min("b").alias("shown")).select("name", "shown", "link")
 
 
 @R.add("u09_two_newest", "WITH r AS (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders), l AS (SELECT o_custkey, n, l_suppkey, min(l_linenumber) AS pos FROM r JOIN lineitem ON l_orderkey = o_orderkey WHERE n <= 2 GROUP BY 1, 2, 3) SELECT b.o_custkey, b.l_suppkey, b.pos FROM l b JOIN l a ON a.o_custkey = b.o_custkey AND a.l_suppkey = b.l_suppkey AND a.n = 1 AND b.n = 2")

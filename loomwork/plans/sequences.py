@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomwork.operators import candidates as C
 from loomwork.operators import masks as M
 from loomwork.operators import sequences as Q
 from loomwork.plans.registry import Registry
@@ -148,10 +149,10 @@ def ranked(t):
     return M.ranked_groups(M.mask_groups(*_links(t))).where("place <= 2").select("page", "mask", F.col("place").cast("long").alias("place"))
 
 
-@R.add("a22_on_every_page", "SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber) = (SELECT count(DISTINCT l_linenumber) FROM lineitem WHERE l_suppkey <= 20)")
+@R.add("a22_on_every_page", "SELECT l_suppkey, l_returnflag FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber) = (SELECT count(DISTINCT l_linenumber) FROM lineitem)")
 def on_every_page(t):
     """(xpath, source) pairs that occur on every page: as many distinct pages as there are."""
-    rows = t.lineitem.where("l_suppkey <= 20").select("l_suppkey", "l_returnflag", "l_linenumber")
+    rows = t.lineitem.select("l_suppkey", "l_returnflag", "l_linenumber")
     pages = rows.agg(F.count_distinct("l_linenumber").alias("n_pages"))
     groups = rows.groupBy("l_suppkey", "l_returnflag").agg(F.count_distinct("l_linenumber").alias("n"))
     return groups.join(F.broadcast(pages), F.col("n") == F.col("n_pages")).select("l_suppkey", "l_returnflag")
@@ -163,30 +164,32 @@ def dominant(t):
     return counts.groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("k", "o_orderpriority")).alias("host"))
 
 
-@R.add("x18_long_feed", "SELECT o_custkey, count(*) > 20 AND count(*) % 10 <> 0 AS is_long FROM orders GROUP BY 1")
+@R.add("x18_long_feed", "SELECT l_suppkey, l_returnflag, l_shipmonth, count(*) > 50 AND count(*) % 100 <> 0 AS is_long FROM (SELECT *, month(l_shipdate) % 3 AS l_shipmonth FROM lineitem) GROUP BY 1, 2, 3")
 def long_feed(t):
-    n = F.count("*")
-    return t.orders.groupBy("o_custkey").agg(((n > 20) & (n % 10 != 0)).alias("is_long"))
+    """Feeds that are longer than a page usually shows, and not cut at a round number."""
+    return t.lineitem.groupBy("l_suppkey", "l_returnflag", (F.month("l_shipdate") % 3).cast("long").alias("l_shipmonth")).agg(C.is_long_feed(F.count("*")).alias("is_long"))
 
 
-@R.add("x25_equal_candidates", "SELECT min(s_nationkey) AS s_nationkey, ks AS keys FROM (SELECT s_nationkey, string_agg((s_suppkey % 3)::VARCHAR, ',' ORDER BY s_suppkey) AS ks FROM supplier GROUP BY 1) GROUP BY ks")
+@R.add("x25_equal_candidates", "SELECT min(s_nationkey) AS s_nationkey, count(*) AS copies FROM (SELECT s_nationkey, string_agg((s_suppkey % 3)::VARCHAR, ',' ORDER BY s_suppkey) AS ks FROM supplier GROUP BY 1) GROUP BY ks")
 def equal_candidates(t):
-    rows = F.array_sort(F.collect_list(F.struct("s_suppkey", (F.col("s_suppkey") % 3).cast("string").alias("k"))))
-    lists = t.supplier.groupBy("s_nationkey").agg(F.array_join(F.transform(rows, lambda x: x["k"]), ",").alias("keys"))
-    return lists.groupBy("keys").agg(F.min("s_nationkey").alias("s_nationkey"))
+    """Candidates whose lists are equal, position by position, are one; the lists are compared by digests of (position, key), and never gathered."""
+    n = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    rows = t.supplier.select("s_nationkey", n.alias("n"), (F.col("s_suppkey") % 3).alias("k"))
+    digest = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("n", "k")).alias("d1"), F.bit_xor(F.xxhash64("k", "n", F.lit(1))).alias("d2")]
+    return rows.groupBy("s_nationkey").agg(*digest).groupBy("size", "d1", "d2").agg(F.min("s_nationkey").alias("s_nationkey"), F.count("*").alias("copies")).select("s_nationkey", "copies")
 
 
 @R.add(
     "x19_redirect_chains",
-    """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part), r AS (SELECT a AS start, a AS loc, 0 AS hops FROM e WHERE a % 7 = 0
+    """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part), r AS (SELECT a AS start, a AS loc, 0 AS hops FROM e
 UNION ALL SELECT start, b, hops + 1 FROM r JOIN e ON e.a = r.loc WHERE hops < 20 AND b > 0) SELECT start, max(hops) AS hops, min(loc) AS target FROM r GROUP BY 1""",
 )
 def redirects(t):
-    """Chains of redirects by pointer doubling: a constant number of joins, each over all chains."""
+    """Chains of redirects by pointer doubling, until none goes on."""
     from loomwork.operators.redirects import resolved
 
     edges = t.part.where("p_partkey > 1").select(F.col("p_partkey").alias("source"), F.floor(F.col("p_partkey") / 2).alias("target"))
-    return resolved(t.part.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("start")), edges, doublings=5).select("start", "hops", "target")
+    return resolved(t.part.select(F.col("p_partkey").alias("start")), edges).select("start", "hops", "target")
 
 
 @R.add("x12_next_pages", r"SELECT a.page_id, b.page_id AS next_id FROM pages a JOIN pages b ON regexp_replace(a.url, '[0-9]+.*$', '') = regexp_replace(b.url, '[0-9]+.*$', '') AND CAST(regexp_extract(b.url, '([0-9]+)', 1) AS BIGINT) = CAST(regexp_extract(a.url, '([0-9]+)', 1) AS BIGINT) + 1")

@@ -121,14 +121,23 @@ def meta_refresh(html: Column) -> Column:
     return F.when(target != "", F.struct(F.regexp_extract(html, pattern, 1).try_cast("int").alias("delay"), F.trim(target).alias("target")))
 
 
-#: Ends of addresses that usually are feeds.
-FEED_ENDS = ("/feed", "/feed/", "/rss", "/rss/", "/atom", "/atom/", "/index.xml", "/feed.xml", "/rss.xml", "/atom.xml", ".rss", ".atom", "/feeds/posts/default")
+#: Ends of addresses that usually are feeds, types of feeds, and the path of feeds of comments.
+FEED_ENDS = (
+    "/feed.xml", "/feed", "/feed/", "/index.xml", "/rss.xml", "/atom.xml", "/default", "/rss", "/rss/", "/all.atom.xml", "/feed.rss", "/feed.atom", "/index.rss",
+)
+FEED_TYPES = ("application/rss+xml", "application/atom+xml")
+COMMENT_FEED = r"/comments/(feed|default)/?$"
 
 
-def is_feed_link(href: Column) -> Column:
-    """Does the address look like a feed of posts? Feeds of comments and ?alt=rss twins don't count."""
-    base = F.lower(F.regexp_extract(href, r"^[^?#]*", 0))
-    ends = F.lit(False)
+def is_feed_link(href: Column, rel: Column | None = None, kind: Column | None = None) -> Column:
+    """Is the link one to a feed of posts, by the end of its address or as an alternate of a feed's type?
+
+    Feeds of comments and addresses that end in ?alt=rss don't count.
+    """
+    found = F.lit(False)
     for end in FEED_ENDS:
-        ends = ends | base.endswith(end)
-    return ends & ~F.lower(href).contains("alt=rss") & ~base.contains("/comments/")
+        found = found | href.endswith(end)
+    if rel is not None and kind is not None:
+        found = found | (F.coalesce(rel == "alternate", F.lit(False)) & F.coalesce(kind.isin(*FEED_TYPES), F.lit(False)))
+    path = F.regexp_extract(href, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return found & ~F.regexp_replace(href, r"#.*$", "").endswith("?alt=rss") & ~path.rlike(COMMENT_FEED)
