@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Query keys that tell pages apart.
@@ -175,3 +175,33 @@ def collapsed_referrer(referrer: Column, own_hosts: Sequence[str], label: str) -
     """null for none, one label for the site's own hosts, else the referrer itself."""
     host = F.regexp_extract(referrer, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     return F.when(referrer == "", None).when(host.isin(*own_hosts), F.lit(label)).otherwise(referrer)
+
+
+def preferred_feed(found: Column) -> Column:
+    """Of the feeds found on the way up to the root (an array, nulls where there is none) the one that counts.
+
+    A later one replaces an earlier one, unless that is below /blog/ or /posts/ and the later one isn't.
+    """
+    leaves = lambda a, b, part: a.contains(part) & ~b.contains(part)
+    keeps = lambda a, b: b.isNull() | F.coalesce(leaves(a, b, "/blog/") | leaves(a, b, "/posts/"), F.lit(False))
+    return F.aggregate(found, F.lit(None).cast("string"), lambda acc, f: F.when(keeps(acc, f), acc).otherwise(f))
+
+
+def discovery_results(starts: DataFrame, fetched: DataFrame, links: DataFrame) -> DataFrame:
+    """starts (url, ...) with `result`: not_a_url, unreachable, single, multiple, none, or bad.
+
+    fetched: url, content, is_feed, of what could be fetched. links: url, link, the feed links of those that are pages; links that repeat
+    count once. A feed that can't be read to its end is bad.
+    """
+    counts = links.distinct().groupBy("url").agg(F.count("*").alias("_n"))
+    known = fetched.select("url", "is_feed", F.col("content").rlike(r"(?is)</(rss|feed|rdf:rdf)>\s*$").alias("_whole"))
+    met = starts.join(known, "url", "left").join(counts, "url", "left")
+    result = (
+        F.when(canonical_link(F.col("url")).isNull(), "not_a_url")
+        .when(F.col("is_feed").isNull(), "unreachable")
+        .when(F.col("is_feed"), F.when(F.col("_whole"), "single").otherwise("bad"))
+        .when(F.coalesce("_n", F.lit(0)) == 0, "none")
+        .when(F.col("_n") == 1, "single")
+        .otherwise("multiple")
+    )
+    return met.select(*starts.columns, result.alias("result"))

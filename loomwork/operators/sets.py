@@ -45,6 +45,17 @@ def versioned_upsert(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], v
     return upsert(stored, newer, keys, [F.col(version).desc()])
 
 
+def counted_upsert(stored: DataFrame, sent: DataFrame, key: str, version: str) -> DataFrame:
+    """(key, version, updated): what is stored after `sent` (key, version).
+
+    What isn't stored gets version 1; a version that isn't greater than the stored one changes nothing; without a version the stored one is counted up.
+    """
+    met = sent.select(key, F.col(version).alias("_new")).join(stored.select(key, F.col(version).alias("_old")), key, "full")
+    conflict = F.col("_new").isNotNull() & (F.col("_new") <= F.col("_old"))
+    out = F.when(F.col("_old").isNull(), F.lit(1)).when(conflict, F.col("_old")).otherwise(F.coalesce("_new", F.col("_old") + 1))
+    return met.select(key, out.alias(version), (~F.coalesce(conflict, F.lit(False))).alias("updated"))
+
+
 def null_aware_anti(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
     """NOT IN with SQL's nulls: a null on the other side leaves no row, and a null here is kept only if the other side is empty.
 

@@ -17,7 +17,11 @@ def links_in_text(text: Column) -> Column:
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """(url, timestamp, message_id, thread_id, channel, author): a row for each address in each message of the exports."""
-    docs = spark.read.schema(EXPORT_SCHEMA).json(path, multiLine=True)
+    return message_links(spark.read.schema(EXPORT_SCHEMA).json(path, multiLine=True))
+
+
+def message_links(docs: DataFrame) -> DataFrame:
+    """As read_messages, of exports (see EXPORT_SCHEMA) that are read already."""
     rows = docs.select("channel", F.explode("messages").alias("m"))
     return rows.select(
         F.explode(links_in_text(F.col("m.content"))).alias("url"), F.col("m.timestamp").alias("timestamp"), F.col("m.id").alias("message_id"),
@@ -27,7 +31,12 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
     """(url, title, created_at, points) of search pages; hits without an address are left out."""
-    hits = spark.read.schema(SEARCH_SCHEMA).json(path, multiLine=True).select(F.explode("hits").alias("h")).where("h.url IS NOT NULL")
+    return search_hits(spark.read.schema(SEARCH_SCHEMA).json(path, multiLine=True))
+
+
+def search_hits(docs: DataFrame) -> DataFrame:
+    """As read_search_pages, of pages (see SEARCH_SCHEMA) that are read already."""
+    hits = docs.select(F.explode("hits").alias("h")).where("h.url IS NOT NULL")
     created = F.date_format(F.to_timestamp(F.regexp_replace("h.created_at", r"(?:\.\d+)?Z$", ""), "yyyy-MM-dd'T'HH:mm:ss"), "yyyy-MM-dd HH:mm:ss")
     return hits.select("h.url", "h.title", created.alias("created_at"), "h.points")
 

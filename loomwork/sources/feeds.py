@@ -1,7 +1,7 @@
 """RSS, RDF and Atom documents as rows, in Arrow batches.
 
 A document's text is sanitised (characters that XML doesn't allow are dropped), parsed, and read by one of three small
-readers. What can't be parsed is a row with its error, never a failed job.
+readers. What isn't well-formed is read by a tolerant reader; what is no feed is a row with its error, never a failed job.
 """
 
 from __future__ import annotations
@@ -30,6 +30,52 @@ def sniffed_kind(content):
     return F.when(name == "rss", "rss").when(name == "rdf", "rdf").when(name == "feed", "atom")
 
 
+_TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<\?.*?\?>|<![^>]*>|</(?P<end>[^\s>]+)[^>]*>|<(?P<start>[A-Za-z_][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
+_ATTR = re.compile(r"([^\s=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+
+
+def _tolerant(content: str) -> ET.Element:
+    """The elements of a document that isn't well-formed.
+
+    Names of entities are looked up as in HTML, and stay as they are where there is none; prefixes needn't be declared; an end tag ends what is
+    open inside its element, and is passed over without one; what is open at the end is ended.
+    """
+    root, stack = None, []
+    for m in _TOKEN.finditer(content):
+        if m["start"]:
+            prefix, _, name = m["start"].rpartition(":")
+            attrs = {k: html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m["attrs"].rstrip("/"))}
+            e = ET.Element(f"{{{prefix}}}{name}" if prefix else name, attrs)
+            if stack:
+                stack[-1].append(e)
+            elif root is None:
+                root = e
+            else:
+                break
+            if not m["attrs"].endswith("/"):
+                stack.append(e)
+        elif m["end"]:
+            name = m["end"].rpartition(":")[2]
+            if any(_name(e) == name for e in stack):
+                while _name(stack.pop()) != name:
+                    pass
+        elif stack and (text := m["cdata"] if m["cdata"] is not None else html.unescape(m["text"] or "")):
+            if len(stack[-1]):
+                stack[-1][-1].tail = (stack[-1][-1].tail or "") + text
+            else:
+                stack[-1].text = (stack[-1].text or "") + text
+    if root is None:
+        raise ET.ParseError("no element")
+    return root
+
+
+def _root(content: str) -> ET.Element:
+    try:
+        return ET.fromstring(content)
+    except ET.ParseError:
+        return _tolerant(content)
+
+
 def _name(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
 
@@ -72,7 +118,7 @@ def parse(content: str | None, url: str | None) -> dict:
     """kind, title, root_link, generator, error and entries of a document; entries in document order."""
     out = {"kind": None, "title": None, "root_link": None, "generator": None, "error": None, "entries": []}
     try:
-        root = ET.fromstring(_DECLARED.sub("", _BAD.sub("", content or "")))
+        root = _root(_DECLARED.sub("", _BAD.sub("", content or "")))
     except ET.ParseError as e:
         return out | {"error": f"not XML: {e}"}
     name, host = _name(root).lower(), urlsplit(url or "").netloc
@@ -101,7 +147,7 @@ def read_feeds(docs: DataFrame) -> DataFrame:
     """A row (see SCHEMA) for each document of docs (doc_id, content, url)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (whole[i : i + 100] for whole in frames for i in range(0, len(whole), 100)):
             rows = [{"doc_id": i, **parse(c, u)} for i, c, u in zip(frame["doc_id"], frame["content"], frame["url"], strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "title", "root_link", "generator", "error", "entries"])
 

@@ -15,6 +15,30 @@ LINK_SCHEMA = "page_id long, pos int, tag string, href string, text string, xpat
 DATE_SCHEMA = "page_id long, pos int, source string, value string, xpath string"
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements of the head, parts of tables, and what ends a paragraph.
+HEAD = frozenset("base link meta noscript script style template title".split())
+TABLE = frozenset("caption colgroup tbody td tfoot th thead tr".split())
+BLOCKS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
+)
+_SCOPE = frozenset("table td th caption button object template".split())
+#: start tag -> (elements that it ends, elements that keep it from ending those around them)
+ENDS = {t: (frozenset({"p"}), _SCOPE) for t in BLOCKS} | {
+    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu", "table"})),
+    "dt": (frozenset({"dt", "dd"}), frozenset({"dl", "table"})),
+    "dd": (frozenset({"dt", "dd"}), frozenset({"dl", "table"})),
+    "option": (frozenset({"option"}), frozenset({"select", "optgroup"})),
+    "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
+    "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
+    "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
+    "tr": (frozenset({"td", "th", "tr"}), frozenset({"tbody", "thead", "tfoot", "table"})),
+    "tbody": (frozenset({"td", "th", "tr", "tbody", "thead", "tfoot"}), frozenset({"table"})),
+    "thead": (frozenset({"td", "th", "tr", "tbody", "thead", "tfoot"}), frozenset({"table"})),
+    "tfoot": (frozenset({"td", "th", "tr", "tbody", "thead", "tfoot"}), frozenset({"table"})),
+    "a": (frozenset({"a"}), _SCOPE),
+}
+KINDS = ("category", "tag")
+AT_ONCE = 100  #: pages that are parsed before their rows leave
 
 
 def _classes(value: str | None) -> str:
@@ -31,8 +55,59 @@ class _Walker(HTMLParser):
         self.links: list[dict] = []
         self.dates: list[dict] = []
         self.within: list[dict] = []
+        self.named: list[dict] = []
+        self.naming: list[tuple[int, dict]] = []
+        self.had_body = False
+
+    def _push(self, tag: str, attrs: dict[str, str | None]) -> tuple[str, str]:
+        """Open an element; its paths."""
+        self.counts[-1][tag] += 1
+        path = f"{self.open[-1][1]}/{tag}[{self.counts[-1][tag]}]"
+        by_class = f"{self.open[-1][2]}/{tag}({_classes(attrs.get('class'))})[{self.counts[-1][tag]}]"
+        self.open.append((tag, path, by_class))
+        self.counts.append(Counter())
+        return path, by_class
+
+    def _imply(self, tag: str) -> None:
+        """Open and close what the standard has a start tag open and close: html, head, body, rows of tables, items without end tags."""
+        names = [name for name, _, _ in self.open]
+        if "html" not in names:
+            self._push("html", {})
+            names.append("html")
+        if "body" not in names:
+            if tag in HEAD and not self.had_body:
+                if "head" not in names:
+                    self._push("head", {})
+            else:
+                while self.open[-1][0] != "html":
+                    self._close()
+                if tag != "body":
+                    self._push("body", {})
+                self.had_body = True
+        if tag in ENDS:
+            ended, stops = ENDS[tag]
+            for name, _, _ in reversed(self.open[1:]):
+                if name in stops:
+                    break
+                if name in ended:
+                    while self.open[-1][0] != name:
+                        self._close()
+                    self._close()
+                    if tag not in TABLE:
+                        break
+        if tag in ("tr", "td", "th") and self.open[-1][0] == "table":
+            self._push("tbody", {})
+        if tag in ("td", "th") and self.open[-1][0] in ("tbody", "thead", "tfoot"):
+            self._push("tr", {})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ("html", "head", "body") and any(name == tag for name, _, _ in self.open):
+            return
+        if tag not in ("html", "head"):
+            self._imply(tag)
+        elif tag == "head":
+            if not any(name == "html" for name, _, _ in self.open):
+                self._push("html", {})
         self.counts[-1][tag] += 1
         at = dict(attrs)
         path = f"{self.open[-1][1]}/{tag}[{self.counts[-1][tag]}]"
@@ -46,6 +121,9 @@ class _Walker(HTMLParser):
             self.dates.append({"source": "meta", "value": at.get("content") or "", "xpath": path})
         if tag == "time" and at.get("datetime"):
             self.dates.append({"source": "time", "value": at["datetime"] or "", "xpath": path})
+        if tag == "a" and (kinds := {k for k in KINDS if re.search(rf"(?:^|[\s_-]){k}(?:$|[\s_-])", rel)}):
+            self.named.append({"kinds": sorted(kinds), "name": ""})
+            self.naming.append((len(self.open), self.named[-1]))
         if tag not in VOID:
             self.open.append((tag, path, by_class))
             self.counts.append(Counter())
@@ -59,12 +137,16 @@ class _Walker(HTMLParser):
     def _close(self) -> None:
         if self.open[-1][0] == "a" and self.within:
             self.within.pop()
+        if self.naming and self.naming[-1][0] == len(self.open) - 1:
+            self.naming.pop()
         self.open.pop()
         self.counts.pop()
 
     def handle_data(self, data: str) -> None:
         for link in self.within:
             link["text"] += data
+        for _, link in self.naming:
+            link["name"] += data
         text = data.strip()
         if self.open[-1][0] not in ("script", "style", "") and re.search(r"\d", text) and len(text) <= 128:
             self.dates.append({"source": "text", "value": text, "xpath": self.open[-1][1]})
@@ -85,7 +167,7 @@ def read_links(pages: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in LINK_SCHEMA.split(", ")]
-        for frame in frames:
+        for frame in (whole[i : i + AT_ONCE] for whole in frames for i in range(0, len(whole), AT_ONCE)):
             rows = []
             for page, html in zip(frame["page_id"], frame["html"], strict=True):
                 kept = [x for x in _walked(html).links if x["tag"] != "a" or x["text"].strip() or x["label"]]
@@ -100,13 +182,29 @@ def read_dates(pages: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in DATE_SCHEMA.split(", ")]
-        for frame in frames:
+        for frame in (whole[i : i + AT_ONCE] for whole in frames for i in range(0, len(whole), AT_ONCE)):
             rows = [{"page_id": p, "pos": i, **x} for p, h in zip(frame["page_id"], frame["html"], strict=True) for i, x in enumerate(_walked(h).dates)]
             yield pd.DataFrame(rows, columns=names)
 
     return pages.select("page_id", "html").mapInPandas(run, DATE_SCHEMA)
 
 
+def read_categories(pages: DataFrame, default: str = "Uncategorized") -> DataFrame:
+    """(page_id, kind, name) of pages (page_id, html): categories and tags by the rel of links; a page without any of a kind is in the default one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in (whole[i : i + AT_ONCE] for whole in frames for i in range(0, len(whole), AT_ONCE)):
+            rows = []
+            for page, html in zip(frame["page_id"], frame["html"], strict=True):
+                named = _walked(html).named
+                for kind in KINDS:
+                    own = list(dict.fromkeys(" ".join(x["name"].split()) for x in named if kind in x["kinds"]))
+                    rows += [(page, kind, name) for name in own or [default]]
+            yield pd.DataFrame(rows, columns=["page_id", "kind", "name"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, kind string, name string")
+
+
 def page_title(html: Column, url: Column) -> Column:
     """og:title, else the title element, else the URL."""
     og = F.nullif(F.regexp_extract(html, r"""(?i)<meta[^>]*property=["']og:title["'][^>]*content=["']([^"']*)["']""", 1), F.lit(""))

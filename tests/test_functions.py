@@ -139,6 +139,41 @@ def test_feeds():
     assert feeds.parse(None, None)["error"].startswith("not XML")
 
 
+MALFORMED = [
+    ("<rss><channel><title>a&nbsp;b</title><item><link>http://a/</link></item></channel></rss>", "a b", ["http://a/"]),
+    ('<rss><channel><atom:link href="x"/><title>t</title><item><link>http://a/?a=1&b=2</link></item></channel></rss>', "t", ["http://a/?a=1&b=2"]),
+    ("<rss><channel><title>x &bogus; y</title><item><link>http://a/</link></b></item><item><link>http://b/</link>", "x &bogus; y", ["http://a/", "http://b/"]),
+    ("<rss><channel><title><![CDATA[a <b> & c]]></title><!-- & --><item><link>http://a/</link></item></channel></rss>&", "a <b> & c", ["http://a/"]),
+]
+
+
+@pytest.mark.parametrize("content,title,urls", MALFORMED)
+def test_feeds_that_are_not_well_formed(content, title, urls):
+    got = feeds.parse(content, None)
+    assert (got["kind"], got["title"], [e["url"] for e in got["entries"]]) == ("rss", title, urls)
+
+
+PATHS = [
+    ("<ul><li><a href=1>a</a><li><a href=2>b</a></ul>", ["/ul[1]/li[1]/a[1]", "/ul[1]/li[2]/a[1]"]),
+    ("<p><a href=1>a</a><p><a href=2>b</a><div><a href=3>c</a></div>", ["/p[1]/a[1]", "/p[2]/a[1]", "/div[1]/a[1]"]),
+    ("<table><tr><td><a href=1>a</a><td><a href=2>b</a><tr><th><a href=3>c</a></table><a href=4>d", ["/table[1]/tbody[1]/tr[1]/td[1]/a[1]", "/table[1]/tbody[1]/tr[1]/td[2]/a[1]", "/table[1]/tbody[1]/tr[2]/th[1]/a[1]", "/a[1]"]),
+    ("<dl><dt><a href=1>a</a><dd><a href=2>b</a><dt><a href=3>c</a></dl>", ["/dl[1]/dt[1]/a[1]", "/dl[1]/dd[1]/a[1]", "/dl[1]/dt[2]/a[1]"]),
+    ("<ul><li><ul><li><a href=1>a</a></ul><li><a href=2>b</a></ul>", ["/ul[1]/li[1]/ul[1]/li[1]/a[1]", "/ul[1]/li[2]/a[1]"]),
+    ("<html><head><title>t</title><body><a href=1>a</a>", ["/a[1]"]),
+]
+
+
+@pytest.mark.parametrize("markup,paths", PATHS)
+def test_implied_tags(markup, paths):
+    assert [x["xpath"] for x in html_pages._walked(markup).links] == ["/html[1]/body[1]" + p for p in paths]
+
+
+def test_feed_links(spark):
+    rows = [("http://a/feed", None, None, True), ("http://a/comments/feed/", None, None, False), ("http://a/comments/default", None, None, False), ("http://a/x/comments/y/feed", None, None, True), ("/feeds/posts/default?alt=rss", None, None, False), ("/any", "alternate", "application/rss+xml", True), ("/any", "next", "application/rss+xml", False), ("/all.atom.xml", None, None, True), ("/atom", None, None, False)]
+    df = spark.createDataFrame(rows, "href string, rel string, kind string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", html_pages.is_feed_link(F.col("href"), F.col("rel"), F.col("kind")).alias("got")).collect())
+
+
 def test_html_links(spark):
     html = "<html><body><div class='b a post-7'><a href='/x'>one</a><a href='/y'></a><a href='/z' aria-label='z'></a></div><p>3 May 2020<br><area href='/q'></body>"
     df = spark.createDataFrame([(1, html), (2, None), (3, "<<<")], "page_id long, html string")

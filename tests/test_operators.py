@@ -121,3 +121,39 @@ def test_versions(spark):
     assert sorted(tuple(r) for r in sets.versioned_upsert(stored, fresh, ["k"], "version").collect()) == [(1, 3), (2, 4), (3, 1)]
     history = spark.createDataFrame([("a", 1), ("a", 1_000_000), ("b", 1_000_000)], "k string, version int")
     assert sorted(tuple(r) for r in sets.demoted_versions(history, "k", "version").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_archives(spark):
+    from loomwork.operators import archives
+
+    feed = spark.createDataFrame([("f", i, k, T[18 - i]) for i, k in enumerate("abcde")], "feed string, pos int, key string, at timestamp_ntz")
+    whole = "abcdefgh"
+    lists = {1: whole, 2: whole[::-1], 3: whole[1:], 4: "abdefgh", 5: "cdefgh", 6: "abcd", 7: "hbcdefga"}
+    days = {k: T[18 - i] for i, k in enumerate(whole)}
+    rows = [(n, "f", i, k, days[k] if n == 7 else None) for n, keys in lists.items() for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "list int, feed string, pos int, key string, day timestamp_ntz")
+    got = {(r.list, r.kind, r.n) for r in archives.archive_matches(df, feed).collect()}
+    assert got == {(1, "sorted", 8), (2, "reverse", 8), (3, "except_first", 7), (4, "pinned", 7), (7, "by_date", 8)} | {(6, "pinned", 4)}
+    best = archives.best_archives(df, feed).collect()
+    assert [(r.list, r.kind) for r in best] == [(1, "sorted")]
+    heads = spark.createDataFrame([(5, 0, "a"), (5, 1, "b"), (1, 0, "a")], "list int, pos int, key string")
+    assert [(r.list, r.n) for r in archives.two_part_lists(heads, df.where("list IN (1, 5)"), feed).collect()] == [(5, 8)]
+
+
+def test_long_chains_and_cycles(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (201, 200)], "source int, target int")
+    got = {r.start: (r.target, r.hops, r.is_cycle) for r in redirects.resolved(spark.createDataFrame([(0,), (37,), (200,)], "start int"), edges).collect()}
+    assert got[0] == (100, 100, False) and got[37] == (100, 63, False) and got[200][2]
+
+
+def test_feed_diff_shuffles_each_input_once(spark):
+    f = feed_of(spark, ["n", "a", "b", "c"])
+    plan = sequences.feed_diff(f, list_of(spark, "abc"), list_of(spark, "d"), list_of(spark, "m"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 8 and plan.count("Window") == 0
+
+
+def test_upserts_that_count(spark):
+    stored = spark.createDataFrame([(1, 2), (2, 5), (3, 5)], "id int, version int")
+    sent = spark.createDataFrame([(1, None), (2, 6), (3, 5), (4, 9)], "id int, version int")
+    got = {r.id: (r.version, r.updated) for r in sets.counted_upsert(stored, sent, "id", "version").collect()}
+    assert got == {1: (3, True), 2: (6, True), 3: (5, False), 4: (1, True)}
