@@ -12,7 +12,8 @@ escape gives the text back.
 Defined cases: null text is empty; null role is an empty role; roles that the template doesn't name
 are kept under an escaped label; turns are ordered by (turn, role, text), nulls first, and repeated turns are all
 kept; an order of roles that the machine rejects is flagged (`valid`, `bad_turn`), never dropped. A
-conversation is the unit of the output, so all its turns meet in one row.
+conversation is the unit of the output, so all its turns meet in one row; a very long text is one
+segment; empty conversations give no rows; columns are picked by exact name.
 """
 
 from __future__ import annotations

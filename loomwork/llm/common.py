@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.sources.storage import removed, scratch, shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows and bytes of a side that may be broadcast; a side is measured first, and beyond these the join is left to shuffle.
@@ -39,33 +38,21 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='loomwork-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before
-        pass
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master one of our own where that is unset."""
+    return shared_folder(spark)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     Later steps then survive lost executors without the steps before, and a
-    value computed once (ids, picks) is the same for all who read it.
+    value computed once (ids, picks) is the same for all who read it. Columns are numbered in the file, so their names may clash.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomwork-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
+    path = scratch(spark, f"loomwork-{name}")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
     out._staged_at = path
     return out
 
@@ -74,7 +61,7 @@ def unstage(*frames: DataFrame) -> None:
     """Remove staged tables that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_staged_at", None):
-            _remove(df.sparkSession, path)
+            removed(df.sparkSession, path)
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -13,7 +13,8 @@ blocks of at most BLOCK_ROWS, with one pass over the documents for each block; a
 benchmark costs more passes, not more memory.
 
 Defined cases: null text has no words; rows of documents that repeat are judged each; a null item_id counts as the item "null"; items
-that repeat count once; an empty benchmark leaves every document clean.
+that repeat count once; an empty benchmark leaves every document clean, empty documents give no
+rows; a very long text is one row's array of words; columns are picked by exact name.
 """
 
 from __future__ import annotations

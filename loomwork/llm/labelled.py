@@ -1,7 +1,7 @@
 """Labelled examples for the two classifiers, and scores for all documents.
 
 The examples are a bounded sample: at most `most` labelled documents, those whose ids have the least hashes. The
-bound is a parameter; scoring covers every row and the whole of every text.
+bound is a parameter; scoring covers every row and the whole of every text, a thousand rows of a batch at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ def examples(
 ) -> tuple[list[np.ndarray], np.ndarray]:
     """(features, labels) of the sample, outside the held-out fold.
 
-    Null ids and null labels are left out; of several labels of one document the largest counts.
+    Null ids and null labels are left out; of several labels of one document the largest counts, of several texts of one
+    document the one whose features are least as bytes.
     """
     known = pick(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.where(~is_held_out(F.col("doc_id"), folds, fold))
@@ -62,10 +63,15 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], text: str
     return docs.mapInArrow(run, schema)
 
 
-def filtered(docs: DataFrame, score: Callable[[list[str]], np.ndarray], keep: Callable) -> DataFrame:
-    """The rows of docs, all columns, whose score `keep` accepts."""
+def filtered(docs: DataFrame, model, keep: Callable) -> DataFrame:
+    """The rows of docs, all columns, whose score `keep` accepts; all of them if the model had nothing to tell apart.
+
+    model: has `score(texts)` and `fitted`, which is False if there were no labels, or labels of one class only.
+    """
+    if not model.fitted:
+        return docs
     plain, (text,) = numbered(docs, "text")
-    return scored(plain, score, text).where(keep(F.col("score"))).drop("score").toDF(*docs.columns)
+    return scored(plain, model.score, text).where(keep(F.col("score"))).drop("score").toDF(*docs.columns)
 
 
 def verdicts(docs: DataFrame, score: Callable[[list[str]], np.ndarray], folds: int, fold: int, threshold: float = 0.3) -> DataFrame:

@@ -7,8 +7,9 @@ there or not. Each indicator is scaled by the log ratio
 of its smoothed shares in the two classes, and a linear model with hinge loss is fitted by dual coordinate
 descent. Platt's sigmoid makes margins into scores.
 
-Defined cases: null and empty texts have the score of no n-grams; equal texts have equal scores; with labels of one
-class only every text scores near that class.
+Defined cases: null and empty texts have the score of no n-grams; equal texts, repeated rows among them, have equal scores; long texts are read
+whole; without labels all texts score 0.5, with labels of one class near that class, and `with_quality` then keeps every row; an empty
+table gives no rows; columns are picked by exact name.
 """
 
 from __future__ import annotations
@@ -65,6 +66,7 @@ class NBSVM:
     offset: float
     a: float
     b: float
+    fitted: bool = True
 
     def score(self, texts: list[str]) -> np.ndarray:
         known: dict[str, int] = {}
@@ -78,7 +80,7 @@ class NBSVM:
 
 def fit(features: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int = 20, seed: int = 7) -> NBSVM:
     if not len(labels) or labels.min() == labels.max():
-        return NBSVM(np.zeros(BUCKETS), 0.0, 1.0, 0.0 if not len(labels) else (5.0 if labels[0] else -5.0))
+        return NBSVM(np.zeros(BUCKETS), 0.0, 1.0, 0.0 if not len(labels) else (5.0 if labels[0] else -5.0), False)
     flat = np.concatenate(features).view(np.int32)
     of = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
     n1, n0 = labels.sum(), len(labels) - labels.sum()
@@ -122,4 +124,4 @@ def score_quality(docs: DataFrame, model: NBSVM) -> DataFrame:
 
 def with_quality(docs: DataFrame, model: NBSVM, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, that score at least the threshold."""
-    return filtered(docs, model.score, lambda score: score >= threshold)
+    return filtered(docs, model, lambda score: score >= threshold)

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import shared_dir, stage, table
+from loomwork.llm.common import stage, table
+from loomwork.sources.storage import scratch
 
 
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.warc import parse_records, read_records, write_archive
 
-    folder = f"{shared_dir(spark)}/loomwork-warc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "loomwork-warc")
     write_archive(table(spark, sf_dir, "pages"), folder)
     return parse_records(read_records(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -9,7 +9,9 @@ pairs of terms, such as an insult with the mention of a group, have a weight tha
 Fitted by Adam on the logistic loss, with fixed seed and order, on a bounded sample of labelled rows: first the
 terms whose shares differ most between the classes, then, from there, all terms, with steps that fade with the
 gradient, so what the first leave unexplained moves terms that matter only in pairs.
-Defined cases: null and empty texts have the score of no terms; equal texts have equal scores.
+Defined cases: null and empty texts have the score of no terms; equal texts, repeated rows among them, have equal scores; long texts are read whole, their terms
+counted once; without labels all texts score 0.5, with labels of one class near that class, and `without_toxic` then keeps every row; an empty table
+gives no rows; columns are picked by exact name.
 """
 
 from __future__ import annotations
@@ -54,6 +56,7 @@ class FactorizationMachine:
     buckets: np.ndarray
     weights: np.ndarray
     vectors: np.ndarray
+    fitted: bool = True
 
     def score(self, texts: list[str]) -> np.ndarray:
         place = np.full(BUCKETS, -1, np.int32)
@@ -111,7 +114,7 @@ def _descend(theta: np.ndarray, bias: float, rows: list[np.ndarray], labels: np.
 def fit(features: list[np.ndarray], labels: np.ndarray, epochs: int = 30, seed: int = 7) -> FactorizationMachine:
     if not len(labels) or labels.min() == labels.max():  # nothing to tell apart
         bias = 0.0 if not len(labels) else (5.0 if labels[0] else -5.0)
-        return FactorizationMachine(bias, np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, FACTORS)))
+        return FactorizationMachine(bias, np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, FACTORS)), False)
     flat = np.concatenate(features).view(np.int32)
     of = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
     n1, n0 = labels.sum(), len(labels) - labels.sum()
@@ -153,4 +156,4 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, that score under the threshold."""
-    return filtered(docs, model.score, lambda score: score < threshold)
+    return filtered(docs, model, lambda score: score < threshold)

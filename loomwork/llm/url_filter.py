@@ -9,7 +9,8 @@ confirmed rule decides.
 
 Defined cases: a null URL, or one without "://", has an empty host and path, and no rule fits it unless
 its host is empty; page rows that repeat are judged each; of rules of the same length
-the one with the longer host wins, then block before allow. A page that no rule fits gets `default`.
+the one with the longer host wins, then block before allow. A page that no rule fits gets `default`; so do all
+without rules; a very long URL has no more expressions than a short one; empty pages give no rows; columns are picked by exact name.
 """
 
 from __future__ import annotations

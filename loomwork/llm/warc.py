@@ -13,7 +13,8 @@ record's bytes together, parses them, and verifies both digests against the byte
 
 Defined cases: null html is an empty payload; a null url is an empty target; line breaks in a url are
 percent-encoded; a null page_id sorts below all others; rows that repeat
-with the largest page_id of their payload are all responses; payloads under `least` bytes are never revisited.
+with the largest page_id of their payload are all responses; payloads under `least` bytes are never revisited; an
+empty table makes an empty archive; a very long payload is one binary value (2 GB at most, as everywhere in Spark); columns are picked by exact name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import pick
 
+#: The time of capture where none is given: pages have none, and equal pages make equal archives.
+CAPTURED = "1970-01-01T00:00:00Z"
 EOL, GAP = "\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -36,8 +39,8 @@ def _payloads(pages: DataFrame) -> DataFrame:
     return pick(pages, "page_id", "url", "html").select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
 
 
-def write_archive(pages: DataFrame, folder: str, least: int = 1000) -> None:
-    """Write the records of pages (page_id, url, html) to `folder`."""
+def write_archive(pages: DataFrame, folder: str, least: int = 1000, date: str = CAPTURED) -> None:
+    """Write the records of pages (page_id, url, html) to `folder`. `date` is the time of capture (UTC, ISO 8601) of all records."""
     spark = pages.sparkSession
     rows = _payloads(pages)
     rows.groupBy("digest").agg(
@@ -59,6 +62,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = 1000) -> None:
         F.lit(f"WARC/1.1{EOL}"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", _id(F.col("page_id"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", _id(F.col("holder"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
