@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Filtering stages return
 the rows that stay, with all columns of docs; the last returns the pieces of packed sequences.
+
+Defined cases, of every stage: an empty table gives an empty table; extra columns stay as they are, whatever their names; very long texts are
+read whole. Null and empty texts score as texts without terms, so the classifiers keep or drop all of them alike; they are near
+duplicates of nothing, hold nothing of the benchmark, and pack as the end id alone. Repeated rows have equal scores, stay one row in near_dedup, and elsewhere
+each for itself; of near duplicates the least doc_id stays, a null doc_id is linked with nothing. Without labels, or with labels of one class only,
+a classifier keeps every document; without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
