@@ -81,28 +81,29 @@ class NBSVM:
 def fit(features: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int = 20, seed: int = 7) -> NBSVM:
     if not len(labels) or labels.min() == labels.max():
         return NBSVM(np.zeros(BUCKETS), 0.0, 1.0, 0.0 if not len(labels) else (5.0 if labels[0] else -5.0), False)
-    flat = np.concatenate(features).view(np.int32)
-    of = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+    counts = np.zeros((2, BUCKETS))
+    for f, label in zip(features, labels, strict=True):  # a text's buckets are distinct
+        counts[int(label), f] += 1
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    p1 = (np.bincount(flat[labels[of] > 0], minlength=BUCKETS) + 1) / (n1 + 2)
-    p0 = (np.bincount(flat[labels[of] == 0], minlength=BUCKETS) + 1) / (n0 + 2)
+    p1 = (counts[1] + 1) / (n1 + 2)
+    p0 = (counts[0] + 1) / (n0 + 2)
     ratio = np.log(p1 / p0)
-    ratio[np.bincount(flat, minlength=BUCKETS) < 3] = 0  # too rare to tell
+    ratio[counts.sum(0) < 3] = 0  # too rare to tell
     y = np.where(labels > 0, 1.0, -1.0)
-    values = [ratio[f] for f in features]
-    norms = np.array([(v**2).sum() + 1.0 for v in values])
+    norms = np.array([(ratio[f] ** 2).sum() + 1.0 for f in features])
     w, offset, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(y)):
-            g = y[i] * (w[features[i]] @ values[i] + offset) - 1.0
+            f, v = features[i], ratio[features[i]]  # looked up again, so that the driver holds the buckets only
+            g = y[i] * (w[f] @ v + offset) - 1.0
             if (alpha[i] == 0 and g >= 0) or (alpha[i] == c and g <= 0):
                 continue
             new = min(max(alpha[i] - g / norms[i], 0.0), c)
             step = (new - alpha[i]) * y[i]
             alpha[i] = new
-            w[features[i]] += step * values[i]
+            w[f] += step * v
             offset += step
             most = max(most, abs(g))
         if most < 1e-3:

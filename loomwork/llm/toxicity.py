@@ -115,18 +115,17 @@ def fit(features: list[np.ndarray], labels: np.ndarray, epochs: int = 30, seed:
     if not len(labels) or labels.min() == labels.max():  # nothing to tell apart
         bias = 0.0 if not len(labels) else (5.0 if labels[0] else -5.0)
         return FactorizationMachine(bias, np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, FACTORS)), False)
-    flat = np.concatenate(features).view(np.int32)
-    of = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+    counts = np.zeros((2, BUCKETS))
+    for f, label in zip(features, labels, strict=True):  # a text's buckets are distinct
+        counts[int(label), f] += 1
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    c1 = np.bincount(flat[labels[of] > 0], minlength=BUCKETS)
-    c0 = np.bincount(flat[labels[of] == 0], minlength=BUCKETS)
+    c0, c1 = counts
     p = (c1 + c0) / len(labels)
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     z[c1 + c0 < LEAST_ROWS] = 0
     first = np.sort(np.argsort(-np.abs(z), kind="stable")[:MOST_TERMS])
     first = first[np.abs(z[first]) > LEAST_Z]
     buckets = np.flatnonzero(c1 + c0 >= LEAST_ROWS)
-    del flat, of
 
     rng = np.random.default_rng(seed)
     theta = np.zeros((BUCKETS, 1 + FACTORS), np.float32)
