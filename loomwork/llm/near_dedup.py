@@ -40,7 +40,7 @@ from loomwork.llm.components import components
 WORD = r"[^\x20\x09-\x0D]+"
 SKETCH = 64
 SLACK = 0.25  #: what an estimate may fall short of the threshold: 5 standard deviations at 64 values
-BLOCK = 512  #: members of a block
+BLOCK = 256  #: members of a block
 SALT = 128  #: pairs of one document that a task gets at once
 MOST_KNOWN = 250_000  #: values whose frequency goes to every task
 
