@@ -9,7 +9,7 @@ No ids are shuffled, and nothing but the totals is in one place.
 Only the last sequence can be short; it is padded to a power of two (`padded_to`).
 
 Defined cases: null and empty texts are the end id alone; repeated rows are packed each; an empty table
-gives no pieces. The order of the stream is that of the scan, fixed once by the staged table.
+gives no pieces; a very long text is encoded whole, in one task, and cut into as many pieces as it needs; columns are picked by exact name. The order of the stream is that of the scan, fixed once by the staged table.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ class WordEncoder:
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.lowers = "Lowercase" in self.tokenizer.to_str()[:4000] and self._separate([b"AbZ"]) == self._separate([b"abz"])
         special = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.has_case = (lambda text: any(x in text.lower() for x in special)) if self.lowers else (lambda text: True)
+        self.special = special
         self.quick: bool | None = None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -120,15 +120,21 @@ class WordEncoder:
         starts, flat, w = [0, *(x + 1 for x in ends[:-1])], ids.tobytes(), self.type.itemsize
         return [flat[a * w : b * w] for a, b in zip(starts, ends, strict=True)]
 
+    def folded(self, text: bytes) -> bytes:
+        """The text with A-Z lower-cased if the tokenizer does that, and it has no special token, which case tells apart."""
+        if not self.lowers:
+            return text
+        low = text.lower()
+        return text if any(x in low for x in self.special) else low
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The packed ids of each text (UTF-8)."""
-        out, at = [], 0
+        out: list[bytes] = []
+        at = 0
         while at < len(texts):
             split, n = [], 0
             while at < len(texts) and n < 200_000:  # words at a time, or one text
-                text = texts[at]
-                # the tokenizer lower-cases; only its special tokens are told apart by case
-                split.append((text if self.has_case(text) else text.lower()).split())
+                split.append(self.folded(texts[at]).split())
                 n += len(split[-1])
                 at += 1
             words = set().union(*split)
