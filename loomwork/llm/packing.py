@@ -18,6 +18,7 @@ import os
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,13 @@ def _byte_level() -> dict[int, str]:
 
 
 BYTE_LEVEL = _byte_level()
+
+#: Words that tell whether a tokenizer allows `_resolve`: every letter up to U+00FF in three places, and every mark or pair of marks after letters.
+LETTERS = [c for c in map(chr, range(256)) if c.isalpha()]
+PROBE = [w.encode() for w in dict.fromkeys([f"{a}{c}{b}" for c in LETTERS for a, b in (("", ""), ("wor", "d"), ("", "ing"), ("Word", ""))])]
+PROBE += [b"word" + bytes(m) for m in [*((x,) for x in MARKS), *((x, y) for x in MARKS for y in MARKS)]]
+PROBE += ["mötley…".encode(), b"it's,", b"a1.", b"x", b"overcomplicatednesses"]
+
 CACHE_WORDS = 150_000  #: words that a Python worker keeps in each of two generations
 
 
@@ -60,9 +68,10 @@ class WordEncoder:
         self.lowers = "Lowercase" in self.tokenizer.to_str()[:4000] and self._separate([b"AbZ"]) == self._separate([b"abz"])
         special = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = special
-        self.quick: bool | None = None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.quick = self._resolve(PROBE) == self._separate(PROBE)  # a property of the tokenizer, whatever the texts
+        self.new.clear()
 
     def learn(self, words: list[bytes]) -> None:
         """Have the ids of all words at hand."""
@@ -76,36 +85,31 @@ class WordEncoder:
                 missing.append(w)
         if not missing:
             return
-        if self.quick is None:  # once: does the short way give the same ids?
-            self.quick = True
-            probe = [*missing[:500], b"word", b"word,", "mötley…".encode(), b"it's,", b"a1.", b"x!?"]
-            self.quick = self._resolve(probe) == self._separate(probe)
         self.new.update(zip(missing, self._resolve(missing) if self.quick else self._separate(missing), strict=True))
 
     def _resolve(self, words: list[bytes]) -> list[bytes]:
         """As _separate, by a shorter way: ASCII marks after a letter are apart, and a word of letters alone needs the model only."""
-        new, old, out = self.new, self.old, []
-        tokenize, kind = self.tokenizer.model.tokenize, self.type
-
-        def one(x: bytes) -> bytes:
-            s = x.decode()
-            if s.isalpha() and (s.isascii() or max(s) <= "ÿ"):
-                s = s.lower() if self.lowers else s  # texts with special tokens come in their own case
-                return np.array([t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(BYTE_LEVEL))], kind).tobytes()
-            return self._separate([x])[0]
-
+        parts = []
         for w in words:
             stem = w.rstrip(MARKS)
-            if len(stem) == len(w) or not stem[-1:].isalpha():
-                out.append(one(w))
+            parts.append((stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalpha() else (w,))
+        ids: dict[bytes, bytes] = {}
+        others = []  # what needs the whole tokenizer, asked at once
+        tokenize, kind = self.tokenizer.model.tokenize, self.type.char
+        for x in set().union(*parts):
+            if (known := self.new.get(x) or self.old.get(x)) is not None:
+                ids[x] = known
                 continue
-            ids = b""
-            for x in (stem, w[len(stem) :]):
-                if (known := new.get(x)) is None:
-                    known = new[x] = old.get(x) or one(x)
-                ids += known
-            out.append(ids)
-        return out
+            s = x.decode()
+            if s.isalpha() and (s.isascii() or max(s) <= "ÿ"):
+                s = s.lower() if self.lowers else s  # texts with special tokens come in their own case
+                ids[x] = array(kind, [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+            else:
+                others.append(x)
+        if others:
+            ids.update(zip(others, self._separate(others), strict=True))
+        self.new.update((x, ids[x]) for p in parts if len(p) == 2 for x in p)
+        return [ids[p[0]] if len(p) == 1 else ids[p[0]] + ids[p[1]] for p in parts]
 
     def _separate(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word: many are encoded as one text, with a mark between them that is one id of its own."""
