@@ -43,3 +43,24 @@ def epochs(t):
 @R.add("r08_stream_sink", "SELECT event_id, user_id, round(value, 4) AS value FROM events")
 def sink(t):
     return E.run_available(_stream(t), scratch(t.spark, "sink")).select("event_id", "user_id", F.round("value", 4).alias("value"))
+
+
+@R.add(
+    "r06_status_after_snapshot",
+    "SELECT user_id, coalesce(min_by(event_id, (ts, event_id)) FILTER (event_type = 'purchase' AND value > 150), max_by(event_id, (ts, event_id))) AS event_id,"
+    " coalesce(bool_or(event_type = 'purchase' AND value > 150), FALSE) AS done FROM events GROUP BY 1",
+)
+def status_after_snapshot(t):
+    """A large purchase ends a user's story. The snapshot holds what even ids say, the stream everything; the overlap changes nothing."""
+    end = (F.col("event_type") == "purchase") & (F.col("value") > 150)
+    marked = lambda rows: rows.select("user_id", "event_id", "ts", end.alias("done"))
+    rows = E.run_available(E.final_status(marked(_stream(t))), scratch(t.spark, "status"), "update").drop("batch")
+    snapshot = E.final_status(marked(t.events.withColumn("ts", F.col("ts").cast("timestamp")).where("event_id % 2 = 0")))
+    return E.final_status(snapshot.unionByName(rows)).select("user_id", "event_id", "done")
+
+
+@R.add("r10_refreshed_list", "SELECT event_id, user_id FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal < 0)")
+def refreshed_list(t):
+    """Customers in debt are shut out, by a list that each batch reads anew."""
+    listed = lambda: t.customer.where("c_acctbal < 0").withColumnRenamed("c_custkey", "user_id")
+    return E.run_available(_stream(t), scratch(t.spark, "listed"), step=E.without_listed(listed, "user_id")).select("event_id", "user_id")

@@ -94,9 +94,36 @@ def retrying_sink(path: str, tries: int = 5, wait: Callable[[float], None] = tim
     return write
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, through the sink, and read what it wrote with the batch of each row."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(retrying_sink(f"{path}/rows")).trigger(availableNow=True).start()
+def final_status(rows: DataFrame, key: str = "user_id") -> DataFrame:
+    """(key, event_id, ts, done): the earliest row that is done, as nothing after it counts; else the latest.
+
+    The result is again such rows, so a snapshot and the result of a stream (run it in update mode) can be united and put through
+    once more: a snapshot that is read after the stream began closes the gap between the two, and rows that both have change nothing.
+    A null in done is not done.
+    """
+    done, order = F.coalesce("done", F.lit(False)), F.struct("ts", "event_id")
+    first, last = F.min(F.when(done, order)), F.max(F.when(~done, order))
+    kept = rows.groupBy(key).agg(first.alias("first_done"), last.alias("last"))
+    row = F.coalesce("first_done", "last")
+    return kept.select(key, row["event_id"].alias("event_id"), row["ts"].alias("ts"), F.col("first_done").isNotNull().alias("done"))
+
+
+def without_listed(read_list: Callable[[], DataFrame], key: str) -> Callable[[DataFrame], DataFrame]:
+    """A step for `run_available`: drops the rows of a batch whose key is in a list that is read anew for each batch.
+
+    A join of a stream with a table would keep the files that were there when the stream started. Null keys stay.
+    """
+    return lambda batch: batch.join(read_list().select(key), key, "left_anti").select(*batch.columns)
+
+
+def run_available(stream: DataFrame, path: str, mode: str = "append", step: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run a stream over all that is there, through the sink, and read what it wrote with the batch of each row.
+
+    step, if given, is applied to each batch before it is written; it keeps the columns.
+    """
+    write = retrying_sink(f"{path}/rows")
+    each = write if step is None else lambda batch, batch_id: write(step(batch), batch_id)
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(each).trigger(availableNow=True).start()
     query.awaitTermination()
     schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     return stream.sparkSession.read.schema(schema).parquet(f"{path}/rows")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import masks, prefix_join, publishing, redirects, sequences, sets
+from loomwork.streaming import events
 
 T = [datetime(2022, 5, d) for d in range(1, 20)]
 
@@ -157,3 +158,30 @@ def test_upserts_that_count(spark):
     sent = spark.createDataFrame([(1, None), (2, 6), (3, 5), (4, 9)], "id int, version int")
     got = {r.id: (r.version, r.updated) for r in sets.counted_upsert(stored, sent, "id", "version").collect()}
     assert got == {1: (3, True), 2: (6, True), 3: (5, False), 4: (1, True)}
+
+
+def test_status_after_done_stays(spark):
+    rows = [("a", 1, T[0], False), ("a", 2, T[1], True), ("a", 3, T[2], True), ("a", 4, T[3], False), ("b", 5, T[0], None), ("b", 6, T[0], None), (None, 7, T[0], True)]
+    frame = lambda some: spark.createDataFrame(some, "user_id string, event_id long, ts timestamp, done boolean")
+    want = {("a", 2, True), ("b", 6, False), (None, 7, True)}
+    show = lambda df: {(r.user_id, r.event_id, r.done) for r in df.collect()}
+    assert show(events.final_status(frame(rows))) == want
+    for cut in range(len(rows) + 1):  # a snapshot of any part, and a stream with any overlap, give the same
+        both = events.final_status(frame(rows[:cut])).unionByName(events.final_status(frame(rows[max(cut - 2, 0) :])))
+        assert show(events.final_status(both)) == want
+    assert events.final_status(frame([])).count() == 0
+
+
+def test_list_is_read_anew_for_each_batch(spark, tmp_path):
+    for n in range(3):
+        data = [(10 * n + u, T[n], u, "view", 0.0, "{}") for u in (1, 2)]
+        spark.createDataFrame(data, events.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    reads = []
+
+    def listed():  # a key is added with each read
+        reads.append(len(reads))
+        return spark.createDataFrame([(u,) for u in range(1, len(reads))], "user_id long")
+
+    stream = events.read_events(spark, str(tmp_path / "in"), "*.parquet", 1)
+    got = events.run_available(stream, str(tmp_path / "out"), step=events.without_listed(listed, "user_id"))
+    assert sorted((r.batch, r.user_id) for r in got.collect()) == [(0, 1), (0, 2), (1, 2)]
