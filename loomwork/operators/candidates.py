@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.text import common_prefix
+
 
 def order_flags(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """(keys, is_ascending, is_descending, n) of each list; neighbours may be equal, nulls count as equal."""
@@ -84,3 +86,21 @@ LONG_FEED, ROUND_STEP = 50, 100
 def is_long_feed(n: Column) -> Column:
     """Does a feed of n entries seem to hold the whole history?"""
     return (n > LONG_FEED) & (n % ROUND_STEP != 0)
+
+
+def title_ends(titles: DataFrame, groups: list[str], title: str = "title") -> DataFrame:
+    """(groups, prefix, suffix): what all titles of a group begin and end with, so that it can be cut off.
+
+    The ends of a set are those of its least and greatest member, of the reversed titles for the suffix: partial aggregates, whatever the
+    size of a group. A suffix loses the ellipsis that it starts with. Both are empty if together they are as long (in bytes) as the
+    shortest title, as for a single one. Null titles don't count; a group of them alone has empty ends.
+    """
+    bounds = titles.groupBy(*groups).agg(
+        F.min(title).alias("low"), F.max(title).alias("high"), F.min(F.reverse(title)).alias("back_low"), F.max(F.reverse(title)).alias("back_high"),
+        F.min(F.octet_length(title)).alias("shortest"),
+    )
+    ends = bounds.withColumns({"prefix": common_prefix(F.col("low"), F.col("high")), "suffix": F.reverse(common_prefix(F.col("back_low"), F.col("back_high")))})
+    for ellipsis in ("...", "…"):
+        ends = ends.withColumn("suffix", F.when(F.startswith("suffix", F.lit(ellipsis)), F.substring("suffix", len(ellipsis) + 1, 1 << 30)).otherwise(F.col("suffix")))
+    apart = F.octet_length("prefix") + F.octet_length("suffix") < F.col("shortest")
+    return ends.select(*groups, *[F.when(apart, F.col(c)).otherwise("").alias(c) for c in ("prefix", "suffix")])

@@ -155,3 +155,21 @@ def user_agents(t):
         .otherwise("Mozilla/5.0 (iPhone; CPU iPhone OS 16_1 like Mac OS X) AppleWebKit/605 Version/16.1 Mobile/15E Safari/604.1")
     )
     return t.customer.select("c_custkey", X.user_platform(agent).alias("p")).select("c_custkey", "p.browser", "p.os_name", "p.bot_name")
+
+
+_SAME = "(SELECT max(i) FROM range(0, least(length({0}), length({1})) + 1) r(i) WHERE substr({0}, 1, i) = substr({1}, 1, i))"
+
+
+@R.add(
+    "a21_title_ends",
+    f"""WITH t AS (SELECT p_brand, p_type, p_brand || ' - ' || p_name || '... | ' || p_type AS title FROM part),
+    b AS (SELECT p_brand, p_type, min(title) AS lo, max(title) AS hi, min(reverse(title)) AS rlo, max(reverse(title)) AS rhi, min(length(title)) AS shortest FROM t GROUP BY 1, 2),
+    e AS (SELECT *, substr(lo, 1, {_SAME.format("lo", "hi")}) AS head, reverse(substr(rlo, 1, {_SAME.format("rlo", "rhi")})) AS tail FROM b),
+    s AS (SELECT *, CASE WHEN starts_with(tail, '...') THEN substr(tail, 4) ELSE tail END AS rest FROM e)
+    SELECT p_brand, p_type, CASE WHEN length(head) + length(rest) < shortest THEN head ELSE '' END AS prefix,
+    CASE WHEN length(head) + length(rest) < shortest THEN rest ELSE '' END AS suffix FROM s""",
+)
+def title_ends(t):
+    """Titles of one brand and type share the site's name before, and an ellipsis and the type behind."""
+    title = F.concat("p_brand", F.lit(" - "), "p_name", F.lit("... | "), "p_type")
+    return C.title_ends(t.part.select("p_brand", "p_type", title.alias("title")), ["p_brand", "p_type"])

@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import masks, prefix_join, publishing, redirects, sequences, sets
+from loomwork.operators import candidates, masks, prefix_join, publishing, redirects, sequences, sets
 from loomwork.streaming import events
 
 T = [datetime(2022, 5, d) for d in range(1, 20)]
@@ -185,3 +185,16 @@ def test_list_is_read_anew_for_each_batch(spark, tmp_path):
     stream = events.read_events(spark, str(tmp_path / "in"), "*.parquet", 1)
     got = events.run_available(stream, str(tmp_path / "out"), step=events.without_listed(listed, "user_id"))
     assert sorted((r.batch, r.user_id) for r in got.collect()) == [(0, 1), (0, 2), (1, 2)]
+
+
+TITLES = [
+    (["Blog: one - me", "Blog: two - me"], "Blog: ", " - me"), (["one... - me", "two... - me"], "", " - me"), (["one… - me", "two… - me"], "", " - me"),
+    (["only"], "", ""), (["aa", "aaa"], "", ""), (["éa", "èb"], "", ""), (["aé", "bè"], "", ""), (["xéaü", "xébü"], "xé", "ü"), (["", "a"], "", ""), ([None], "", ""), ([None, "pas", "pbs"], "p", "s"),
+]
+
+
+def test_title_ends(spark):
+    rows = [(n, x) for n, (titles, _, _) in enumerate(TITLES) for x in titles]
+    got = {r.n: (r.prefix, r.suffix) for r in candidates.title_ends(spark.createDataFrame(rows, "n int, title string"), ["n"]).collect()}
+    assert got == {n: (prefix, suffix) for n, (_, prefix, suffix) in enumerate(TITLES)}
+    assert candidates.title_ends(spark.createDataFrame([], "n int, title string"), ["n"]).count() == 0
