@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import candidates, masks, prefix_join, publishing, redirects, sequences, sets
+from loomwork.operators import candidates, masks, paging, prefix_join, publishing, redirects, sequences, sets
 from loomwork.streaming import events
 
 T = [datetime(2022, 5, d) for d in range(1, 20)]
@@ -198,3 +198,39 @@ def test_title_ends(spark):
     got = {r.n: (r.prefix, r.suffix) for r in candidates.title_ends(spark.createDataFrame(rows, "n int, title string"), ["n"]).collect()}
     assert got == {n: (prefix, suffix) for n, (_, prefix, suffix) in enumerate(TITLES)}
     assert candidates.title_ends(spark.createDataFrame([], "n int, title string"), ["n"]).count() == 0
+
+
+#: blog: links of its first page, whether it pages by dates, and (kind, prefix, suffix, is_certain) of its template
+FIRST_PAGES = [
+    (["http://www.a/page/2", "http://a/page/2/", "http://b/page2"], False, ("path", "/page/", "", True)),
+    (["http://a/x/index-2.html", "http://a/2"], False, ("path", "/x/index-", ".html", True)),
+    (["http://a/page/22", "http://a/l?page=2", "http://a/2"], False, ("query", "/l", None, True)),
+    (["http://a/l?page=2&page=2", "http://a/2020/2"], False, ("path", "/2020/", "", False)),
+    (["http://a/page/2", "http://a/y/page/2"], False, None), (["http://b/page/2", None, "", "nothing"], False, None),
+    (["http://a/page/2", "http://a/search?updated-max=2020"], True, ("dated", None, None, True)),
+    (["http://a/search?updated-max=2019", "http://a/search?updated-max=2020"], True, None),
+    (["http://a/page/2", "http://a/search?updated-max=2020"], False, ("path", "/page/", "", True)),
+]
+LINKS = "blog int, page int, page_url string, pos int, url string, in_head boolean"
+
+
+def test_page_templates(spark):
+    rows = [(n, 1, "http://a/", pos, u, False) for n, (urls, _, _) in enumerate(FIRST_PAGES) for pos, u in enumerate(urls)]
+    dated = spark.createDataFrame([(n,) for n, (_, by_date, _) in enumerate(FIRST_PAGES) if by_date] * 2, "blog int")
+    found = paging.page_templates(spark.createDataFrame(rows, LINKS), dated)
+    got = {r.blog: (r.kind, r.prefix, r.suffix, r.is_certain) for r in found.collect()}
+    assert got == {n: want for n, (_, _, want) in enumerate(FIRST_PAGES) if want}
+    assert paging.page_templates(spark.createDataFrame([], LINKS), dated).count() == 0
+    at = "http://a/search?updated-max=2020"
+    pages = [(0, 2, "http://a/page/2", 0, "http://a/page/3", False), (0, 2, "http://a/page/2", 1, "http://a/page/1", False), (2, 2, "http://a/l?page=2", 0, "http://a/l?page=3", False)]
+    pages += [(6, 2, at, pos, f"http://a/search?updated-max={y}", head) for pos, (y, head) in enumerate([(2021, False), (2019, True), (2018, False)])]
+    df = spark.createDataFrame(pages, LINKS)
+    after = paging.next_page_links(df, df.select("blog", "page").distinct().withColumn("number", F.lit(2)), found)
+    assert sorted((r.blog, r.url) for r in after.collect()) == [(0, "http://a/page/3"), (2, "http://a/l?page=3"), (6, "http://a/search?updated-max=2018")]
+
+
+def test_accepted_results(spark):
+    rows = [(1, 1, 11), (1, 2, 30), (2, 1, 4), (2, 2, 12), (2, 3, 40), (3, 1, 4), (3, 2, 4), (3, 3, 3), (4, 1, 4), (4, 3, 20), (5, 1, 10), (5, 2, 20), (6, 1, 11), (7, 3, 2)]
+    blogs = [(b, 1 if b in (5, 6) else 2, b == 4) for b in range(1, 9)]
+    got = paging.accepted_results(spark.createDataFrame(rows, "blog int, phase int, n int"), spark.createDataFrame(blogs, "blog int, n_entries int, ends_early boolean"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 11), (2, 2, 12), (3, 1, 4), (4, 1, 4), (6, 1, 11), (7, 3, 2)]
