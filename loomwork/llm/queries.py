@@ -105,6 +105,32 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.common import pick
+    from loomwork.llm.hard_negatives import mine
+
+    rows = pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", shifted))
+
+
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.chat_repair import damaged, repair
+
+    turns = table(spark, sf_dir, "conversations")
+    return repair(damaged(turns), turns)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loomwork.llm.token_files import read_tokens, write_tokens
+
+    folder = scratch(spark, "loomwork-token-files")
+    write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return read_tokens(spark, folder, with_ids=False).drop("ids")
+
+
 SQL_OP1 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
@@ -158,6 +184,57 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+SQL_OP11 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT * FROM (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS al, a.e AS ae, b.vec_id AS positive_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS positive_score,
+    row_number() OVER (PARTITION BY a.r ORDER BY list_inner_product(a.e, b.e) DESC, b.vec_id, b.r) AS n
+  FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r WHERE a.vec_id % 100 = 0) WHERE n <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, negative_score,
+    CAST(row_number() OVER (PARTITION BY ar, n ORDER BY negative_score DESC, vec_id, r) AS INTEGER) AS rank
+  FROM (SELECT p.*, c.r, c.vec_id, CAST(list_inner_product(ae, c.e) AS BIGINT) AS negative_score FROM p JOIN v c ON p.al <> c.label)
+  WHERE 30 * positive_score <= 100 * negative_score AND 100 * negative_score <= 90 * positive_score) WHERE rank <= 10
+"""
+
+SQL_OP12 = r"""
+WITH RECURSIVE k AS (SELECT conv_id, dense_rank() OVER (ORDER BY conv_id) AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes
+  FROM conversations),
+w AS (SELECT *, xor(list_reduce(bytes, lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)), xor(a, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS which FROM k),
+d AS (SELECT c, turn, CASE WHEN which = 4 THEN 'user' ELSE role END AS role,
+    CASE which WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM w, (VALUES (1), (2)) x(cp) WHERE which <> 0 AND (cp = 1 OR which = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS place FROM d),
+f AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY place) || left(role, 1) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY place) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+n AS (SELECT c, max(place) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c),
+i(q, ins, q2, nxt, q3) AS (VALUES (0, '', 0, 'u', 2), (0, 'I', 2, 'a', 3), (0, 'II', 3, 'u', 2), (1, '', 1, 'u', 2), (1, 'I', 2, 'a', 3), (1, 'II', 3, 'u', 2),
+  (2, '', 2, 'a', 3), (2, 'I', 3, 'u', 2), (3, '', 3, 'u', 2), (3, 'I', 2, 'a', 3)),
+dp(c, pos, q, best) AS (
+  SELECT c, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': ''} FROM n
+  UNION ALL
+  SELECT c, pos, q, min(best) FROM (
+    SELECT dp.c, f.place AS pos, CASE m.edit WHEN 'D' THEN i.q2 WHEN 'K' THEN CASE f.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE i.q3 END AS q,
+      {'cost': best.cost + 5 * length(ins) + m.cost + CASE WHEN m.edit <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END, 'audit': best.audit || ins || m.edit} AS best
+    FROM dp JOIN i USING (q) JOIN f ON f.c = dp.c AND f.place = dp.pos + 1,
+      (VALUES ('K', 0), ('R', 1), ('D', 2)) m(edit, cost)
+    WHERE m.edit = 'D' OR f.fault NOT IN ('blank', 'duplicate') AND (m.edit = 'R' OR f.initial = nxt OR f.initial = 's' AND i.q2 = 0)) GROUP BY c, pos, q),
+e AS (SELECT c, min({'cost': best.cost + 5 * length(ins), 'audit': best.audit || ins}) AS best FROM dp JOIN n USING (c) JOIN i USING (q) WHERE pos = n_rows AND q2 IN (0, 3) GROUP BY c),
+s AS (SELECT c, j, substr(best.audit, j, 1) AS edit, length(replace(left(best.audit, j), 'I', '')) AS place, length(replace(left(best.audit, j), 'D', '')) AS nth
+  FROM (SELECT c, best, unnest(range(1, length(best.audit) + 1)) AS j FROM e)),
+t AS (SELECT c, j, edit, nth, f.role, f.text, coalesce(bool_or(edit = 'K' AND initial = 's') OVER (PARTITION BY c), false) AS after_system FROM s LEFT JOIN f USING (c, place) WHERE edit <> 'D'),
+r AS (SELECT c, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth % 2 = 1) = after_system THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha FROM t GROUP BY c)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.best.cost, 0) AS cost, coalesce(e.best.audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM k) LEFT JOIN n USING (c) LEFT JOIN e USING (c) LEFT JOIN r USING (c)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_mpeg_ts": op2_mpeg_ts,
@@ -169,5 +246,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_chat_repair": op12_chat_repair,
+    "op13_token_files": op13_token_files,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_archive": SQL_OP1, "op6_decontamination": SQL_OP6, "op8_url_filter": SQL_OP8, "op10_chat_format": SQL_OP10}
+ORACLE_SQL: dict[str, str] = {"op1_warc_archive": SQL_OP1, "op6_decontamination": SQL_OP6, "op8_url_filter": SQL_OP8, "op10_chat_format": SQL_OP10, "op11_hard_negatives": SQL_OP11, "op12_chat_repair": SQL_OP12}
