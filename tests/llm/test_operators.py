@@ -188,7 +188,9 @@ def test_classifiers(spark, odd):
         assert [bool(x) for x in got["held_out"]] == [zlib.crc32(str(i).encode()) % folds == fold for i in got.index]
         assert got["score"].between(0, 1).all() and ((got["score"] >= 0.3) == (got["predicted"] == 1)).all()
         held = got[got["held_out"]].join(truth[label].rename("truth"))
-        assert (held["predicted"] == held["truth"]).mean() > 0.9
+        rare = int(label == "toxic")  # the class that a constant answer would miss
+        found, right = held[held["predicted"] == rare], held[held["truth"] == rare]
+        assert len(right) > 5 and (right["predicted"] == rare).mean() > 0.85 and (found["truth"] == rare).mean() > 0.85
         rows = run(odd, model).collect()
         assert len(rows) == len(ODD) and len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
         one = module.train(docs, labels.where(f"{label} = 1"))
