@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomwork.operators import chains as C
 from loomwork.operators import search as S
 from loomwork.plans.registry import Registry
 
@@ -122,3 +123,42 @@ def in_phases(t):
     starts = firsts.groupBy("blog", F.col("i").alias("phase"), "url", "rank").agg(F.min("pos").alias("pos"))
     blogs = t.nation.select(F.col("n_nationkey").alias("blog"), (F.col("n_nationkey") % 5).alias("n_entries"), (F.col("n_nationkey") == 3).alias("ends_early"))
     return S.search_in_phases(blogs, starts, links, results.where("n % 3 = 0"), enough=15, enough_in_phase=18, requests=6)
+
+
+CHAIN_SQL = """p AS (SELECT o_custkey AS blog, o_orderkey AS page, row_number() OVER w AS i, lead(o_orderkey) OVER w AS following, first_value(o_orderkey) OVER w AS first, o_orderstatus, o_orderpriority
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT o_custkey AS blog, l_orderkey AS page, l_partkey AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+h AS (SELECT DISTINCT blog, page FROM e),
+x AS (SELECT blog, page, CASE WHEN o_orderpriority LIKE '5%' AND i > 4 THEN first ELSE following END AS target FROM p WHERE following IS NOT NULL
+  UNION SELECT blog, page, first - 1 FROM p WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'F' AND i > 2 AND following IS NOT NULL),
+n AS (SELECT blog, page, count(*) AS k, min(target) AS target FROM x GROUP BY 1, 2),
+r(blog, page, number, seen) AS (SELECT blog, page, 1, [page] FROM p SEMI JOIN h USING (blog, page) WHERE i = 1
+  UNION ALL SELECT r.blog, n.target, number + 1, list_append(seen, n.target) FROM r JOIN n ON n.blog = r.blog AND n.page = r.page AND k = 1 JOIN h ON h.blog = r.blog AND h.page = n.target WHERE NOT list_contains(seen, n.target)),
+z AS (SELECT r.blog, number AS n_pages, CASE WHEN k IS NULL THEN 'last' WHEN k > 1 THEN 'ambiguous' WHEN list_contains(seen, n.target) THEN 'cyclic' ELSE 'broken' END AS ending
+  FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY blog ORDER BY number DESC) = 1) r LEFT JOIN n ON n.blog = r.blog AND n.page = r.page),
+a AS (SELECT blog, number, e.pos, key, row_number() OVER (PARTITION BY blog ORDER BY number, e.pos) AS place FROM r JOIN e USING (blog, page)),
+f AS (SELECT blog, key, row_number() OVER (PARTITION BY blog ORDER BY i, e.pos) AS place FROM p JOIN e USING (blog, page) WHERE i <= 2 AND NOT (i = 2 AND e.pos = 2 AND blog % 5 = 0)),
+m AS (SELECT a.blog, bool_and(a.key = f.key) AS fits FROM a JOIN f ON a.blog = f.blog AND a.place = f.place GROUP BY 1),
+s AS (SELECT blog, count(*) AS n_links FROM a GROUP BY 1),
+v AS (SELECT DISTINCT a.blog FROM a JOIN a b ON a.blog = b.blog AND a.key = b.key AND a.number = 1 AND b.number = 2)"""
+
+
+@R.add(
+    "x12_stitched_pages",
+    f"""WITH RECURSIVE {CHAIN_SQL} SELECT blog, CASE WHEN ending IN ('ambiguous', 'broken') THEN ending WHEN ending = 'cyclic' THEN 'too_long' WHEN n_pages = 1 THEN 'single' WHEN v.blog IS NOT NULL THEN 'overlap'
+WHEN NOT coalesce(fits, true) THEN 'not_feed' ELSE 'whole' END AS outcome, n_pages::BIGINT AS n_pages, n_links FROM z JOIN s USING (blog) LEFT JOIN v USING (blog) LEFT JOIN m USING (blog)""",
+)
+def stitched_pages(t):
+    """A customer's orders as pages, in order of their keys; late ones of low priority lead back to the first, urgent ones to a page that isn't there as well, and orders without lines are no pages."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    p = t.orders.select(F.col("o_custkey").alias("blog"), F.col("o_orderkey").alias("page"), F.row_number().over(own).alias("i"), F.lead("o_orderkey").over(own).alias("following"), F.first("o_orderkey").over(own).alias("first"), "o_orderstatus", "o_orderpriority")
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = t.lineitem.select(F.col("l_orderkey").alias("page"), F.row_number().over(place).alias("pos"), F.col("l_partkey").alias("key"))
+    entries = lines.join(t.orders.select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("blog")), "page")
+    on = p.where("following IS NOT NULL")
+    back = F.when(F.col("o_orderpriority").startswith("5") & (F.col("i") > 4), F.col("first")).otherwise(F.col("following"))
+    lost = on.where(F.col("o_orderpriority").startswith("1") & (F.col("o_orderstatus") == "F") & (F.col("i") > 2)).select("blog", "page", (F.col("first") - 1).alias("target"))
+    nexts = on.select("blog", "page", back.alias("target")).unionByName(lost)
+    newest = entries.join(p.where("i <= 2").select("page", "i"), "page").where("NOT (i = 2 AND pos = 2 AND blog % 5 = 0)")
+    feed = newest.select(F.col("blog").alias("feed"), (F.row_number().over(Window.partitionBy("blog").orderBy("i", "pos")) - 1).alias("pos"), "key", F.lit(None).cast("timestamp").alias("at"))
+    return C.stitched(p.where("i = 1").select("blog", "page"), nexts, entries, feed)
