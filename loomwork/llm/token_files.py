@@ -11,8 +11,8 @@ committed as any other output of a job, in any file system, and a lost task is w
 by the number of ranges, and no task holds more than a batch of ids. `read_tokens` reads the files back; the place of a document in
 the whole stream is the running sum of the files' totals, a row each, and its place in its file.
 
-Encoding splits texts into units at white space and keeps the ids of units seen, which is exact for byte-level BPE with its usual pattern and
-nothing before it (`byte_bpe_50k.json`); with any other tokenizer, and for texts with special tokens, the whole text is encoded.
+Encoding cuts texts into pieces by the pattern of byte-level BPE and keeps the ids of pieces seen, which is exact for tokenizers of this kind with
+nothing before it (`byte_bpe_50k.json`); runs with characters above U+00FF are pieces that the tokenizer cuts itself. With any other tokenizer, and for texts with special tokens, the whole text is encoded.
 
 Defined cases: null and empty texts are the end id alone; a null doc_id comes before all others; documents with one doc_id are ordered by the hash
 of their text, and equal rows are written each; an empty table writes no sequence; a very long text is encoded whole, in one task; columns are picked by exact name.
@@ -38,20 +38,19 @@ from loomwork.llm.common import pick, small, stage
 SIZE, ROWS, END_ID = 1024, 32, 0  #: ids in a sequence, sequences in a batch, the id behind each document
 SHARD_BYTES = 16 << 20  #: of text in a file, about
 END_OF_STREAM = b"\xff\xff\xff\xff\0\0\0\0"
-CACHE_UNITS = 200_000  #: units that a Python worker keeps in each of two generations
+CACHE_PIECES = 400_000  #: pieces that a Python worker keeps in each of two generations
 
-# White space, letters and digits up to U+00FF, as the pattern of byte-level BPE has them, and all white space.
+# White space, letters and digits up to U+00FF, as the published pattern of byte-level BPE has them, and all white space.
 LATIN_SPACE, LETTER, DIGIT = "\\t-\\r \\x85\\xa0", "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 SPACE = LATIN_SPACE + "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: The published pattern of byte-level BPE, for texts up to U+00FF.
-PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{LATIN_SPACE}{LETTER}{DIGIT}]+|[{LATIN_SPACE}]+(?![^{LATIN_SPACE}])|[{LATIN_SPACE}]+")
-#: Pieces whose ids don't depend on their neighbours.
-UNIT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-OTHER_SPACE = SPACE.replace("\\t-", "\\t\\x0b-")  # but the line end
-#: White space that meets other white space, so that a cut before each blank or line end isn't one between units.
-RUNS = re.compile(rf" [{SPACE}]|\n[{OTHER_SPACE}]|[{SPACE}]\n\n|\n\n[{SPACE}]|[{SPACE}][\n ]\Z|\0")
-#: One of these is in every text in which RUNS is found, and to look for them is quick.
-HINTS = ("  ", " \n", "\n ", "\n\n", "\0", *(c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{OTHER_SPACE}]", c) and c != " "))
+
+
+def _pattern(space: str, first: str = "") -> re.Pattern[str]:
+    return re.compile(rf"{first} ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGIT}]+| ?[^{space}{LETTER}{DIGIT}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+#: The pieces of a text up to U+00FF; and of any text, where a run of other characters than white space stays whole if one of them is above U+00FF.
+PIECE, WIDE_PIECE = _pattern(LATIN_SPACE), _pattern(SPACE, rf" ?[^{SPACE}]*[^\x00-\xff{SPACE}][^{SPACE}]*|")
 
 
 def _stand_ins() -> dict[int, str]:
@@ -60,11 +59,23 @@ def _stand_ins() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
 
 
-class UnitEncoder:
-    """Encodes texts unit by unit, with the ids of units seen kept.
+class _Known(dict):
+    """The packed ids of pieces; what isn't there is made, and what wasn't asked for in the last CACHE_PIECES new ones is dropped."""
 
-    A unit's key: itself behind a zero character, or without its leading blank if it has one, or just itself where it begins with a line end.
-    """
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+        ids = self[piece] = self.old.get(piece) or self.make(piece)
+        return ids
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece, with the ids of pieces seen kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,74 +87,38 @@ class UnitEncoder:
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         made = json.loads(self.tokenizer.to_str())
         before = made.get("pre_tokenizer") or {}
-        self.by_unit = not made.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.by_piece = not made.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.stand_ins = _stand_ins()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def keys(self, text: str) -> list[str]:
-        if any(map(text.__contains__, HINTS)) and RUNS.search(text):
-            return ["\0" + u if u[0] != " " or len(u) < 2 or u[1] in "\0\n" else u[1:] for u in UNIT.findall(text)]
-        keys = text.replace("\n", " \n").split(" ")
-        if not keys[0]:
-            del keys[0]
-        elif keys[0][0] != "\n":
-            keys[0] = "\0" + keys[0]
-        return keys
-
-    def resolve(self, keys: list[str]) -> None:
-        """Have the ids of these keys at hand."""
-        if len(self.parts) > 2 * CACHE_UNITS:
-            self.parts.clear()
-        pre, parts, tokenize, kind, stand_ins = PRE_TOKEN.findall, self.parts, self.tokenizer.model.tokenize, self.type.char, self.stand_ins
-        others = []
-        for k in keys:
-            if (known := self.old.get(k)) is not None:
-                self.new[k] = known
-                continue
-            unit = " " + k if not k or k[0] not in "\0\n" else k if k[0] == "\n" else k[1:]
-            if not unit.isascii() and max(unit) > "\xff":
-                others.append((k, unit))
-                continue
-            ids = b""
-            for p in pre(unit):
-                if (one := parts.get(p)) is None:
-                    shown = (p if p.isascii() else p.encode().decode("latin-1")).translate(stand_ins)
-                    one = parts[p] = array(kind, [t.id for t in tokenize(shown)]).tobytes()
-                ids += one
-            self.new[k] = ids
-        if others:
-            made = self.tokenizer.encode_batch_fast([u for _, u in others], add_special_tokens=False)
-            self.new.update((k, array(kind, e.ids).tobytes()) for (k, _), e in zip(others, made, strict=True))
-
-    def whole(self, text: str) -> bytes:
+        self.known = _Known(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            if max(piece) > "\xff":
+                return self._whole(piece)
+            piece = piece.encode().decode("latin-1")
+        return array(self.type.char, [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.stand_ins))]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
         return array(self.type.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The packed ids of each text."""
-        at = 0
-        while at < len(texts):
-            split: list[list[str] | bytes] = []
-            n = 0
-            while at < len(texts) and n < 100_000:  # units at a time, or one text
-                t = texts[at]
-                split.append(self.keys(t) if self.by_unit and not any(s in t for s in self.special) else self.whole(t))
-                n += len(split[-1])
-                at += 1
-            if len(self.new) > CACHE_UNITS:
-                self.new, self.old = {}, self.new
-            self.resolve(list(set().union(*[x for x in split if isinstance(x, list)]).difference(self.new)))
-            get = self.new.__getitem__
-            yield from [b"".join(map(get, x)) if isinstance(x, list) else x for x in split]
-
-
-def encoder(path: str) -> UnitEncoder:
+    def encode(self, text: str) -> bytes:
+        """The packed ids of a text."""
+        if not self.by_piece or any(s in text for s in self.special):
+            return self._whole(text)
+        try:
+            text.encode("latin-1")  # the quickest way to ask whether all characters are up to U+00FF
+            cut = PIECE.findall
+        except UnicodeEncodeError:
+            cut = WIDE_PIECE.findall
+        return b"".join(map(self.known.__getitem__, cut(text)))
+
+
+def encoder(path: str) -> PieceEncoder:
     """One encoder for each Python worker and path; it outlives a task where workers are reused."""
-    kept = sys.modules.setdefault("loomwork_worker_units", types.ModuleType("loomwork_worker_units")).__dict__
+    kept = sys.modules.setdefault("loomwork_worker_pieces", types.ModuleType("loomwork_worker_pieces")).__dict__
     if path not in kept:
-        kept[path] = UnitEncoder(path)
+        kept[path] = PieceEncoder(path)
     return kept[path]
 
 
@@ -193,7 +168,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
                 doc_ids += some.column(0).to_pylist()
-                for ids in own.encode(some.column(1).to_pylist()):
+                for ids in map(own.encode, some.column(1).to_pylist()):
                     counts.append(len(ids) // kind.itemsize + 1)
                     left += ids + end
                     at = 0

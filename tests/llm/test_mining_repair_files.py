@@ -193,15 +193,15 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
-def units():
-    return token_files.UnitEncoder(BYTE_BPE)
+def pieces():
+    return token_files.PieceEncoder(BYTE_BPE)
 
 
 @settings(max_examples=500, deadline=None)
 @given(st.lists(st.sampled_from([*" \n\t\r　\x85\x00ab1'sZé—ßıÀ²,.😀", "  ", "\n\n", "'s", "'ll", "<|endoftext|>", "\x1c", "word", " word"]), max_size=12))
-def test_units_are_what_the_tokenizer_gives(units, parts):
+def test_pieces_are_what_the_tokenizer_gives(pieces, parts):
     text = "".join(parts)
-    assert units.by_unit and list(units.encode([text, text]))[1] == array("H", units.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    assert pieces.by_piece and pieces.encode(text) == pieces.encode(text) == array("H", pieces.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 DOCS = "doc_id long, text string"
@@ -213,7 +213,7 @@ def listed(rows, tokenizer):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_token_files(spark, tmp_path, units, name):
+def test_token_files(spark, tmp_path, pieces, name):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["word", "other\n", "Ünï", "x1y", "<|endoftext|>"]) for _ in range(rng.choice([0, 3, 900])))) for i in rng.sample(range(1000), 300)]
     rows += [(5000, None), (5001, ""), (5002, "end " * 40_000), (None, "no id"), (6000, "same"), (6000, "same"), (6000, "same")]
@@ -221,7 +221,7 @@ def test_token_files(spark, tmp_path, units, name):
     folder = f"file://{tmp_path}/t"
     token_files.write_tokens(df, public_tokenizers.path(name), folder, size=64, shard_bytes=30_000)
     got = sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: r.start)
-    want = listed(sorted(rows, key=lambda r: (r[0] is not None, r[0])), units.tokenizer if name.startswith("byte") else token_files.UnitEncoder(public_tokenizers.path(name)).tokenizer)
+    want = listed(sorted(rows, key=lambda r: (r[0] is not None, r[0])), pieces.tokenizer if name.startswith("byte") else token_files.PieceEncoder(public_tokenizers.path(name)).tokenizer)
     assert [(r.doc_id, bytes(r.ids)) for r in got] == want
     assert [r.start for r in got] == [sum(len(x) // 4 for _, x in want[:k]) for k in range(len(want))]
     assert all(r.n_tokens == len(x) // 4 and r.ids_crc32 == zlib.crc32(x) for r, (_, x) in zip(got, want, strict=True))
