@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 LINK_SCHEMA = "page_id long, pos int, tag string, href string, text string, xpath string, class_xpath string"
 DATE_SCHEMA = "page_id long, pos int, source string, value string, xpath string"
+ELEMENT_SCHEMA = "page_id long, pos int, tag string, xpath string, text string"
+MOST_TEXT = 2000  #: characters of an element's text; longer ones are no titles
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements of the head, parts of tables, and what ends a paragraph.
@@ -58,15 +60,28 @@ class _Walker(HTMLParser):
         self.named: list[dict] = []
         self.naming: list[tuple[int, dict]] = []
         self.had_body = False
+        self.elements: list[list] = []  # tag, xpath, where its text begins and ends
+        self.marks: list[int] = [-1]  # of the open elements
+        self.texts: list[str] = []
+        self.length = 0
 
     def _push(self, tag: str, attrs: dict[str, str | None]) -> tuple[str, str]:
         """Open an element; its paths."""
         self.counts[-1][tag] += 1
         path = f"{self.open[-1][1]}/{tag}[{self.counts[-1][tag]}]"
         by_class = f"{self.open[-1][2]}/{tag}({_classes(attrs.get('class'))})[{self.counts[-1][tag]}]"
+        self._opened(tag, path, by_class)
+        return path, by_class
+
+    def _opened(self, tag: str, path: str, by_class: str) -> None:
         self.open.append((tag, path, by_class))
         self.counts.append(Counter())
-        return path, by_class
+        self.marks.append(len(self.elements))
+        self.elements.append([tag, path, self.length, None])
+
+    def _said(self, text: str) -> None:
+        self.texts.append(text)
+        self.length += len(text)
 
     def _imply(self, tag: str) -> None:
         """Open and close what the standard has a start tag open and close: html, head, body, rows of tables, items without end tags."""
@@ -118,15 +133,19 @@ class _Walker(HTMLParser):
             if tag == "a":
                 self.within.append(self.links[-1])
         if tag == "meta" and (at.get("property") or at.get("name") or "").lower() in ("article:published_time", "dc.date.issued"):
-            self.dates.append({"source": "meta", "value": at.get("content") or "", "xpath": path})
+            name = "property" if at.get("property") else "name"
+            self.dates.append({"source": "meta", "value": at.get("content") or "", "xpath": f"{self.open[-1][1]}/meta[@{name}='{at[name].lower()}']"})
         if tag == "time" and at.get("datetime"):
             self.dates.append({"source": "time", "value": at["datetime"] or "", "xpath": path})
         if tag == "a" and (kinds := {k for k in KINDS if re.search(rf"(?:^|[\s_-]){k}(?:$|[\s_-])", rel)}):
             self.named.append({"kinds": sorted(kinds), "name": ""})
             self.naming.append((len(self.open), self.named[-1]))
         if tag not in VOID:
-            self.open.append((tag, path, by_class))
-            self.counts.append(Counter())
+            self._opened(tag, path, by_class)
+        else:
+            self.elements.append([tag, path, self.length, self.length])
+            if tag == "br":
+                self._said("\n")
 
     def handle_endtag(self, tag: str) -> None:
         if any(name == tag for name, _, _ in self.open[1:]):
@@ -141,15 +160,20 @@ class _Walker(HTMLParser):
             self.naming.pop()
         self.open.pop()
         self.counts.pop()
+        self.elements[self.marks.pop()][3] = self.length
 
     def handle_data(self, data: str) -> None:
         for link in self.within:
             link["text"] += data
         for _, link in self.naming:
             link["name"] += data
+        self.counts[-1]["text()"] += 1
+        path = f"{self.open[-1][1]}/text()[{self.counts[-1]['text()']}]"
+        self.elements.append(["text()", path, self.length, self.length + len(data)])
+        self._said(data)
         text = data.strip()
         if self.open[-1][0] not in ("script", "style", "") and re.search(r"\d", text) and len(text) <= 128:
-            self.dates.append({"source": "text", "value": text, "xpath": self.open[-1][1]})
+            self.dates.append({"source": "text", "value": text, "xpath": path})
 
 
 def _walked(html: str | None) -> _Walker:
@@ -178,7 +202,7 @@ def read_links(pages: DataFrame) -> DataFrame:
 
 
 def read_dates(pages: DataFrame) -> DataFrame:
-    """Date candidates (see DATE_SCHEMA) of pages: published-time metas, time elements, short texts with digits."""
+    """Date candidates (see DATE_SCHEMA) of pages: published-time metas (by their attribute), time elements, text nodes with digits, in document order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in DATE_SCHEMA.split(", ")]
@@ -189,6 +213,24 @@ def read_dates(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, DATE_SCHEMA)
 
 
+def read_elements(pages: DataFrame) -> DataFrame:
+    """Elements and text nodes (see ELEMENT_SCHEMA) of pages (page_id, html) in document order, each with its path and all text within it; null where that is longer than MOST_TEXT."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in ELEMENT_SCHEMA.split(", ")]
+        for frame in (whole[i : i + AT_ONCE] for whole in frames for i in range(0, len(whole), AT_ONCE)):
+            rows = []
+            for page, html in zip(frame["page_id"], frame["html"], strict=True):
+                walker = _walked(html)
+                text = "".join(walker.texts)
+                for pos, (tag, path, begin, end) in enumerate(walker.elements):
+                    end = len(text) if end is None else end
+                    rows.append((page, pos, tag, path, text[begin:end] if end - begin <= MOST_TEXT else None))
+            yield pd.DataFrame(rows, columns=names)
+
+    return pages.select("page_id", "html").mapInPandas(run, ELEMENT_SCHEMA)
+
+
 def read_categories(pages: DataFrame, default: str = "Uncategorized") -> DataFrame:
     """(page_id, kind, name) of pages (page_id, html): categories and tags by the rel of links; a page without any of a kind is in the default one."""
 
