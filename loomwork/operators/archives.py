@@ -6,54 +6,49 @@ a list matches where it begins with the feed. Every list meets its feed once, by
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators import sequences as Q
 from loomwork.operators.ranking import cap_per_group
-from loomwork.sources.storage import staged
 
 #: How lists may match, the more certain first.
 KINDS = ("sorted", "reverse", "by_date", "except_first", "pinned")
 
 
-def _of_lists(lists: DataFrame, feed: DataFrame) -> DataFrame:
-    """The feed of each list, as rows keyed by the list."""
-    return lists.select("list", "feed").distinct().join(feed, "feed").select(F.col("list").alias("feed"), "pos", "key", "at")
-
-
-def _orders(lists: DataFrame) -> dict[str, DataFrame]:
-    """The lists as they stand, turned round, and by their dates where all have one (equal dates as they stand)."""
-    own = Window.partitionBy("list")
-    rows = lists.withColumns({"_n": F.count("*").over(own), "_days": F.count("day").over(own)})
-    by_day = F.row_number().over(own.orderBy(F.desc("day"), "pos")) - 1
-    shape = lambda df, pos: df.select(F.col("list").alias("feed"), pos.alias("pos"), "key")
-    return {"sorted": shape(rows, F.col("pos")), "reverse": shape(rows, F.col("_n") - 1 - F.col("pos")), "by_date": shape(rows.where("_n = _days"), by_day)}
+def _matches(lists: DataFrame, feed: DataFrame) -> DataFrame:
+    """(list, feed, kind, n), as archive_matches. A list is as long as a page and a feed as a document: each is shuffled once and gathered, and the kinds are told apart by array functions."""
+    listed = lists.groupBy("list", "feed").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "day"))).alias("_l"))
+    newest = feed.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("pos", "key", F.col("at").cast("timestamp_ntz").alias("at")))).alias("_f"))
+    rows = listed.join(newest, "feed").select("list", "feed", "_l", "_f", F.transform("_l", lambda e: e["key"]).alias("_keys"), F.transform("_f", lambda e: e["key"]).alias("_known"))
+    by_day = F.transform(F.reverse(F.array_sort(F.transform("_l", lambda e: F.struct(e["day"].alias("d"), (-e["pos"]).alias("p"), e["key"].alias("key"))))), lambda e: e["key"])
+    dated = F.forall("_l", lambda e: e["day"].isNotNull())
+    # what the list lacks of the feed, if that is one entry, and the feed without it
+    rows = rows.withColumn("_lost", F.array_except("_known", "_keys"))
+    rows = rows.withColumns({
+        "_rest": F.filter("_f", lambda e: e["key"] != F.get("_lost", F.lit(0))),
+        "_at": F.array_position("_known", F.get("_lost", F.lit(0))),
+    })
+    lacks_one = (F.size("_lost") == 1) & (F.size("_rest") == F.size("_f") - 1)
+    fits = lacks_one & ((F.size("_rest") == 0) | Q.laid(F.col("_rest"), F.col("_keys")))
+    holds = {
+        "sorted": Q.laid(F.col("_f"), F.col("_keys")),
+        "reverse": Q.laid(F.col("_f"), F.reverse("_keys")),
+        "by_date": dated & Q.laid(F.col("_f"), by_day),
+        "except_first": fits & (F.col("_at") == 1),
+        "pinned": fits & (F.col("_at") > 1),
+    }
+    kinds = F.array_compact(F.array(*[F.when(holds[k], F.lit(k)) for k in KINDS]))
+    return rows.select("list", "feed", F.explode(kinds).alias("kind"), F.size("_l").cast("long").alias("n"))
 
 
 def archive_matches(lists: DataFrame, feed: DataFrame) -> DataFrame:
     """(list, kind, n): each way in which a list matches its feed, with the list's length.
 
-    except_first: the list has all but the feed's newest entry, and begins with the rest; pinned: it lacks exactly one
+    sorted, reverse, by_date (where all its links have one; equal dates as they stand): the list so ordered begins with the feed. except_first: the list has all but the feed's newest entry, and begins with the rest; pinned: it lacks exactly one
     other entry and begins with the rest.
     """
-    lists = staged(lists, "lists")  # read by every kind of match
-    feeds = staged(_of_lists(lists, feed), "feeds")
-    orders = _orders(lists)
-    sizes = lists.groupBy(F.col("list").alias("feed")).agg(F.count("*").alias("n"))
-    lengths = feeds.groupBy("feed").agg(F.count("*").alias("n_feed"))
-    long = lambda less: sizes.join(lengths, "feed").where(F.col("n") >= F.col("n_feed") - less).select("feed")
-    whole = {k: Q.sequence_matches(feeds, rows).where("matches").select("feed").join(long(0), "feed", "left_semi") for k, rows in orders.items()}
-    lacking = feeds.join(orders["sorted"].select("feed", "key"), ["feed", "key"], "left_anti")
-    one = lacking.groupBy("feed").agg(F.count("*").alias("k"), F.min("pos").alias("at")).where("k = 1").join(long(1), "feed", "left_semi")
-    rest = feeds.join(lacking.select("feed", "key"), ["feed", "key"], "left_anti").join(one.select("feed"), "feed", "left_semi")
-    rest = rest.withColumn("pos", F.row_number().over(Window.partitionBy("feed").orderBy("pos")) - 1)
-    fits = Q.sequence_matches(rest, orders["sorted"].join(one.select("feed"), "feed", "left_semi")).where("matches").select("feed").join(one.select("feed", "at"), "feed")
-    whole |= {"except_first": fits.where("at = 0").select("feed"), "pinned": fits.where("at > 0").select("feed")}
-    found = reduce(DataFrame.unionByName, [rows.withColumn("kind", F.lit(k)) for k, rows in whole.items()])
-    return found.join(sizes, "feed").select(F.col("feed").alias("list"), "kind", "n")
+    return _matches(lists, feed).select("list", "kind", "n")
 
 
 def best_archives(lists: DataFrame, feed: DataFrame) -> DataFrame:
@@ -62,8 +57,7 @@ def best_archives(lists: DataFrame, feed: DataFrame) -> DataFrame:
     That is what trying the kinds in order gives, where each must beat the length found before.
     """
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    rows = archive_matches(lists, feed).join(lists.select("list", "feed").distinct(), "list")
-    return cap_per_group(rows, ["feed"], [F.desc("n"), order, "list"], 1).select("feed", "list", "kind", "n")
+    return cap_per_group(_matches(lists, feed), ["feed"], [F.desc("n"), order, "list"], 1).select("feed", "list", "kind", "n")
 
 
 def two_part_lists(heads: DataFrame, lists: DataFrame, feed: DataFrame) -> DataFrame:

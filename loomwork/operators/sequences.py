@@ -154,7 +154,7 @@ def _suffix(seen: Column, known: Column) -> Column:
     return let(_runs(seen), of)
 
 
-def _laid(suffix: Column, known: Column) -> Column:
+def laid(suffix: Column, known: Column) -> Column:
     """Does the list, laid at the suffix's begin, have in each bucket the keys of that bucket, once each?"""
 
     def of(runs: Column) -> Column:
@@ -185,7 +185,7 @@ def feed_diff(feed: DataFrame, existing: DataFrame, discarded: DataFrame, missin
     ).where(F.size("seen") > 0)
     rows = rows.select("feed", "seen", "known", F.filter("seen", lambda e: ~F.array_contains("known", e["key"])).alias("fresh"))
     overlap = F.size("seen") - F.size("fresh")
-    matches = let(_suffix(F.col("seen"), F.col("known")), lambda s: (F.size(s) == overlap) & _laid(s, F.col("known")))
+    matches = let(_suffix(F.col("seen"), F.col("known")), lambda s: (F.size(s) == overlap) & laid(s, F.col("known")))
     status = F.when(F.size("fresh") == 0, "ok").when((overlap < least_overlap) | ~F.coalesce(matches, F.lit(False)), "no_match").otherwise("new")
     state = rows.select("feed", status.alias("status"), F.transform("fresh", lambda e: e["key"].cast("string")).alias("fresh"))
     shown = F.when(F.col("status") == "new", F.col("fresh")).otherwise(F.array(F.lit(None).cast("string")))

@@ -135,6 +135,8 @@ def test_archives(spark):
     df = spark.createDataFrame(rows, "list int, feed string, pos int, key string, day timestamp_ntz")
     got = {(r.list, r.kind, r.n) for r in archives.archive_matches(df, feed).collect()}
     assert got == {(1, "sorted", 8), (2, "reverse", 8), (3, "except_first", 7), (4, "pinned", 7), (7, "by_date", 8)} | {(6, "pinned", 4)}
+    plan = archives.best_archives(df, feed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 5  # lists, feeds, their join, and the best of each feed
     best = archives.best_archives(df, feed).collect()
     assert [(r.list, r.kind) for r in best] == [(1, "sorted")]
     heads = spark.createDataFrame([(5, 0, "a"), (5, 1, "b"), (1, 0, "a")], "list int, pos int, key string")
