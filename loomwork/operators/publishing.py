@@ -47,24 +47,27 @@ def subscription_feed(subscriptions: DataFrame, posts: DataFrame, due: DataFrame
     A final item where nothing is left, then new posts and the latest old ones, then a welcome item if there is room. Only
     old posts are cut: new ones always show.
     """
-    ends = finishing(subscriptions, posts, due)
-    subs = subscriptions.select("sub_id", "user_id", "set_up_at").join(ends, "sub_id")
-    new = due.withColumn("at", now).withColumn("kind", F.lit("new"))
-    room = subs.select("sub_id", F.greatest(F.lit(most) - F.col("n_new") - F.col("is_final").cast("int"), F.lit(0)).alias("room"))
-    old = posts.where("published_at IS NOT NULL").join(room, "sub_id")
-    n = F.row_number().over(Window.partitionBy("sub_id").orderBy(F.desc("index")))
-    old = old.withColumn("_n", n).where(F.col("_n") <= F.col("room")).select("sub_id", "index", "post_id", F.col("published_at").alias("at"), F.lit("old").alias("kind"))
-    rows = new.select("sub_id", "index", "post_id", "at", "kind").unionByName(old)
-    shown = rows.groupBy("sub_id").agg(F.count("*").alias("n_shown"))
-    none = F.lit(None).cast("long")
-    final = subs.where("is_final").select("sub_id", F.lit(2**40).alias("index"), none.alias("post_id"), now.alias("at"), F.lit("final").alias("kind"))
-    space = subs.join(shown, "sub_id", "left").where(F.coalesce("n_shown", F.lit(0)) + F.col("is_final").cast("int") < most)
-    welcome = space.select("sub_id", F.lit(-1).cast("long").alias("index"), none.alias("post_id"), F.col("set_up_at").alias("at"), F.lit("welcome").alias("kind"))
-    items = rows.withColumn("index", F.col("index").cast("long")).unionByName(final).unionByName(welcome)
+    subs = subscriptions.select("sub_id", "user_id", "set_up_at")
+    marked = posts.join(due.select("sub_id", "index", F.lit(True).alias("_due")), ["sub_id", "index"], "left").withColumn("_due", F.coalesce("_due", F.lit(False)))
+    old = ~F.col("_due") & F.col("published_at").isNotNull()
+    facts = {"_new": F.count_if("_due"), "_left": F.count_if(F.col("published_at").isNull()), "_old": F.count_if(old)}
+    final, room = F.col("_new") == F.col("_left"), F.greatest(F.lit(most) - F.col("_new") - F.col("_final").cast("int"), F.lit(0))
+    # counts and places of a subscription's posts share one shuffle
+    own = Window.partitionBy("sub_id")
+    rows = marked.withColumns({k: v.over(own) for k, v in facts.items()} | {"_n": F.row_number().over(own.orderBy(F.when(old, 0).otherwise(1), F.desc("index")))}).withColumn("_final", final)
+    shown = rows.where(F.col("_due") | (old & (F.col("_n") <= room))).join(subs, "sub_id")
+    kind = F.when(F.col("_due"), "new").otherwise("old")
+    shown = shown.select("sub_id", "user_id", "set_up_at", F.col("index").cast("long").alias("index"), kind.alias("kind"), F.col("post_id").cast("long").alias("post_id"), F.when(F.col("_due"), now).otherwise(F.col("published_at")).alias("at"))
+    # what stands above and below the posts, of subscriptions without posts as well
+    ends = subs.join(marked.groupBy("sub_id").agg(*[v.alias(k) for k, v in facts.items()]), "sub_id", "left").fillna(0, list(facts)).withColumn("_final", final)
+    fits = F.col("_new") + F.least(F.col("_old"), room) + F.col("_final").cast("int") < most
+    item = lambda index, kind, at: F.struct(F.lit(index).cast("long").alias("index"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("post_id"), at.alias("at"))
+    around = F.array_compact(F.array(F.when(F.col("_final"), item(2**40, "final", now)), F.when(fits, item(-1, "welcome", F.col("set_up_at")))))
+    items = shown.unionByName(ends.select("sub_id", "user_id", "set_up_at", F.explode(around).alias("i")).select("sub_id", "user_id", "set_up_at", "i.*"))
     place = F.row_number().over(Window.partitionBy("sub_id").orderBy(F.desc("index"))) - 1
     suffix = F.when(F.col("kind") == "final", F.lit("-final")).when(F.col("kind") == "welcome", F.lit("-welcome")).otherwise(F.lit(""))
     id_ = F.coalesce(F.col("post_id"), F.col("sub_id")).cast("string")
-    return items.withColumn("position", place).join(subs.select("sub_id", "user_id", "set_up_at"), "sub_id").select(
+    return items.withColumn("position", place).select(
         "sub_id", "user_id", "position", "kind", "post_id", F.col("at").alias("published_at"), X.guid(F.concat(id_, suffix)).alias("guid"), "set_up_at"
     )
 
