@@ -14,11 +14,7 @@ gives no pieces; a very long text is encoded whole, in one task, and cut into as
 
 from __future__ import annotations
 
-import os
-import sys
-import types
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,135 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import pick, small, stage
+from loomwork.llm.pieces import encoder
 
 SIZE, END_ID = 4096, 2
-MARK = b"\0"
-MARKS = b".,!?;:#$%&*|"  #: may end a word without being part of its last letters' pre-token
-
-
-def _byte_level() -> dict[int, str]:
-    """The printable stand-ins of bytes in byte-level BPE: printable Latin-1 is itself, the others follow from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
-
-
-BYTE_LEVEL = _byte_level()
-
-#: Words that tell whether a tokenizer allows `_resolve`: every letter up to U+00FF in three places, and every mark or pair of marks after letters.
-LETTERS = [c for c in map(chr, range(256)) if c.isalpha()]
-PROBE = [w.encode() for w in dict.fromkeys([f"{a}{c}{b}" for c in LETTERS for a, b in (("", ""), ("wor", "d"), ("", "ing"), ("Word", ""))])]
-PROBE += [b"word" + bytes(m) for m in [*((x,) for x in MARKS), *((x, y) for x in MARKS for y in MARKS)]]
-PROBE += ["mötley…".encode(), b"it's,", b"a1.", b"x", b"overcomplicatednesses"]
-
-CACHE_WORDS = 150_000  #: words that a Python worker keeps in each of two generations
-
-
-class WordEncoder:
-    """Encodes texts with a tokenizer, word by word, and keeps the ids of words seen.
-
-    Exact for tokenizers whose pre-tokens never reach over ASCII white space, and that
-    drop it (`word_bpe_49k.json` is one): a text's ids are then those of its words in order.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.lowers = "Lowercase" in self.tokenizer.to_str()[:4000] and self._separate([b"AbZ"]) == self._separate([b"abz"])
-        special = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = special
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.quick = self._resolve(PROBE) == self._separate(PROBE)  # a property of the tokenizer, whatever the texts
-        self.new.clear()
-
-    def learn(self, words: list[bytes]) -> None:
-        """Have the ids of all words at hand."""
-        if len(self.new) > CACHE_WORDS:
-            self.new, self.old = {}, self.new
-        missing = []
-        for w in words:
-            if (known := self.old.get(w)) is not None:
-                self.new[w] = known
-            elif w not in self.new:
-                missing.append(w)
-        if not missing:
-            return
-        self.new.update(zip(missing, self._resolve(missing) if self.quick else self._separate(missing), strict=True))
-
-    def _resolve(self, words: list[bytes]) -> list[bytes]:
-        """As _separate, by a shorter way: ASCII marks after a letter are apart, and a word of letters alone needs the model only."""
-        parts = []
-        for w in words:
-            stem = w.rstrip(MARKS)
-            parts.append((stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalpha() else (w,))
-        ids: dict[bytes, bytes] = {}
-        others = []  # what needs the whole tokenizer, asked at once
-        tokenize, kind = self.tokenizer.model.tokenize, self.type.char
-        for x in set().union(*parts):
-            if (known := self.new.get(x) or self.old.get(x)) is not None:
-                ids[x] = known
-                continue
-            s = x.decode()
-            if s.isalpha() and (s.isascii() or max(s) <= "ÿ"):
-                s = s.lower() if self.lowers else s  # texts with special tokens come in their own case
-                ids[x] = array(kind, [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
-            else:
-                others.append(x)
-        if others:
-            ids.update(zip(others, self._separate(others), strict=True))
-        self.new.update((x, ids[x]) for p in parts if len(p) == 2 for x in p)
-        return [ids[p[0]] if len(p) == 1 else ids[p[0]] + ids[p[1]] for p in parts]
-
-    def _separate(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word: many are encoded as one text, with a mark between them that is one id of its own."""
-        encode = lambda texts: [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        mark = encode([MARK.decode()])[0]
-        if len(mark) != 1 or any(MARK in w for w in words):
-            return [x.tobytes() for x in encode([w.decode() for w in words])]
-        ids = encode([(b" " + MARK + b" ").join(words).decode()])[0]
-        ends = [*np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
-        if len(ends) != len(words):
-            raise ValueError("the tokenizer merges over its mark")
-        starts, flat, w = [0, *(x + 1 for x in ends[:-1])], ids.tobytes(), self.type.itemsize
-        return [flat[a * w : b * w] for a, b in zip(starts, ends, strict=True)]
-
-    def folded(self, text: bytes) -> bytes:
-        """The text with A-Z lower-cased if the tokenizer does that, and it has no special token, which case tells apart."""
-        if not self.lowers:
-            return text
-        low = text.lower()
-        return text if any(x in low for x in self.special) else low
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The packed ids of each text (UTF-8)."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            split, n = [], 0
-            while at < len(texts) and n < 200_000:  # words at a time, or one text
-                split.append(self.folded(texts[at]).split())
-                n += len(split[-1])
-                at += 1
-            words = set().union(*split)
-            if len(self.new) > CACHE_WORDS:
-                self.learn(list(words))
-            elif missing := words.difference(self.new):
-                self.learn(list(missing))
-            get = self.new.__getitem__
-            out += [b"".join(map(get, x)) for x in split]
-        return out
-
-
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker and path; it outlives a task where workers are reused."""
-    kept = sys.modules.setdefault("loomwork_worker_state", types.ModuleType("loomwork_worker_state")).__dict__
-    if path not in kept:
-        kept[path] = WordEncoder(path)
-    return kept[path]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -168,7 +38,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 rows = batch.slice(first, 512)
-                ids = [x + end for x in own.encode([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in rows.column(1)])]
+                ids = [own.encode(x or "") + end for x in rows.column(1).to_pylist()]
                 n = np.array([len(x) for x in ids], np.int64) // own.type.itemsize
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())

@@ -11,8 +11,7 @@ committed as any other output of a job, in any file system, and a lost task is w
 by the number of ranges, and no task holds more than a batch of ids. `read_tokens` reads the files back; the place of a document in
 the whole stream is the running sum of the files' totals, a row each, and its place in its file.
 
-Encoding cuts texts into pieces by the pattern of byte-level BPE and keeps the ids of pieces seen, which is exact for tokenizers of this kind with
-nothing before it (`byte_bpe_50k.json`); runs with characters above U+00FF are pieces that the tokenizer cuts itself. With any other tokenizer, and for texts with special tokens, the whole text is encoded.
+Texts are encoded by pieces (`pieces`).
 
 Defined cases: null and empty texts are the end id alone; a null doc_id comes before all others; documents with one doc_id are ordered by the hash
 of their text, and equal rows are written each; an empty table writes no sequence; a very long text is encoded whole, in one task; columns are picked by exact name.
@@ -20,10 +19,6 @@ of their text, and equal rows are written each; an empty table writes no sequenc
 
 from __future__ import annotations
 
-import os
-import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,92 +29,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import pick, small, stage
+from loomwork.llm.pieces import encoder
 
 SIZE, ROWS, END_ID = 1024, 32, 0  #: ids in a sequence, sequences in a batch, the id behind each document
 SHARD_BYTES = 16 << 20  #: of text in a file, about
 END_OF_STREAM = b"\xff\xff\xff\xff\0\0\0\0"
-CACHE_PIECES = 400_000  #: pieces that a Python worker keeps in each of two generations
-
-# White space, letters and digits up to U+00FF, as the published pattern of byte-level BPE has them, and all white space.
-LATIN_SPACE, LETTER, DIGIT = "\\t-\\r \\x85\\xa0", "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
-SPACE = LATIN_SPACE + "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-def _pattern(space: str, first: str = "") -> re.Pattern[str]:
-    return re.compile(rf"{first} ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGIT}]+| ?[^{space}{LETTER}{DIGIT}]+|[{space}]+(?![^{space}])|[{space}]+")
-
-
-#: The pieces of a text up to U+00FF; and of any text, where a run of other characters than white space stays whole if one of them is above U+00FF.
-PIECE, WIDE_PIECE = _pattern(LATIN_SPACE), _pattern(SPACE, rf" ?[^{SPACE}]*[^\x00-\xff{SPACE}][^{SPACE}]*|")
-
-
-def _stand_ins() -> dict[int, str]:
-    """Byte-level BPE shows bytes as printable characters: themselves in printable Latin-1, the others from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
-
-
-class _Known(dict):
-    """The packed ids of pieces; what isn't there is made, and what wasn't asked for in the last CACHE_PIECES new ones is dropped."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.old = dict(self)
-            self.clear()
-        ids = self[piece] = self.old.get(piece) or self.make(piece)
-        return ids
-
-
-class PieceEncoder:
-    """Encodes texts piece by piece, with the ids of pieces seen kept."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        made = json.loads(self.tokenizer.to_str())
-        before = made.get("pre_tokenizer") or {}
-        self.by_piece = not made.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.stand_ins = _stand_ins()
-        self.known = _Known(self._piece)
-
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            if max(piece) > "\xff":
-                return self._whole(piece)
-            piece = piece.encode().decode("latin-1")
-        return array(self.type.char, [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.stand_ins))]).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return array(self.type.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The packed ids of a text."""
-        if not self.by_piece or any(s in text for s in self.special):
-            return self._whole(text)
-        try:
-            text.encode("latin-1")  # the quickest way to ask whether all characters are up to U+00FF
-            cut = PIECE.findall
-        except UnicodeEncodeError:
-            cut = WIDE_PIECE.findall
-        return b"".join(map(self.known.__getitem__, cut(text)))
-
-
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each Python worker and path; it outlives a task where workers are reused."""
-    kept = sys.modules.setdefault("loomwork_worker_pieces", types.ModuleType("loomwork_worker_pieces")).__dict__
-    if path not in kept:
-        kept[path] = PieceEncoder(path)
-    return kept[path]
 
 
 def sequence_schema(kind: np.dtype, size: int) -> pa.Schema:

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomwork.llm import chat_repair, hard_negatives, token_files
+from loomwork.llm import pieces as pieces_of
 from loomwork.llm.common import pick
 
 # --- hard negatives ---
@@ -194,14 +195,14 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def pieces():
-    return token_files.PieceEncoder(BYTE_BPE)
+    return pieces_of.PieceEncoder(BYTE_BPE)
 
 
 @settings(max_examples=500, deadline=None)
 @given(st.lists(st.sampled_from([*" \n\t\r　\x85\x00ab1'sZé—ßıÀ²,.😀", "  ", "\n\n", "'s", "'ll", "<|endoftext|>", "\x1c", "word", " word"]), max_size=12))
 def test_pieces_are_what_the_tokenizer_gives(pieces, parts):
     text = "".join(parts)
-    assert pieces.by_piece and pieces.encode(text) == pieces.encode(text) == array("H", pieces.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    assert pieces.cut and pieces.encode(text) == pieces.encode(text) == array("H", pieces.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 DOCS = "doc_id long, text string"
@@ -221,7 +222,7 @@ def test_token_files(spark, tmp_path, pieces, name):
     folder = f"file://{tmp_path}/t"
     token_files.write_tokens(df, public_tokenizers.path(name), folder, size=64, shard_bytes=30_000)
     got = sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: r.start)
-    want = listed(sorted(rows, key=lambda r: (r[0] is not None, r[0])), pieces.tokenizer if name.startswith("byte") else token_files.PieceEncoder(public_tokenizers.path(name)).tokenizer)
+    want = listed(sorted(rows, key=lambda r: (r[0] is not None, r[0])), pieces.tokenizer if name.startswith("byte") else pieces_of.PieceEncoder(public_tokenizers.path(name)).tokenizer)
     assert [(r.doc_id, bytes(r.ids)) for r in got] == want
     assert [r.start for r in got] == [sum(len(x) // 4 for _, x in want[:k]) for k in range(len(want))]
     assert all(r.n_tokens == len(x) // 4 and r.ids_crc32 == zlib.crc32(x) for r, (_, x) in zip(got, want, strict=True))
