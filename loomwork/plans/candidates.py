@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import schedule as S
 from loomwork.functions import text as X
 from loomwork.functions import urls as U
+from loomwork.operators import archives as A
 from loomwork.operators import candidates as C
 from loomwork.operators import sequences as Q
 from loomwork.plans.registry import Registry
@@ -173,3 +174,39 @@ def title_ends(t):
     """Titles of one brand and type share the site's name before, and an ellipsis and the type behind."""
     title = F.concat("p_brand", F.lit(" - "), "p_name", F.lit("... | "), "p_type")
     return C.title_ends(t.part.select("p_brand", "p_type", title.alias("title")), ["p_brand", "p_type"])
+
+
+def _unordered_sql() -> str:
+    """A step after another over one list for each number of stars; each step that finds a list raises the least length."""
+    head = """r AS (SELECT CASE WHEN o_custkey < 750 THEN o_custkey ELSE 100000 + o_custkey % 100 END AS page, l_partkey AS key, l_returnflag AS f, l_quantity AS q, l_discount AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+feed AS (SELECT DISTINCT page, key AS feed_key FROM r WHERE f = 'R'),
+x AS (SELECT page, 1 AS stars, key FROM r WHERE f = 'R' AND q <= 47 UNION ALL SELECT page, 2, key FROM r WHERE d > 0.005 UNION ALL SELECT page, 3, key FROM r WHERE f <> 'A' OR q > 3),
+s AS (SELECT x.page, stars, count(*) AS n, count(DISTINCT key) AS nd, count(DISTINCT feed_key) AS ni FROM x LEFT JOIN feed ON feed.page = x.page AND feed_key = key GROUP BY 1, 2),
+v AS (SELECT page, """ + ", ".join(f"max({c}) FILTER (stars = {k}) AS {c}{k}" for k in (1, 2, 3) for c in ("n", "nd", "ni")) + """ FROM s GROUP BY 1),
+b AS (SELECT p.page, coalesce(nf, 0) AS nf, CASE WHEN nf <= 3 THEN nf WHEN nf <= 7 THEN nf - 1 WHEN nf <= 25 THEN nf - 2 WHEN nf <= 62 THEN nf - 3 ELSE nf - 7 END AS e, v.* EXCLUDE page, CASE WHEN p.page % 7 = 0 THEN 6 + p.page % 40 ELSE 1 END AS least, p.page % 14 = 0 AS dated
+  FROM (SELECT DISTINCT page FROM r) p LEFT JOIN (SELECT page, count(*) AS nf FROM feed GROUP BY 1) USING (page) LEFT JOIN v USING (page)),
+a AS (SELECT *, CASE WHEN nf > 0 AND nf >= least THEN CASE """ + " ".join(f"WHEN n{k} < nf AND n{k} >= e AND ni{k} >= e AND ni{k} = nd{k} THEN {k}" for k in (1, 2, 3)) + """ END END AS t0 FROM b),
+w0 AS (SELECT * REPLACE (CASE WHEN t0 IS NOT NULL THEN nf + 1 ELSE least END AS least, dated AND t0 IS NULL AS dated) FROM a)"""
+    rows, n = ["SELECT page, 'almost_feed' AS kind, t0 AS stars, nf AS n FROM z WHERE t0 IS NOT NULL"], 0
+    for kind, has in (("shuffled", "ni{k} = nf"), ("shuffled_almost", "ni{k} < nf AND ni{k} >= e")):
+        for k in (1, 2, 3):
+            took = f"coalesce(NOT dated AND nf > 0 AND n{k} >= nf AND n{k} >= least AND {has.format(k=k)}, false)"
+            head += f",\nw{n + 1} AS (SELECT * REPLACE (CASE WHEN {took} THEN nd{k} + 1 ELSE least END AS least), {took} AS t{n + 1} FROM w{n})"
+            rows.append(f"SELECT page, '{kind}', {k}, nd{k} FROM z WHERE t{n + 1}")
+            n += 1
+    head += f",\nz AS (SELECT *, nf >= 31 AND nf >= least AS t7 FROM w{n})"
+    none = " AND ".join(["t0 IS NULL", *(f"NOT t{i}" for i in range(1, 8))])
+    return f"WITH {head}\n" + "\nUNION ALL ".join([*rows, "SELECT page, 'long_feed', NULL, nf FROM z WHERE t7", f"SELECT page, 'none', NULL, NULL FROM z WHERE {none}"])
+
+
+@R.add("x10_unordered_matches", _unordered_sql())
+def unordered(t):
+    """A customer's (or several customers') line items as a page: what was returned is the feed, and three selections are its lists."""
+    page = F.when(F.col("o_custkey") < 750, F.col("o_custkey")).otherwise(100000 + F.col("o_custkey") % 100)
+    rows = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), page.alias("page")), "l_orderkey").select("page", F.col("l_partkey").alias("key"), "l_returnflag", "l_quantity", "l_discount")
+    one = lambda k, where: rows.where(where).select("page", F.lit(k).alias("stars"), F.lit(k).cast("long").alias("list"), F.lit(0).alias("pos"), "key")
+    lists = one(1, "l_returnflag = 'R' AND l_quantity <= 47").unionByName(one(2, "l_discount > 0.005")).unionByName(one(3, "l_returnflag <> 'A' OR l_quantity > 3"))
+    pages = rows.select("page").distinct()
+    known = pages.where("page % 7 = 0").select("page", (5 + F.col("page") % 40).alias("n"), (F.col("page") % 14 == 0).alias("dated"))
+    found = A.unordered_matches(lists, rows.where("l_returnflag = 'R'").select("page", "key"), rows.select("page", "key"), known, X.archives_threshold)
+    return found.select("page", "kind", "stars", F.col("n").cast("long").alias("n"))
