@@ -49,29 +49,70 @@ def due_jobs(jobs: DataFrame, now: str) -> DataFrame:
     return jobs.where((F.col("run_at") <= at) & free & F.col("failed_at").isNull())
 
 
+def _micros(frames: Iterator[pd.DataFrame], *more: str) -> list[tuple]:
+    """(microseconds, *more) of the rows of a key, in order of time."""
+    rows = pd.concat([f[["ts", *more]] for f in frames])
+    return sorted(zip(rows["ts"].astype("datetime64[us]").astype("int64").tolist(), *[rows[c].tolist() for c in more], strict=True))
+
+
 def epochs(events: DataFrame, idle_ms: int = 300_000) -> DataFrame:
-    """(user_id, epoch, durations, evicted): the number of progress reports of a key, and the ;-joined seconds between them.
+    """(user_id, epoch, seconds, evicted): a row for each progress report of a key, with its number and the whole seconds since the report before, null for the first.
 
-    A key that is silent while the stream's time moves on by idle_ms is evicted, with a last row that says so.
+    A key that is silent for more than idle_ms, by its next report or as the stream's time moves on, is evicted, with a last row that says so; its next report is the first again. The state
+    of a key is a number and a time, however many reports it has.
     """
+    names = ["user_id", "epoch", "seconds", "evicted"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        epoch, last, durations = state.get if state.exists else (0, 0.0, "")
+        epoch, last = state.get if state.exists else (0, 0)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(key[0], epoch, durations, True)], columns=["user_id", "epoch", "durations", "evicted"])
+            yield pd.DataFrame([(key[0], epoch, None, True)], columns=names)
             return
-        times = pd.concat([f["ts"] for f in frames]).sort_values()
-        for at in times.astype("datetime64[us]").astype("int64") / 1e6:
-            if epoch:
-                durations = f"{durations};{max(at - last, 0.0):.0f}" if durations else f"{max(at - last, 0.0):.0f}"
+        out = []
+        for (at,) in _micros(frames):
+            if epoch and at - last > idle_ms * 1000:
+                out.append((key[0], epoch, None, True))
+                epoch = 0
+            out.append((key[0], epoch + 1, max(at - last, 0) // 1_000_000 if epoch else None, False))
             epoch, last = epoch + 1, max(last, at)
-        state.update((epoch, last, durations))
-        state.setTimeoutTimestamp(max(int(last * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], epoch, durations, False)], columns=["user_id", "epoch", "durations", "evicted"])
+        state.update((epoch, last))
+        state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names).astype({"seconds": "Int64"})
 
     return events.withWatermark("ts", "0 seconds").groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, epoch long, durations string, evicted boolean", "epoch long, last double, durations string", "update", GroupStateTimeout.EventTimeTimeout
+        step, "user_id long, epoch long, seconds long, evicted boolean", "epoch long, last long", "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+#: Tries of a job before it is given up, and the seconds before the next one, n tries to the power added to the least.
+MOST_TRIES, LEAST_DELAY, DELAY_POWER = 25, 5, 4
+
+
+def retried(outcomes: DataFrame, most: int = MOST_TRIES) -> DataFrame:
+    """(user_id, event_id, attempts, status, delay): what becomes of jobs (user_id) as their tries (event_id, ts, ok) come in.
+
+    status: `done` after a try that went well, with which the job's count begins anew; `retry` after one that failed, with the seconds until the next; `failed` after the last one allowed, behind which
+    tries of the job no longer count. The state of a job is its count and whether it failed.
+    """
+    names = ["user_id", "event_id", "attempts", "status", "delay"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        attempts, failed = state.get if state.exists else (0, False)
+        out = []
+        for _, event_id, ok in _micros(frames, "event_id", "ok"):
+            if failed:
+                break
+            attempts += 1
+            failed = not ok and attempts >= most
+            status = "done" if ok else "failed" if failed else "retry"
+            out.append((key[0], event_id, attempts, status, attempts**DELAY_POWER + LEAST_DELAY if status == "retry" else None))
+            attempts = 0 if ok else attempts
+        state.update((attempts, failed))
+        yield pd.DataFrame(out, columns=names).astype({"delay": "Int64"})
+
+    return outcomes.groupBy("user_id").applyInPandasWithState(
+        step, "user_id long, event_id long, attempts long, status string, delay long", "attempts long, failed boolean", "append", GroupStateTimeout.NoTimeout
     )
 
 
