@@ -50,8 +50,18 @@ def best_titles(links: DataFrame, feed_titles: DataFrame, page_titles: DataFrame
     return links.join(a, "key", "left").join(b, "key", "left").select("key", F.coalesce(full(F.col("title")), full(F.col("_feed")), full(F.col("_page")), F.col("key").cast("string")).alias("title"))
 
 
+#: Categories of a list that are broadcast at most; beyond that Spark deals out the pairs.
+FEW = 1_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count shows that it is small."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def covering_sets(bitmaps: DataFrame, goal: Column, size: int) -> DataFrame:
     """Combinations of `size` categories (2 or 3) whose bitmaps together have every bit of the goal; categories of one list are few."""
+    bitmaps = few(bitmaps)
     side = lambda i: bitmaps.select(F.col("c").alias(f"c{i}"), F.col("bits").alias(f"b{i}"))
     out = side(1).join(side(2), F.col("c1") > F.col("c2"))
     covered = F.col("b1").bitwiseOR(F.col("b2"))

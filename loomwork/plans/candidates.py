@@ -99,10 +99,15 @@ def later(t):
     return C.later_links(links, 4).select("page", "url")
 
 
-@R.add("d20_zone_labels", "SELECT zone, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' (' || replace(split_part(zone, '/', 2), '_', ' ') || ')' ELSE name END AS label FROM (VALUES ('America/New_York', 'Eastern'), ('America/Detroit', 'Eastern'), ('Europe/Paris', 'Central Europe'), ('America/Port_of_Spain', 'Atlantic'), ('America/Halifax', 'Atlantic')) v(zone, name)")
+ZONES = (("America/New_York", "Eastern"), ("America/Detroit", "Eastern"), ("Europe/Paris", "Central Europe"), ("America/Port_of_Spain", "Atlantic"), ("America/Halifax", "Atlantic"))
+
+
+@R.add("d20_zone_labels", f"WITH z AS (SELECT n_name, CASE WHEN n_regionkey > 1 THEN {[z for z, _ in ZONES]}[n_nationkey % 5 + 1] ELSE 'Europe/Paris' END AS zone, CASE WHEN n_regionkey > 1 THEN {[n for _, n in ZONES]}[n_nationkey % 5 + 1] ELSE 'Central Europe' END AS name FROM nation), c AS (SELECT name, count(DISTINCT zone) AS n FROM z GROUP BY 1) SELECT n_name, CASE WHEN n > 1 THEN name || ' (' || replace(split_part(zone, '/', 2), '_', ' ') || ')' ELSE name END AS label FROM z JOIN c USING (name)")
 def zone_labels(t):
-    rows = [("America/New_York", "Eastern"), ("America/Detroit", "Eastern"), ("Europe/Paris", "Central Europe"), ("America/Port_of_Spain", "Atlantic"), ("America/Halifax", "Atlantic")]
-    return C.zone_labels(t.spark.createDataFrame(rows, "zone string, name string"))
+    """Nations and the labels of their zones, which name the city where several zones in use share a name."""
+    at = lambda i: F.get(F.array(*[F.lit(z[i]) for z in ZONES]), F.when(F.col("n_regionkey") > 1, F.col("n_nationkey") % 5).otherwise(2).cast("int"))
+    own = t.nation.select("n_name", at(0).alias("zone"), at(1).alias("name"))
+    return own.select("n_name", "zone").join(C.zone_labels(own.select("zone", "name").distinct()), "zone").select("n_name", "label")
 
 
 @R.add("d21_start_pages", r"""WITH b AS (SELECT page_id, regexp_extract(url, '^[^?#]*') AS base FROM pages), p AS (SELECT DISTINCT base FROM b WHERE page_id % 2 = 0)
@@ -128,11 +133,13 @@ def stalled(t):
     return t.orders.where((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") < now - F.expr("INTERVAL 1 HOUR"))).select("o_orderkey")
 
 
-@R.add("g19_rescheduled", "SELECT o_orderkey, strftime(timezone('UTC', timezone('Pacific/Auckland', o_orderdate::DATE::TIMESTAMP)) + INTERVAL 2 HOURS, '%Y-%m-%d %H:%M') AS run_at, o_custkey % 3 > 1 AS accepted FROM orders")
+@R.add("g19_rescheduled", "SELECT o_orderkey, strftime(timezone('UTC', timezone('Pacific/Auckland', o_orderdate::DATE::TIMESTAMP)) + INTERVAL 2 HOURS, '%Y-%m-%d %H:%M') AS run_at, coalesce(sent > stored, false) AS accepted FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS sent, count(*) FILTER (l_returnflag = 'R') AS stored FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def rescheduled(t):
     """The same local date in a new zone; a change counts only with a greater version."""
     run = S.run_time(F.to_date("o_orderdate"), "Pacific/Auckland")
-    return t.orders.select("o_orderkey", F.date_format(run, "yyyy-MM-dd HH:mm").alias("run_at"), (F.col("o_custkey") % 3 > 1).alias("accepted"))
+    versions = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "A").alias("sent"), F.count_if(F.col("l_returnflag") == "R").alias("stored"))
+    rows = t.orders.join(versions, "o_orderkey", "left")
+    return rows.select("o_orderkey", F.date_format(run, "yyyy-MM-dd HH:mm").alias("run_at"), F.coalesce(F.col("sent") > F.col("stored"), F.lit(False)).alias("accepted"))
 
 
 @R.add("g22_adopted", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 THEN 42 ELSE o_custkey END AS o_custkey FROM orders")

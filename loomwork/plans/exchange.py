@@ -116,13 +116,18 @@ def categories(t):
     return html_pages.read_categories(t.pages.select("page_id", html.alias("html")))
 
 
-@R.add("s14_read_through_cache", "SELECT o_orderkey AS request, o_orderkey % 3 = 0 AS hit, CASE WHEN o_orderkey % 3 = 0 THEN 'stored ' || o_orderkey ELSE 'fetched ' || o_orderkey END AS body FROM orders")
+@R.add(
+    "s14_read_through_cache",
+    """WITH r AS (SELECT DISTINCT l_partkey + 300 AS request FROM lineitem), c AS (SELECT l_partkey AS request, count(*) || ' sold' AS body FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 40 GROUP BY 1)
+SELECT request, c.body IS NOT NULL AS hit, coalesce(c.body, p_name) AS body FROM r LEFT JOIN c USING (request) LEFT JOIN part ON p_partkey = request""",
+)
 def cache(t):
-    """What the cache has comes from it, the rest from the source."""
-    requests = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("request"))
-    stored = requests.where("request % 3 = 0").withColumn("stored", F.concat(F.lit("stored "), F.col("request").cast("string")))
-    met = requests.join(stored, ["id", "request"], "left")
-    return met.select("request", F.col("stored").isNotNull().alias("hit"), F.coalesce("stored", F.concat(F.lit("fetched "), F.col("request").cast("string"))).alias("body"))
+    """What the cache has (sales of parts) comes from it, the rest from the source (the parts table), which doesn't have all that is asked for."""
+    requests = t.lineitem.select((F.col("l_partkey") + 300).alias("request")).distinct()
+    cached = t.lineitem.where("l_returnflag = 'N' AND l_quantity > 40").groupBy(F.col("l_partkey").alias("request")).agg(F.concat(F.count("*").cast("string"), F.lit(" sold")).alias("stored"))
+    met = requests.join(cached, "request", "left")
+    fetched = met.where("stored IS NULL").select("request").join(t.part.select(F.col("p_partkey").alias("request"), F.col("p_name").alias("fetched")), "request")
+    return met.join(fetched, "request", "left").select("request", F.col("stored").isNotNull().alias("hit"), F.coalesce("stored", "fetched").alias("body"))
 
 
 @R.add("s17_insert_from_select", "SELECT l_orderkey AS sub_id, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT -o_orderkey - 1, count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1")

@@ -131,10 +131,16 @@ def page_dates(t):
     return html_pages.read_dates(t.pages.select("page_id", head.alias("html"))).select("page_id", "source", "value")
 
 
-@R.add("s10_line_scan", "SELECT (i + 1)::INT AS line_no, CASE WHEN i % 3 < 2 THEN 'https://example.com/' || i END AS url, CASE WHEN i % 3 < 2 THEN 'label ' || i END AS label, CASE WHEN i % 3 = 2 THEN 'line ' || (i + 1) || ' is not a url and a label' END AS error FROM range(0, 30) r(i)")
+@R.add(
+    "s10_line_scan",
+    """SELECT page_id, 1 AS line_no, url, page_id || ' of them' AS label, NULL AS error FROM pages UNION ALL
+SELECT page_id, 3, CASE WHEN page_id % 3 > 0 THEN url END, CASE WHEN page_id % 3 > 0 THEN 'again' END, CASE WHEN page_id % 3 = 0 THEN 'line 3 is not a url and a label' END FROM pages""",
+)
 def lines(t):
-    text = "\n".join(f"https://example.com/{i}  label {i} " if i % 3 < 2 else f"nothing {i}" for i in range(30))
-    return exports.parsed_lines(t.spark.createDataFrame([(text,)], "text string"))
+    """Lists of addresses with labels: a line of each page's address, a blank one, and one that is an address only for some."""
+    k = F.col("page_id")
+    text = F.concat("url", F.lit("  "), k.cast("string"), F.lit(" of them \n \r\n"), F.when(k % 3 > 0, F.concat(F.lit(" "), "url", F.lit("\tagain"))).otherwise(F.concat(F.lit("see "), "url")))
+    return exports.parsed_lines(t.pages.select("page_id", text.alias("text")))
 
 
 @R.add("d17_links_in_messages", "SELECT o_orderkey, 'https://example.com/' || o_orderkey AS url FROM orders")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwork.operators import ranking, sets
+from loomwork.operators.candidates import few
 from loomwork.plans.registry import Registry
 
 R = Registry()
@@ -217,14 +218,16 @@ def positional_zip(t):
 @R.add(
     "j19_cover_pairs",
     """WITH m AS (SELECT s_nationkey AS c, bit_or(1::BIGINT << (s_suppkey % 40)::INT) AS bits FROM supplier GROUP BY 1)
-SELECT a.c AS c1, b.c AS c2, bit_count(a.bits | b.bits)::BIGINT AS covered FROM m a JOIN m b ON a.c > b.c""",
+SELECT a.c AS c1, b.c AS c2, bit_count(a.bits | b.bits)::BIGINT AS covered FROM m a JOIN m b ON a.c > b.c QUALIFY row_number() OVER (PARTITION BY a.c ORDER BY bit_count(a.bits | b.bits) DESC, b.c) = 1""",
 )
 def cover_pairs(t):
-    """Pairs of categories and how many posts they cover together; category bitmaps are small, and few."""
+    """For each category the earlier one with which it covers the most posts; of equal ones the least. Bitmaps are a row for each category."""
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("s_suppkey", F.lit(40)).cast("int"))
     m = t.supplier.groupBy(F.col("s_nationkey").alias("c")).agg(F.bit_or(bit).alias("bits"))
     a, b = m.select(F.col("c").alias("c1"), F.col("bits").alias("x")), m.select(F.col("c").alias("c2"), F.col("bits").alias("y"))
-    return a.join(b, F.col("c1") > F.col("c2")).select("c1", "c2", F.bit_count(F.col("x").bitwiseOR(F.col("y"))).cast("long").alias("covered"))
+    pairs = a.join(few(b), F.col("c1") > F.col("c2")).select("c1", "c2", F.bit_count(F.col("x").bitwiseOR(F.col("y"))).cast("long").alias("covered"))
+    best = pairs.groupBy("c1").agg(F.max(F.struct("covered", (-F.col("c2")).alias("c"))).alias("b"))
+    return best.select("c1", (-F.col("b.c")).alias("c2"), "b.covered")
 
 
 @R.add("a01_published_of_total", f"WITH {PUBLISHED_SQL} SELECT l_orderkey, published, total FROM c")
@@ -511,9 +514,11 @@ def rows_to_json(t):
     return t.nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.to_json(rows).alias("js"))
 
 
-@R.add("s29_values", "SELECT id, name FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(id, name)")
+@R.add("s29_values", "SELECT n_nationkey, name FROM nation JOIN (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(id, name) ON id = n_regionkey")
 def values(t):
-    return t.spark.sql("SELECT id, name FROM VALUES (1, 'a'), (2, 'b'), (3, NULL) AS v(id, name)")
+    """Rows given in the query itself beside those of a table."""
+    given = t.spark.sql("SELECT id, name FROM VALUES (1, 'a'), (2, 'b'), (3, NULL) AS v(id, name)")
+    return t.nation.join(F.broadcast(given), F.col("n_regionkey") == F.col("id")).select("n_nationkey", "name")
 
 
 @R.add("g10_versioned_upsert", "SELECT n_nationkey AS k, CASE WHEN n_nationkey < 10 AND n_nationkey % 2 = 1 THEN 2 ELSE 1 END AS version FROM nation UNION ALL SELECT 100, 1")

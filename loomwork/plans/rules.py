@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -137,11 +139,16 @@ def discovery(t):
     return U.discovery_results(starts, fetched, links).select("page_id", "result")
 
 
-@R.add("j18_catalog_mismatch", "SELECT n_name, CASE WHEN n IS NULL THEN 'missing' ELSE 'differs' END AS problem FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_nationkey % 5 <> 0 GROUP BY 1) ON s_nationkey = n_nationkey WHERE n IS NULL OR n <> 4")
+@R.add(
+    "j18_catalog_mismatch",
+    """SELECT n_name, CASE WHEN n IS NULL THEN 'missing' ELSE 'differs' END AS problem FROM nation JOIN (SELECT c_nationkey, round(count(*) / 15.0)::BIGINT AS expected FROM customer GROUP BY 1) ON c_nationkey = n_nationkey
+LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_nationkey % 5 <> 0 GROUP BY 1) ON s_nationkey = n_nationkey WHERE n IS NULL OR n <> expected""",
+)
 def catalog_mismatch(t):
-    """What is expected against what is there; what isn't there at all is reported too."""
+    """What is expected (a supplier for 15 customers of a nation) against what is there; what isn't there at all is reported too."""
+    expected = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.round(F.count("*") / 15).cast("long").alias("expected"))
     there = t.supplier.where("s_nationkey % 5 <> 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
-    rows = t.nation.select("n_nationkey", "n_name").join(there, "n_nationkey", "left").where("n IS NULL OR n <> 4")
+    rows = t.nation.select("n_nationkey", "n_name").join(expected, "n_nationkey").join(there, "n_nationkey", "left").where("n IS NULL OR n <> expected")
     return rows.select("n_name", F.when(F.col("n").isNull(), "missing").otherwise("differs").alias("problem"))
 
 
@@ -154,12 +161,15 @@ def skipped_runs(t):
     return late.select("o_orderkey", run.alias("r")).select("o_orderkey", "r.day", F.col("r.skipped").cast("long").alias("skipped"))
 
 
-@R.add("g17_invalid_zones", "SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0")
+ZONES = ("Mars/Base", "UTC", "Europe/Paris", "America/Los_Angeles", "europe/paris ", "Asia/Kolkata", "Pacific/Auckland")
+
+
+@R.add("g17_invalid_zones", f"SELECT c_custkey FROM customer WHERE {list(ZONES)}[c_custkey % 7 + 1] NOT IN (SELECT name FROM pg_timezone_names())")
 def invalid_zones(t):
-    """Settings whose zone isn't known."""
-    zones = t.spark.createDataFrame([("Europe/Paris",), ("UTC",), ("America/New_York",)], "zone string")
-    zone = F.when(F.col("c_custkey") % 7 == 0, "Mars/Base").when(F.col("c_custkey") % 2 == 0, "UTC").otherwise("Europe/Paris")
-    return t.customer.select("c_custkey", zone.alias("zone")).join(F.broadcast(zones), "zone", "left_anti").select("c_custkey")
+    """Settings whose zone isn't one that this system knows."""
+    known = t.spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "zone string")  # some hundred names
+    zone = F.get(F.array(*[F.lit(z) for z in ZONES]), (F.col("c_custkey") % 7).cast("int"))
+    return t.customer.select("c_custkey", zone.alias("zone")).join(F.broadcast(known), "zone", "left_anti").select("c_custkey")
 
 
 @R.add("g18_initial_publication", f"WITH {publishing.MODEL_SQL} SELECT p.sub_id, p.index, d.sub_id IS NOT NULL AS today FROM posts p LEFT JOIN due d ON d.sub_id = p.sub_id AND d.index = p.index WHERE p.sub_id % 10 = 3 AND p.published_at IS NULL")

@@ -149,13 +149,13 @@ def ranked(t):
     return M.ranked_groups(M.mask_groups(*_links(t))).where("place <= 2").select("page", "mask", F.col("place").cast("long").alias("place"))
 
 
-@R.add("a22_on_every_page", "SELECT l_suppkey, l_returnflag FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber) = (SELECT count(DISTINCT l_linenumber) FROM lineitem)")
+@R.add("a22_on_every_page", "SELECT l_partkey, l_returnflag FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber) = (SELECT count(DISTINCT l_linenumber) FROM lineitem)")
 def on_every_page(t):
     """(xpath, source) pairs that occur on every page: as many distinct pages as there are."""
-    rows = t.lineitem.select("l_suppkey", "l_returnflag", "l_linenumber")
+    rows = t.lineitem.select("l_partkey", "l_returnflag", "l_linenumber")
     pages = rows.agg(F.count_distinct("l_linenumber").alias("n_pages"))
-    groups = rows.groupBy("l_suppkey", "l_returnflag").agg(F.count_distinct("l_linenumber").alias("n"))
-    return groups.join(F.broadcast(pages), F.col("n") == F.col("n_pages")).select("l_suppkey", "l_returnflag")
+    groups = rows.groupBy("l_partkey", "l_returnflag").agg(F.count_distinct("l_linenumber").alias("n"))
+    return groups.join(F.broadcast(pages), F.col("n") == F.col("n_pages")).select("l_partkey", "l_returnflag")
 
 
 @R.add("x17_dominant_host", "SELECT o_custkey, max_by(o_orderpriority, (k, o_orderpriority)) AS host FROM (SELECT o_custkey, o_orderpriority, count(*) AS k FROM orders GROUP BY 1, 2) GROUP BY 1")

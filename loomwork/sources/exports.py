@@ -42,12 +42,13 @@ def search_hits(docs: DataFrame) -> DataFrame:
 
 
 def parsed_lines(text: DataFrame, column: str = "text") -> DataFrame:
-    """(line_no, url, label, error) of "url label" lines, numbered from 1; blank lines are left out."""
-    rows = text.select(F.posexplode(F.split(F.col(column), r"\r?\n")).alias("i", "line")).where(F.trim("line") != "")
+    """(..., line_no, url, label, error) of "url label" lines, numbered from 1, beside the other columns of `text`; blank lines are left out."""
+    others = [c for c in text.columns if c != column]
+    rows = text.select(*others, F.posexplode(F.split(F.col(column), r"\r?\n")).alias("i", "line")).where(F.trim("line") != "")
     url = F.regexp_extract("line", r"^\s*(https?://\S+)\s+(\S.*?)\s*$", 1)
     label = F.regexp_extract("line", r"^\s*(https?://\S+)\s+(\S.*?)\s*$", 2)
     bad = F.when(url == "", F.format_string("line %d is not a url and a label", F.col("i") + 1))
-    return rows.select((F.col("i") + 1).alias("line_no"), F.nullif(url, F.lit("")).alias("url"), F.nullif(label, F.lit("")).alias("label"), bad.alias("error"))
+    return rows.select(*others, (F.col("i") + 1).alias("line_no"), F.nullif(url, F.lit("")).alias("url"), F.nullif(label, F.lit("")).alias("label"), bad.alias("error"))
 
 
 def replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
