@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomwork.functions import dates as D
 from loomwork.functions import schedule as S
 from loomwork.functions import text as X
 from loomwork.functions import urls as U
@@ -272,3 +273,22 @@ def zone_fallback(t):
     groups = t.spark.createDataFrame([(h, "Etc/GMT" + (f"+{h}" if h else "")) for h in range(13)], "hours int, by_offset string")
     joined = sent.join(F.broadcast(ids), "id", "left").join(F.broadcast(groups), F.col("hours") == F.floor(F.col("offset") / 60), "left")
     return joined.select("c_custkey", F.coalesce("known", "by_offset", F.lit("UTC")).alias("zone"))
+
+
+#: Forms of one date, and what of it each says.
+DATE_FORMS = ("d MMMM yyyy", "MMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-DDD", "dd-MMM-yyyy", "yyyy/MM/dd", "d.M.yyyy", "yyyyMMdd", "''yy", "MMMM", "h:mm a 'EST'")
+
+
+@R.add(
+    "f14_parsed_dates",
+    """SELECT o_orderkey, CASE WHEN k < 9 THEN year(d) END AS y, CASE WHEN k IN (8, 10) THEN NULL ELSE month(d) END AS m, CASE WHEN k < 8 THEN day(d) END AS d, CASE k WHEN 2 THEN hour(d) WHEN 10 THEN hour(d) END AS h, (CASE k WHEN 2 THEN 0 WHEN 10 THEN -300 END)::BIGINT AS zone
+FROM (SELECT o_orderkey, o_orderdate + INTERVAL 1 MINUTE * (o_orderkey % 1440) AS d, o_orderkey % 11 AS k FROM orders)""",
+)
+def parsed_dates(t):
+    """Order dates, with a time from the key, written in eleven ways; the parts that each way has come back."""
+    at = F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    text = F.lit(None).cast("string")
+    for k, form in enumerate(DATE_FORMS):
+        text = F.when(F.col("o_orderkey") % len(DATE_FORMS) == k, F.concat(F.lit("on "), F.date_format(at, form))).otherwise(text)
+    rows = t.orders.select("o_orderkey", D.parsed_date(text).alias("p"))
+    return rows.select("o_orderkey", *[F.col(f"p.{a}").cast("long").alias(b) for a, b in (("year", "y"), ("month", "m"), ("day", "d"), ("hour", "h"), ("offset", "zone"))])
