@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +116,34 @@ def title_ends(titles: DataFrame, groups: list[str], title: str = "title") -> Da
         ends = ends.withColumn("suffix", F.when(F.startswith("suffix", F.lit(ellipsis)), F.substring("suffix", len(ellipsis) + 1, 1 << 30)).otherwise(F.col("suffix")))
     apart = F.octet_length("prefix") + F.octet_length("suffix") < F.col("shortest")
     return ends.select(*groups, *[F.when(apart, F.col(c)).otherwise("").alias(c) for c in ("prefix", "suffix")])
+
+
+def extraction_records(links: DataFrame, dated: DataFrame, feed: DataFrame, threshold: Callable[[Column], Column]) -> DataFrame:
+    """(list, n_links, n_kept, has_duplicates, n_url_days, dates, is_sorted, is_reverse_sorted): what each list of links is, before it is held against its feed.
+
+    links (list, stars, pos, key, day, url_day): of one masked path, with the dates beside the links and in their addresses. dated (list): lists whose links share a path to dates. feed (list, key): entries of the list's feed.
+    Equal links in a row are one, with the first one's date. Of a dated list with more than threshold(its feed's length) of the feed's entries only links with a date are kept; of another one dates count if every link has one.
+    dates: `all` where the list has the whole feed, `almost` where it has threshold many of it, else `some`; null without dates. Whether dates fall or rise all along is asked with two stars and more; with one the
+    order of the links is trusted (null). n_links is the number after runs are one. A feed without entries is had by every list; a list without a feed likewise.
+    """
+    order = Window.partitionBy("list").orderBy("pos")
+    runs = links.withColumn("_before", F.lag(F.struct("key")).over(order)).where(F.col("_before").isNull() | ~F.col("_before.key").eqNullSafe(F.col("key"))).drop("_before")
+    entries = feed.select("list", "key").distinct().withColumn("_in", F.lit(True))
+    sizes = entries.groupBy("list").agg(F.count("*").alias("_feed"))
+    rows = runs.join(entries, ["list", "key"], "left")
+    met = rows.where("_in").select("list", "key").distinct().groupBy("list").agg(F.count("*").alias("_met"))
+    facts = rows.groupBy("list").agg(F.count("*").alias("n_links"), F.bool_and(F.col("day").isNotNull()).alias("_whole")).join(sizes, "list", "left").join(met, "list", "left")
+    facts = facts.join(dated.select("list").distinct().withColumn("_dated", F.lit(True)), "list", "left").fillna(0, ["_feed", "_met"]).fillna(False, ["_dated"])
+    enough = threshold(F.col("_feed"))
+    filtered = F.col("_dated") & (F.col("_met") > enough)
+    facts = facts.select("list", "n_links", filtered.alias("_filtered"), F.when(filtered | (F.col("_dated") & F.col("_whole")), F.when(F.col("_met") == F.col("_feed"), "all").when(F.col("_met") >= enough, "almost").otherwise("some")).alias("dates"))
+    kept = rows.join(facts, "list").where(~F.col("_filtered") | F.col("day").isNotNull())
+    kept = kept.withColumns({"_last": F.lag("day").over(order), "_nth": F.row_number().over(Window.partitionBy("list", "key").orderBy("pos"))})
+    asked = F.col("dates").isNotNull() & (F.col("stars") >= 2)
+    holds = lambda c: F.bool_and(F.when(asked, F.coalesce(c, F.lit(True))))
+    found = kept.groupBy("list").agg(
+        F.count("*").alias("n_kept"), F.coalesce(F.bool_or(F.col("_nth") > 1), F.lit(False)).alias("has_duplicates"), F.count("url_day").alias("n_url_days"),
+        holds(F.col("_last") >= F.col("day")).alias("is_sorted"), holds(F.col("_last") <= F.col("day")).alias("is_reverse_sorted"),
+    )
+    out = facts.join(found, "list", "left").fillna(0, ["n_kept", "n_url_days"]).fillna(False, ["has_duplicates"])
+    return out.select("list", "n_links", "n_kept", "has_duplicates", "n_url_days", "dates", "is_sorted", "is_reverse_sorted")

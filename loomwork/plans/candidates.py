@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import schedule as S
@@ -217,3 +218,29 @@ def unordered(t):
     known = pages.where("page % 7 = 0").select("page", (5 + F.col("page") % 40).alias("n"), (F.col("page") % 14 == 0).alias("dated"))
     found = A.unordered_matches(lists, rows.where("l_returnflag = 'R'").select("page", "key"), rows.select("page", "key"), known, X.archives_threshold)
     return found.select("page", "kind", "stars", F.col("n").cast("long").alias("n"))
+
+
+@R.add(
+    "x05_extraction_records",
+    """WITH x AS (SELECT l_orderkey AS list, (l_orderkey % 3 + 1)::INT AS stars, l_partkey % 6 AS key, CASE WHEN l_returnflag <> 'R' OR l_orderkey % 2 = 0 THEN CASE WHEN l_orderkey % 5 = 0 THEN o_orderdate ELSE l_shipdate END END AS day, CASE WHEN l_linestatus = 'O' THEN l_shipdate END AS url_day, l_quantity > 25 AS in_feed,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, o_orderpriority NOT LIKE '5%' AS dated FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+e AS (SELECT DISTINCT list, key FROM x WHERE in_feed), n AS (SELECT list, count(*) AS feed FROM e GROUP BY 1),
+r AS (SELECT * FROM (SELECT *, lag(key) OVER (PARTITION BY list ORDER BY pos) AS b FROM x) WHERE b IS NULL OR b <> key),
+m AS (SELECT list, count(*) AS n_links, bool_and(day IS NOT NULL) AS whole, any_value(dated) AS dated, any_value(stars) AS stars FROM r GROUP BY 1),
+t AS (SELECT r.list, count(DISTINCT r.key) AS met FROM r JOIN e ON e.list = r.list AND e.key = r.key GROUP BY 1),
+f AS (SELECT m.*, coalesce(feed, 0) AS feed, coalesce(met, 0) AS met, CASE WHEN coalesce(feed, 0) <= 3 THEN coalesce(feed, 0) ELSE feed - 1 END AS enough FROM m LEFT JOIN n USING (list) LEFT JOIN t USING (list)),
+k AS (SELECT r.*, lag(day) OVER (PARTITION BY r.list ORDER BY pos) AS last FROM r JOIN f USING (list) WHERE NOT (f.dated AND met > enough) OR day IS NOT NULL),
+a AS (SELECT list, count(*) AS n_kept, count(*) <> count(DISTINCT key) AS has_duplicates, count(url_day) AS n_url_days, bool_and(last IS NULL OR day IS NULL OR last >= day) AS down, bool_and(last IS NULL OR day IS NULL OR last <= day) AS up FROM k GROUP BY 1),
+g AS (SELECT f.*, a.* EXCLUDE list, CASE WHEN f.dated AND (met > enough OR whole) THEN CASE WHEN met = feed THEN 'all' WHEN met >= enough THEN 'almost' ELSE 'some' END END AS dates FROM f LEFT JOIN a USING (list))
+SELECT list, n_links, coalesce(n_kept, 0) AS n_kept, coalesce(has_duplicates, false) AS has_duplicates, coalesce(n_url_days, 0) AS n_url_days, dates, CASE WHEN stars >= 2 AND dates IS NOT NULL THEN down END AS is_sorted, CASE WHEN stars >= 2 AND dates IS NOT NULL THEN up END AS is_reverse_sorted FROM g""",
+)
+def extractions(t):
+    """Orders as lists: parts in few classes, so that links repeat, with dates beside some; lines of large quantities are the feed."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = t.lineitem.withColumn("pos", F.row_number().over(place)).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", "o_orderpriority"), "l_orderkey")
+    key = F.col("l_orderkey")
+    day = F.when((F.col("l_returnflag") != "R") | (key % 2 == 0), F.when(key % 5 == 0, F.col("o_orderdate")).otherwise(F.col("l_shipdate")))
+    links = rows.select(key.alias("list"), (key % 3 + 1).cast("int").alias("stars"), "pos", (F.col("l_partkey") % 6).alias("key"), day.alias("day"), F.when(F.col("l_linestatus") == "O", F.col("l_shipdate")).alias("url_day"))
+    dated = t.orders.where("o_orderpriority NOT LIKE '5%'").select(F.col("o_orderkey").alias("list"))
+    feed = rows.where("l_quantity > 25").select(key.alias("list"), (F.col("l_partkey") % 6).alias("key"))
+    return C.extraction_records(links, dated, feed, X.archives_threshold)
