@@ -190,11 +190,11 @@ def preferred_feed(found: Column) -> Column:
 def discovery_results(starts: DataFrame, fetched: DataFrame, links: DataFrame) -> DataFrame:
     """starts (url, ...) with `result`: not_a_url, unreachable, single, multiple, none, or bad.
 
-    fetched: url, content, is_feed, of what could be fetched. links: url, link, the feed links of those that are pages; links that repeat
-    count once. A feed that can't be read to its end is bad.
+    fetched: url, is_feed, is_whole, of what could be fetched; is_whole: the feed could be read (`sources.feeds.read_feeds` gives no error). links: url, link, the feed links of those that are pages; links that repeat
+    count once. A feed that can't be read is bad.
     """
     counts = links.distinct().groupBy("url").agg(F.count("*").alias("_n"))
-    known = fetched.select("url", "is_feed", F.col("content").rlike(r"(?is)</(rss|feed|rdf:rdf)>\s*$").alias("_whole"))
+    known = fetched.select("url", "is_feed", F.col("is_whole").alias("_whole"))
     met = starts.join(known, "url", "left").join(counts, "url", "left")
     result = (
         F.when(canonical_link(F.col("url")).isNull(), "not_a_url")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.ranking import cap_per_group, mode_with_count
+from loomwork.sources.storage import staged
 
 
 def capped_links(links: DataFrame, most: int = 3) -> DataFrame:
@@ -22,6 +23,7 @@ def rank_roots(links: DataFrame, library: str, least: int = 2, deny: Sequence[st
     Of equally frequent authors or channels the least is named.
     """
     kept = capped_links(links.where(~F.col("root").isin(*deny)) if deny else links)
+    kept = staged(kept.select("root", "author", "channel"), "kept-links")  # counted in three ways
     counts = kept.groupBy("root").agg(F.count("*").alias("n_links"), F.count_if(F.col("channel") == library).alias("n_library")).where(F.col("n_links") >= least)
     return (
         counts.join(mode_with_count(kept, ["root"], "author", "top_author"), "root")

@@ -16,6 +16,7 @@ from loomwork.operators import sets
 from loomwork.operators.ranking import cap_per_group
 from loomwork.plans import publishing
 from loomwork.plans.registry import Registry
+from loomwork.sources import feeds
 
 R = Registry()
 
@@ -128,13 +129,18 @@ def preferred_feed(t):
 
 @R.add(
     "d13_discovery_results",
-    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'not_a_url' WHEN 1 THEN 'unreachable' WHEN 2 THEN 'none' WHEN 3 THEN 'single' WHEN 4 THEN 'multiple' ELSE 'bad' END AS result FROM pages""",
+    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'not_a_url' WHEN 1 THEN 'unreachable' WHEN 2 THEN 'none' WHEN 3 THEN 'single' WHEN 4 THEN 'multiple' ELSE CASE WHEN page_id % 4 = 1 THEN 'single' ELSE 'bad' END END AS result FROM pages""",
 )
 def discovery(t):
     """What looking for feeds at an address comes to: one feed, several, none, or why it failed."""
     k = F.col("page_id")
     starts = t.pages.select("page_id", F.when(k % 6 == 0, "mailto:a@b").otherwise(F.concat(F.lit("https://e.com/"), k.cast("string"))).alias("url"))
-    fetched = t.pages.where("page_id % 6 > 1").select(F.concat(F.lit("https://e.com/"), k.cast("string")).alias("url"), F.when(k % 6 == 5, "<rss><channel/>").otherwise("<html>").alias("content"), (k % 6 == 5).alias("is_feed"))
+    # of feeds one in two is cut off, which the parser notices
+    whole = '<rss version="2.0"><channel><title>t</title><link>https://e.com/</link><item><title>i</title><link>https://e.com/i</link></item></channel></rss>'
+    content = F.when(k % 6 == 5, F.when(k % 4 == 1, F.lit(whole)).otherwise(F.left(F.lit(whole), F.lit(90)))).otherwise(F.col("html"))
+    fetched = t.pages.where("page_id % 6 > 1").select(F.concat(F.lit("https://e.com/"), k.cast("string")).alias("url"), k.alias("doc_id"), content.alias("content"), (k % 6 == 5).alias("is_feed"))
+    read = feeds.read_feeds(fetched.where("is_feed")).select("doc_id", F.col("error").isNull().alias("is_whole"))
+    fetched = fetched.join(read, "doc_id", "left").select("url", "is_feed", F.coalesce("is_whole", F.lit(False)).alias("is_whole"))
     links = t.pages.where("page_id % 6 IN (3, 4)").select(F.concat(F.lit("https://e.com/"), k.cast("string")).alias("url"), F.explode(F.when(k % 6 == 3, F.array(F.lit("/feed"), F.lit("/feed"))).otherwise(F.array(F.lit("/feed"), F.lit("/rss")))).alias("link"))
     return U.discovery_results(starts, fetched, links).select("page_id", "result")
 
