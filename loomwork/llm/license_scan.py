@@ -63,16 +63,18 @@ class Matcher:
     """Templates by size class, with the values that each band has for them."""
 
     def __init__(self, templates: list[tuple[str, str]], percent: int):
-        self.percent, self.names, self.sets = percent, [], []
+        self.percent, self.names, self.sets, runs = percent, [], [], []
         for name, text in templates:
-            s = np.unique(_hashes([text.encode()], {})[0])
+            run = _hashes([text.encode()], {})[0]
+            s = np.unique(run)
+            runs.append(len(run))
             if not len(s):
                 raise ValueError(f"a template of {name} has fewer than {SHINGLE} words")
             self.names.append(name)
             self.sets.append(s)
         of: dict[int, list[int]] = defaultdict(list)
-        for k, s in enumerate(self.sets):
-            of[1 << (len(s) - 1).bit_length()].append(k)
+        for k, n in enumerate(runs):  # repeated shingles count: a window has to hold the whole text
+            of[1 << (n - 1).bit_length()].append(k)
         need = {k: -(-percent * len(s) // 100) for k, s in enumerate(self.sets)}
         self.least = {size: min(need[k] for k in own) for size, own in of.items()}
         self.bands = {size: max(math.ceil(math.log(MISS) / math.log(1 - need[k] / (2 * size + len(self.sets[k]) - need[k]))) for k in own) for size, own in of.items()}

@@ -237,6 +237,15 @@ def test_quality_reads_whole_words_and_vocabulary():
 # --- license scans ---
 
 
+def test_windows_hold_templates_that_repeat_shingles():
+    matcher = license_scan.Matcher([(n, t) for n, texts in catalogue().items() for t in texts], license_scan.PERCENT)
+    texts = [t.encode() for texts in catalogue().values() for t in texts]
+    hashes, n = license_scan._hashes(texts, {})
+    sizes = {k: size for size, tables in matcher.classes.items() for _, _, templates in tables for k in templates.tolist()}
+    assert all(n[k] <= sizes[k] < 2 * n[k] for k in range(len(texts))) and any(len(matcher.sets[k]) < n[k] for k in range(len(texts)))
+
+
+
 def in_a_stretch(text, template, length, percent=80):
     """Does some stretch of `length` consecutive shingles, or the whole text, hold enough of the template? Shares no code with the operator."""
     shingles = lambda t: [tuple(w) for w in (lambda w: [w[i : i + 5] for i in range(len(w) - 4)])(re.findall(r"[a-z0-9\x80-\U0010ffff]+", lowered(t)))]
