@@ -529,3 +529,26 @@ def test_pipeline_on_odd_rows(spark, tmp_path, odd):
     assert {str(r.doc_id) for r in rows} == {str(i) for i, _ in ODD}
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), f"file://{tmp_path}").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "decontamination", "packing"]
+
+
+# --- empty tables and very long texts of the native operators ---
+
+
+def test_empty_tables(spark):
+    rules = spark.createDataFrame([("com", "/", "allow")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+    assert url_filter.judge_urls(pages.where("false"), rules).count() == 0
+    assert [tuple(r) for r in url_filter.judge_urls(pages, rules.where("false")).select("page_id", "rule").collect()] == [(1, None)]
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    made = chat_format.format_chats(turns)
+    assert made.count() == 0 and chat_format.read_chats(made.select("conv_id", "formatted", "segments")).count() == 0
+    docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, items).count() == 0
+    assert [r.contaminated for r in decontaminate.decontaminate(spark.createDataFrame([(1, "one two three")], DOCS), items.where("false")).collect()] == [False]
+
+
+def test_very_long_chat(spark):
+    text = "</turn> \\ ### User: " * 60_000
+    made = chat_format.format_chats(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string"))
+    row = chat_format.read_chats(made.select("conv_id", "formatted", "segments")).collect()[0]
+    assert [(t.role, t.text) for t in row.turns] == [("user", text), ("assistant", text)] and row.loss_text == text
