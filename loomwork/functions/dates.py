@@ -1,52 +1,12 @@
-"""Dates in free text: a strict ISO pattern as expressions, a small grammar of written dates in Arrow batches."""
+"""Dates in free text, as expressions: a strict ISO pattern, and a grammar of written dates and times."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Month names and their short forms.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-_MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in MONTHS) + r"|sept)\.?"
-_DAY, _YEAR = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|'?\d{2})(?!\d)"
-_FORMS = [
-    (re.compile(rf"(?<!\d)(\d{{4}})[-./ ](\d{{1,2}})[-./ ](\d{{1,2}})(?!\d)", re.I), "ymd"),
-    (re.compile(rf"(?<!\d){_DAY}[\s.-]+(?:of\s+)?{_MONTH}(?:[\s,.-]+{_YEAR})?", re.I), "dmy"),
-    (re.compile(rf"\b{_MONTH}[\s-]+{_DAY}(?!\d)(?:[\s,-]+{_YEAR})?", re.I), "mdy"),
-    (re.compile(rf"(?<!\d)(\d{{4}})[\s,-]+{_MONTH}[\s,-]+{_DAY}(?!\d)", re.I), "ymd"),
-]
-
-
-def _month(text: str) -> int:
-    if text.isdigit():
-        return int(text)
-    return next(i for i, m in enumerate(MONTHS, 1) if m.startswith(text.lower()[:3]))
-
-
-def _year(text: str) -> int:
-    text = text.lstrip("'")
-    return int(text) if len(text) > 2 else int(text) + (1900 if int(text) >= 69 else 2000)
-
-
-def written_date(text: str | None, year: int | None = None) -> str | None:
-    """YYYY-MM-DD of a date written in the text; `year` stands in for a missing one; null if there's no full date."""
-    text = (text or "").strip()
-    if not text or re.search(r"\d/\d", text) or not re.search(r"\d", text) or len(text.encode()) > 128:
-        return None
-    for pattern, order in _FORMS:
-        if m := pattern.search(text):
-            parts = dict(zip(order, m.groups(), strict=True))
-            if parts["y"] is None and year is None:
-                return None
-            y, mo, d = _year(parts["y"]) if parts["y"] else year, _month(parts["m"]), int(parts["d"])
-            try:
-                return pd.Timestamp(year=y, month=mo, day=d).strftime("%Y-%m-%d")
-            except ValueError:
-                return None
-    return None
 
 
 def iso_date(text: Column) -> Column:
@@ -55,15 +15,6 @@ def iso_date(text: Column) -> Column:
     return F.when(~text.rlike(r"\d/\d"), F.try_to_date(F.nullif(found, F.lit("")), "yyyy-MM-dd"))
 
 
-def _written(texts: pd.Series) -> pd.Series:
-    return texts.map(written_date)
-
-
-def text_date(text: Column) -> Column:
-    """The date in a text: ISO if there is one, else written."""
-    return F.coalesce(iso_date(text), F.to_date(F.pandas_udf(_written, "string")(text)))
-
-
 #: The years before the first of each Japanese era, hours that zones are ahead of UTC, and bytes that are read at most.
 ERAS = {"m": 1867, "t": 1911, "s": 1925, "h": 1988, "r": 2018}
 ZONES = {"utc": 0, "gmt": 0, "z": 0, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7, "bst": 1, "cet": 1, "cest": 2, "eet": 2, "eest": 3, "msk": 3, "ist": 5.5, "jst": 9}
@@ -167,3 +118,23 @@ def parsed_date(text: Column) -> Column:
         return once(rest, parts)
 
     return F.when(F.octet_length(text) <= MOST_BYTES, once(clean, of))
+
+
+def found_date(text: Column, year: Column | None = None) -> Column:
+    """The date that a text holds: a strict ISO one, else one by `parsed_date` with a month and a day, of which the year (its last two digits at least) and the day are numbers of the text.
+
+    `year` stands in for a missing one. Texts without a digit, or with a digit on either side of a slash (day and month can't be told apart), have none; neither has a day that the calendar doesn't know.
+    """
+    text = F.trim(text)
+    numbers = F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1))
+    has = lambda value: F.array_contains(numbers, value)
+
+    def of(p: Column) -> Column:
+        written = p["year"].cast("string")
+        known = F.when(p["year"].isNotNull(), F.when(has(written) | has(F.right(written, F.lit(2))), p["year"]))
+        known = known.otherwise(year) if year is not None else known
+        day = F.when(has(p["day"].cast("string")) | has(F.lpad(p["day"].cast("string"), 2, "0")), p["day"])
+        return F.try_to_date(F.concat_ws("-", F.lpad(known.cast("string"), 4, "0"), F.lpad(p["month"].cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+
+    loose = F.get(F.transform(F.array(parsed_date(text)), of), F.lit(0))
+    return F.when(text.rlike(r"\d") & ~text.rlike(r"\d/\d"), F.coalesce(iso_date(text), loose))

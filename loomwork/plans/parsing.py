@@ -121,7 +121,7 @@ def text_dates(t):
         .when(k == 3, F.date_format(d, "EEE', 'dd MMM yyyy HH:mm:ss"))
         .otherwise(F.date_format(d, "yyyy.MM.dd"))
     )
-    return t.orders.select("o_orderkey", D.text_date(text).alias("day"))
+    return t.orders.select("o_orderkey", D.found_date(text).alias("day"))
 
 
 @R.add("d14_page_dates", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'meta' ELSE 'time' END AS source, '2024-01-0' || (page_id % 9 + 1) AS value FROM pages")

@@ -101,7 +101,7 @@ def merged_pinned(t):
     from loomwork.functions import dates
 
     text = F.concat(F.lit("pinned on "), F.date_format(F.date_sub(F.to_date("l_shipdate"), 30), "yyyy-MM-dd"))
-    own = t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", dates.text_date(text).alias("day"))
+    own = t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", dates.found_date(text).alias("day"))
     others = t.lineitem.where("l_linenumber <> 1").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("day"), "l_partkey", "l_suppkey", "l_linenumber"))
     return own.unionByName(others).select("l_orderkey", "l_partkey", "l_suppkey", "day", n.cast("long").alias("place"))
