@@ -12,7 +12,7 @@ from loomwork.plans.registry import Registry
 R = Registry()
 
 #: Of nations divisible by 4 no page is an archive, so that their searches end by the number of requests.
-GRAPH_SQL = """k AS (SELECT p_partkey AS url, CASE WHEN p_size <= 4 THEN 0 WHEN p_size <= 20 THEN 1 ELSE 2 END AS rank, CASE WHEN p_type = 'ECONOMY' THEN p_size // 2 + p_partkey % 9 END::BIGINT AS n FROM part),
+GRAPH_SQL = """k AS (SELECT p_partkey AS url, CASE WHEN p_size <= 4 THEN 0 WHEN p_size <= 20 THEN 1 ELSE 2 END AS rank, CASE WHEN p_size % 3 <> 0 THEN p_size // 2 + p_partkey % 9 END::BIGINT AS n FROM part),
 o AS (SELECT c_nationkey AS blog, l_orderkey, l_partkey AS page, lead(l_partkey) OVER w AS url, row_number() OVER w AS i
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
 l AS (SELECT blog, page, url, CASE WHEN blog % 4 = 0 AND rank = 0 THEN 1 ELSE rank END AS rank, min(l_orderkey) AS pos FROM o JOIN k USING (url) GROUP BY ALL),
@@ -24,7 +24,7 @@ s AS (SELECT blog, list({'url': url, 'rank': rank} ORDER BY pos, url) AS q FROM
 loop(blog, archives, main, seen, had, requests, best, url, ended) AS (
   SELECT blog, [x.url FOR x IN q IF x.rank = 0], [x.url FOR x IN q IF x.rank = 1], [x.url FOR x IN q], len([x FOR x IN q IF x.rank = 0]) > 0, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, false FROM s
   UNION ALL
-  SELECT blog, archives, main, seen, had, requests, best, url, (had OR requests >= 6) AND len(archives) = 0 AND coalesce(best, 0) >= 15 FROM (
+  SELECT blog, archives, main, seen, had, requests, best, url, (had OR requests >= 6) AND len(archives) = 0 AND coalesce(best, 0) >= 9 FROM (
     SELECT blog, list_concat(rest_a, [x.url FOR x IN new IF x.rank = 0]) AS archives, list_concat(rest_m, [x.url FOR x IN new IF x.rank = 1]) AS main, list_concat(seen, [x.url FOR x IN new]) AS seen,
       had OR len([x FOR x IN new IF x.rank = 0]) > 0 AS had, requests + 1 AS requests, CASE WHEN n > coalesce(best, -1) THEN n ELSE best END AS best, CASE WHEN n > coalesce(best, -1) THEN page ELSE url END AS url
     FROM (SELECT t.*, k.n, [x FOR x IN coalesce(links, []) IF NOT list_contains(seen, x.url)] AS new FROM (
@@ -36,7 +36,7 @@ loop(blog, archives, main, seen, had, requests, best, url, ended) AS (
 def _graph(t):
     """(links, firsts, results): the graph, and the first three lines of some orders."""
     rank = F.when(F.col("p_size") <= 4, S.ARCHIVES).when(F.col("p_size") <= 20, S.MAIN).otherwise(S.OTHER)
-    parts = t.part.select(F.col("p_partkey").alias("url"), rank.alias("_rank"), F.when(F.col("p_type") == "ECONOMY", F.floor(F.col("p_size") / 2) + F.col("p_partkey") % 9).alias("n"))
+    parts = t.part.select(F.col("p_partkey").alias("url"), rank.alias("_rank"), F.when(F.col("p_size") % 3 != 0, F.floor(F.col("p_size") / 2) + F.col("p_partkey") % 9).alias("n"))
     blogs = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", F.col("c_nationkey").alias("blog")), "c_custkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     rows = t.lineitem.withColumns({"url": F.lead("l_partkey").over(order), "i": F.row_number().over(order)}).join(blogs, "l_orderkey")
@@ -50,10 +50,10 @@ def _graph(t):
 
 @R.add("x13_page_search", f"WITH RECURSIVE {GRAPH_SQL}, {LOOP_SQL} SELECT blog, url, best AS n, requests FROM loop QUALIFY row_number() OVER (PARTITION BY blog ORDER BY requests DESC) = 1")
 def page_search(t):
-    """Archives first, then main pages, until a page of 15 links is found; nations without archives ask for six pages at least."""
+    """Archives first, then main pages, until a page of 9 links is found; nations without archives ask for six pages at least."""
     links, firsts, results = _graph(t)
     starts = firsts.where("i = 1").groupBy("blog", "url", "rank").agg(F.struct(F.min("pos"), F.col("url")).alias("pos"))
-    return S.search_rounds(starts, links, results, enough=15, requests=6)
+    return S.search_rounds(starts, links, results, enough=9, requests=6)
 
 
 SETTLE_SQL = """c AS (SELECT o_custkey AS blog, o_orderkey AS candidate, floor(o_totalprice / 20000)::BIGINT AS n, o_orderstatus <> 'P' AS ok1, NOT (o_orderkey % 3 = 0) AS m1, greatest(0, floor(o_totalprice / 20000)::BIGINT - o_orderkey % 9) AS n1, o_orderpriority LIKE '1%' AS partial,
@@ -122,7 +122,7 @@ def in_phases(t):
     links, firsts, results = _graph(t)
     starts = firsts.groupBy("blog", F.col("i").alias("phase"), "url", "rank").agg(F.min("pos").alias("pos"))
     blogs = t.nation.select(F.col("n_nationkey").alias("blog"), (F.col("n_nationkey") % 5).alias("n_entries"), (F.col("n_nationkey") == 3).alias("ends_early"))
-    return S.search_in_phases(blogs, starts, links, results.where("n % 3 = 0"), enough=15, enough_in_phase=18, requests=6)
+    return S.search_in_phases(blogs, starts, links, results.where("n % 3 = 0"), enough=10, enough_in_phase=10, requests=6)
 
 
 CHAIN_SQL = """p AS (SELECT o_custkey AS blog, o_orderkey AS page, row_number() OVER w AS i, lead(o_orderkey) OVER w AS following, first_value(o_orderkey) OVER w AS first, o_orderstatus, o_orderpriority
