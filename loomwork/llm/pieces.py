@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-CACHE_PIECES = 400_000  #: pieces that a Python worker keeps in each of two generations
+CACHE_PIECES = 350_000  #: pieces that a Python worker keeps in each of two generations
 
 # White space, letters and digits up to U+00FF, and all white space.
 LATIN_SPACE, LETTER, DIGIT = "\\t-\\r \\x85\\xa0", "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
@@ -84,6 +84,7 @@ class _Known(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_PIECES:
+            self.old.clear()  # before the copy, so that there are never three generations
             self.old = dict(self)
             self.clear()
         ids = self[piece] = self.old.get(piece) or self.make(piece)
