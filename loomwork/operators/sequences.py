@@ -22,7 +22,7 @@ def bucketed(feed: DataFrame) -> DataFrame:
 
 
 def reversed_if_ascending(feed: DataFrame) -> DataFrame:
-    """Newest first: an ascending feed is turned, an unsorted one sorted (stable); a feed with missing times or fewer than two entries stays."""
+    """Newest first: an ascending feed is turned, one of equal times as well, an unsorted one sorted (stable); a feed with missing times or fewer than two entries stays."""
     w = Window.partitionBy("feed").orderBy("pos")
     before = F.lag("at").over(w)
     whole = Window.partitionBy("feed")
@@ -33,7 +33,7 @@ def reversed_if_ascending(feed: DataFrame) -> DataFrame:
         "_all_up": F.bool_and(F.coalesce("_up", F.lit(True))).over(whole),
         "_all_down": F.bool_and(F.coalesce("_down", F.lit(True))).over(whole),
     })
-    kept = ~F.col("_dated") | (F.col("_n") < 2) | F.col("_all_down")
+    kept = ~F.col("_dated") | (F.col("_n") < 2) | (F.col("_all_down") & ~F.col("_all_up"))
     seconds = F.unix_micros(F.col("at").cast("timestamp"))
     main = F.when(kept, F.lit(0)).when(F.col("_all_up"), F.lit(0)).otherwise(-seconds)
     then = F.when(kept, F.col("pos")).when(F.col("_all_up"), -F.col("pos")).otherwise(F.col("pos"))

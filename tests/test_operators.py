@@ -236,3 +236,11 @@ def test_accepted_results(spark):
     blogs = [(b, 1 if b in (5, 6) else 2, b == 4) for b in range(1, 9)]
     got = paging.accepted_results(spark.createDataFrame(rows, "blog int, phase int, n int"), spark.createDataFrame(blogs, "blog int, n_entries int, ends_early boolean"))
     assert sorted(map(tuple, got.collect())) == [(1, 1, 11), (2, 2, 12), (3, 1, 4), (4, 1, 4), (6, 1, 11), (7, 3, 2)]
+
+
+def test_feeds_of_equal_times_are_turned(spark):
+    a, b, c = (datetime(2020, 1, d) for d in (1, 2, 3))
+    feeds = {1: [a, a, a], 2: [a], 3: [a, a, b], 4: [b, a, a], 5: [a, c, b, c], 6: [a, None, a]}
+    rows = [(f, i, f"{f}{i}", t) for f, times in feeds.items() for i, t in enumerate(times)]
+    got = sequences.reversed_if_ascending(spark.createDataFrame(rows, "feed int, pos int, key string, at timestamp_ntz")).orderBy("feed", "pos").collect()
+    assert [r.key for r in got] == ["12", "11", "10", "20", "32", "31", "30", "40", "41", "42", "51", "53", "52", "50", "60", "61", "62"]
