@@ -24,3 +24,9 @@ def test_dates_in_texts_with_character_references(spark, tmp_path):
     rows = [(i, page.format(text)) for i, text in enumerate(texts)]
     got, want = both(spark, tmp_path, "d14_dates_in_order", pages=("page_id long, html string", rows))
     assert got == want and [r[3] for r in got] == [4, 3, 4, 4, 3, 3]
+
+
+def test_all_pairs_of_categories(spark, tmp_path):
+    rows = [(k, k % 4) for k in range(1, 30)]
+    got, want = both(spark, tmp_path, "j19_cover_pairs", supplier=("s_suppkey long, s_nationkey int", rows))
+    assert got == want and [r[:2] for r in got] == [(1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)]
