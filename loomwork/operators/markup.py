@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import equalized_title
-from loomwork.sources.storage import staged
+from loomwork.sources.storage import staged_wide
 
 #: Up to so many links so many may have another title; of more links three.
 TOLERANCES, MOST_TOLERANCE = ((8, 0), (52, 2)), 3
@@ -36,17 +36,17 @@ def title_paths(links: DataFrame, elements: DataFrame, titles: DataFrame, distan
     order of the links, at which at most so many have another title; `neighbor`: all paths to elements beside the link under the same post at which no link has another title (it may have no such
     element). A link without a title in the feed has another one. Titles are compared as `equalized_title` makes them. Groups without any of these have no row.
     """
-    named = staged(elements.select("page_id", F.col("pos").alias("_at"), F.col("xpath").alias("_xpath"), equalized_title(F.col("text")).alias("_title")), "elements")
+    named = staged_wide(elements.select("page_id", F.col("pos").alias("_at"), F.col("xpath").alias("_xpath"), equalized_title(F.col("text")).alias("_title")), "elements")
     own = named.select("page_id", F.col("_xpath").alias("xpath"), F.col("_title").alias("_own"))
     feed = titles.groupBy("key").agg(F.min(equalized_title(F.col("title"))).alias("_feed"))
     rows = links.join(own, ["page_id", "xpath"], "left").join(feed, "key", "left")
-    rows = staged(rows.select("group", "page_id", "pos", "key", "xpath", "_own", "_feed", parent_path(F.col("xpath"), distance).alias("_top")), "links")
+    rows = staged_wide(rows.select("group", "page_id", "pos", "key", "xpath", "_own", "_feed", parent_path(F.col("xpath"), distance).alias("_top")), "links")
 
     other = lambda a: F.coalesce(F.col(a) != F.col("_feed"), F.lit(True))
     keys = rows.groupBy("group", "key").agg(F.bool_or(other("_own")).alias("_a"), F.bool_or(~F.coalesce(F.contains("_own", "_feed"), F.lit(False))).alias("_b"))
     counts = keys.groupBy("group").agg(tolerated(F.count("*")).alias("_most"), F.count_if("_a").alias("_self"), F.count_if("_b").alias("_child"))
     sizes = rows.groupBy("group").agg(F.count("*").alias("_links"))
-    counts = staged(counts.join(sizes, "group"), "counts")
+    counts = staged_wide(counts.join(sizes, "group"), "counts")
     by_self = counts.where("_self <= _most").select("group", F.lit("self").alias("kind"), F.lit(0).alias("rank"), F.lit("").alias("path"))
 
     def first_paths(base: str, skip: Column) -> DataFrame:
@@ -62,12 +62,12 @@ def title_paths(links: DataFrame, elements: DataFrame, titles: DataFrame, distan
         at = rows.join(paths, "group").withColumn("_xpath", F.concat(base, "path"))
         return at.join(named.select("page_id", "_xpath", "_title", F.lit(True).alias("_there")), ["page_id", "_xpath"], "left")
 
-    rest = counts.join(by_self.select("group"), "group", "left_anti")
+    rest = counts.join(by_self.select("group"), "group", "left_anti").hint("merge")
     inner = first_paths("xpath", F.lit(False)).join(rest.where("_child <= _most").select("group", "_most"), "group")
     tried = with_elements(inner, "xpath").groupBy("group", "path", "place", "_most").agg(F.count_if(other("_title")).alias("_misses")).where("_misses <= _most")
-    by_child = staged(tried.groupBy("group").agg(F.min(F.struct("place", "path")).alias("f")).select("group", F.lit("child").alias("kind"), F.lit(0).alias("rank"), "f.path"), "children")
+    by_child = staged_wide(tried.groupBy("group").agg(F.min(F.struct("place", "path")).alias("f")).select("group", F.lit("child").alias("kind"), F.lit(0).alias("rank"), "f.path"), "children")
 
-    left = rest.join(by_child.select("group"), "group", "left_anti").select("group")
+    left = rest.join(by_child.select("group"), "group", "left_anti").select("group").hint("merge")
     # with one step to the post, the link itself is not its neighbour
     itself = (F.col("_xpath") == F.col("xpath")) | F.startswith("_xpath", F.concat("xpath", F.lit("/"))) if distance == 1 else F.lit(False)
     beside = first_paths("_top", itself).join(left, "group")

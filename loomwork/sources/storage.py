@@ -44,6 +44,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def staged_wide(df: DataFrame, name: str) -> DataFrame:
+    """staged, for rows that take many times their file's size in memory (paths, texts): Spark would broadcast them by the size of the file, so their joins are merge joins."""
+    return staged(df, name).hint("merge")
+
+
 def dropped(*frames: DataFrame) -> None:
     """Remove staged tables that nothing reads any more."""
     for df in frames:

@@ -75,3 +75,14 @@ def test_elements_and_dates_in_order(spark):
     texts = {r.xpath: r.text for r in html_pages.read_elements(pages).collect()}
     assert texts["/html[1]/body[1]/p[1]"] == "On May 3, 2020 it\nwas" and texts["/html[1]/body[1]/p[1]/text()[2]"] == " it" and texts["/html[1]/body[1]/p[1]/br[1]"] == ""
     assert {r.page_id for r in html_pages.read_elements(pages).collect()} == {1}
+
+
+def test_paths_are_not_broadcast_by_the_size_of_their_file(spark):
+    def broadcasts(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+    pages = spark.createDataFrame([(g, page([(f"{g}k", "read on", f"<h2>title {g}</h2>")])) for g in range(5)], "page_id long, html string")
+    links = html_pages.read_links(pages).selectExpr("page_id AS group", "page_id", "pos", "substring(href, 2) AS key", "xpath")
+    titles = spark.createDataFrame([(f"{g}k", f"title {g}") for g in range(5)], "key string, title string")
+    found = M.title_paths(links, html_pages.read_elements(pages), titles, 1)
+    assert broadcasts(found) == 0 and sorted((r.group, r.kind, r.path) for r in found.collect()) == [(g, "neighbor", "/../h2[1]") for g in range(5)]
