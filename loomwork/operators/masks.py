@@ -37,11 +37,12 @@ def masks(parts: Column, stars: int) -> Column:
 def mask_groups(links: DataFrame, feed: DataFrame, stars: int = 1) -> DataFrame:
     """(page, mask, n_links, n_feed): groups of links under one mask.
 
-    Only masks of links to entries of the feed (page, url) are tried; a group needs two distinct urls. Links are
-    exploded once, and groups come from a grouped count with partial aggregates.
+    Only masks of links to entries of the feed (page, url) are tried; a group needs two distinct urls. A page's entries of the feed
+    are an array beside its links, so everything goes by page: inputs that are dealt by page are not shuffled again, and no mask is.
     """
-    flagged = links.join(feed.select("page", "url").distinct().withColumn("in_feed", F.lit(1)), ["page", "url"], "left")
-    rows = flagged.select("page", "url", F.coalesce("in_feed", F.lit(0)).alias("in_feed"), F.explode(masks(segments(F.col("xpath")), stars)).alias("mask"))
+    known = feed.groupBy("page").agg(F.collect_set("url").alias("_feed"))
+    flagged = links.join(known, "page").withColumn("in_feed", F.coalesce(F.array_contains("_feed", F.col("url")), F.lit(False)).cast("int"))
+    rows = flagged.select("page", "url", "in_feed", F.explode(masks(segments(F.col("xpath")), stars)).alias("mask"))
     urls = rows.groupBy("page", "mask", "url").agg(F.max("in_feed").alias("in_feed"))
     groups = urls.groupBy("page", "mask").agg(F.count("*").alias("n_links"), F.sum("in_feed").alias("n_feed"))
     return groups.where("n_links > 1 AND n_feed > 0")

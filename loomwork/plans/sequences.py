@@ -19,7 +19,7 @@ b AS (SELECT *, dense_rank() OVER (PARTITION BY feed ORDER BY tm DESC) - 1 AS bu
 
 def feed(t):
     month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz")
-    rows = t.orders.select(F.col("o_custkey").alias("feed"), F.col("o_orderkey").alias("key"), month.alias("at"))
+    rows = t.dealt("orders", "o_custkey").select(F.col("o_custkey").alias("feed"), F.col("o_orderkey").alias("key"), month.alias("at"))
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("at"), "key")) - 1)
 
 
@@ -123,8 +123,9 @@ f AS (SELECT l_orderkey AS page, min(l_partkey) AS url FROM lineitem GROUP BY 1)
 def _links(t):
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber"))
     path = F.format_string("/html[1]/body[1]/div[%d]/a[%d]", F.col("l_linenumber") % 2 + 1, n)
-    links = t.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("url"), path.alias("xpath"))
-    return links, t.lineitem.groupBy(F.col("l_orderkey").alias("page")).agg(F.min("l_partkey").alias("url"))
+    lines = t.dealt("lineitem", "l_orderkey")
+    links = lines.select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("url"), path.alias("xpath"))
+    return links, lines.groupBy(F.col("l_orderkey").alias("page")).agg(F.min("l_partkey").alias("url"))
 
 
 MASK1_SQL = f"""{LINKS_SQL}, m AS (SELECT page, url, unnest([regexp_replace(xpath, '^/html\\[1\\]', '/html[*]'), regexp_replace(xpath, '/body\\[1\\]', '/body[*]'),

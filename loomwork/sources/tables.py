@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table that `dealt` gives to one task.
+ROWS_A_TASK = 100_000
+
 
 class Tables:
     """`Tables(spark, folder).orders` reads `folder/orders.parquet`; nothing is read before it is used."""
@@ -17,6 +20,14 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def parts(self, name: str) -> int:
+        """How many tasks a table's rows are for: the files' own counts, so that a task's memory doesn't grow with the table."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-getattr(self, name).count() // ROWS_A_TASK))
+
+    def dealt(self, name: str, key: str, by: str | None = None) -> DataFrame:
+        """The table shuffled by a key into as many partitions as it, or the table `by`, has rows for: joins, windows and groups by that key need no other shuffle, and tables dealt by one table meet without one."""
+        return getattr(self, name).repartition(self.parts(by or name), key)
+
     def links(self) -> DataFrame:
         """Mentions of items: (link_id, root, url, author, channel, ts) from line items, their orders and parts.
 

@@ -1,6 +1,7 @@
 """Registered queries on small tables of their own, against their SQL."""
 
 import duckdb
+import pytest
 
 from loomwork.plans import REGISTRIES
 
@@ -30,3 +31,15 @@ def test_all_pairs_of_categories(spark, tmp_path):
     rows = [(k, k % 4) for k in range(1, 30)]
     got, want = both(spark, tmp_path, "j19_cover_pairs", supplier=("s_suppkey long, s_nationkey int", rows))
     assert got == want and [r[:2] for r in got] == [(1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)]
+
+
+def own_shuffles(spark, name):
+    """The shuffles that Spark adds to a query by itself, into its own number of partitions."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ENSURE_REQUIREMENTS" in line]
+
+
+@pytest.mark.parametrize("name", ["x01_mask_groups", "x01_two_star_groups", "x03_ranked_groups"])
+def test_masks_stay_in_tasks_as_many_as_the_lines_ask_for(spark, monkeypatch, name):
+    monkeypatch.setattr("loomwork.sources.tables.ROWS_A_TASK", 100)
+    assert own_shuffles(spark, name) == [] and QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
