@@ -211,9 +211,13 @@ w0 AS (SELECT * REPLACE (CASE WHEN t0 IS NOT NULL THEN nf + 1 ELSE least END AS
 def unordered(t):
     """A customer's (or several customers') line items as a page: what was returned is the feed, and three selections are its lists."""
     page = F.when(F.col("o_custkey") < 750, F.col("o_custkey")).otherwise(100000 + F.col("o_custkey") % 100)
-    rows = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), page.alias("page")), "l_orderkey").select("page", F.col("l_partkey").alias("key"), "l_returnflag", "l_quantity", "l_discount")
-    one = lambda k, where: rows.where(where).select("page", F.lit(k).alias("stars"), F.lit(k).cast("long").alias("list"), F.lit(0).alias("pos"), "key")
-    lists = one(1, "l_returnflag = 'R' AND l_quantity <= 47").unionByName(one(2, "l_discount > 0.005")).unionByName(one(3, "l_returnflag <> 'A' OR l_quantity > 3"))
+    orders = t.dealt("orders", "o_orderkey", by="lineitem").select(F.col("o_orderkey").alias("l_orderkey"), page.alias("page"))
+    rows = t.dealt("lineitem", "l_orderkey").join(orders, "l_orderkey").select("page", F.col("l_partkey").alias("key"), "l_returnflag", "l_quantity", "l_discount")
+    # a page's links meet by page and key, as a page may hold a large part of them
+    rows = rows.repartition(t.parts("lineitem"), "page", "key")
+    one = lambda k, where: F.when(F.expr(where), F.lit(k))
+    stars = F.array_compact(F.array(one(1, "l_returnflag = 'R' AND l_quantity <= 47"), one(2, "l_discount > 0.005"), one(3, "l_returnflag <> 'A' OR l_quantity > 3")))
+    lists = rows.select("page", F.explode(stars).alias("stars"), "key").select("page", "stars", F.col("stars").cast("long").alias("list"), F.lit(0).alias("pos"), "key")
     pages = rows.select("page").distinct()
     known = pages.where("page % 7 = 0").select("page", (5 + F.col("page") % 40).alias("n"), (F.col("page") % 14 == 0).alias("dated"))
     found = A.unordered_matches(lists, rows.where("l_returnflag = 'R'").select("page", "key"), rows.select("page", "key"), known, X.archives_threshold)

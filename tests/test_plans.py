@@ -43,3 +43,8 @@ def own_shuffles(spark, name):
 def test_masks_stay_in_tasks_as_many_as_the_lines_ask_for(spark, monkeypatch, name):
     monkeypatch.setattr("loomwork.sources.tables.ROWS_A_TASK", 100)
     assert own_shuffles(spark, name) == [] and QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_links_of_large_pages_meet_in_tasks_as_many_as_the_lines_ask_for(spark):
+    plan = QUERIES["x10_unordered_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(page" in line and ", key" in line and "ENSURE_REQUIREMENTS" in line]
