@@ -128,16 +128,15 @@ def extraction_records(links: DataFrame, dated: DataFrame, feed: DataFrame, thre
     """
     order = Window.partitionBy("list").orderBy("pos")
     runs = links.withColumn("_before", F.lag(F.struct("key")).over(order)).where(F.col("_before").isNull() | ~F.col("_before.key").eqNullSafe(F.col("key"))).drop("_before")
-    entries = feed.select("list", "key").distinct().withColumn("_in", F.lit(True))
-    sizes = entries.groupBy("list").agg(F.count("*").alias("_feed"))
-    rows = runs.join(entries, ["list", "key"], "left")
-    met = rows.where("_in").select("list", "key").distinct().groupBy("list").agg(F.count("*").alias("_met"))
-    facts = rows.groupBy("list").agg(F.count("*").alias("n_links"), F.bool_and(F.col("day").isNotNull()).alias("_whole")).join(sizes, "list", "left").join(met, "list", "left")
-    facts = facts.join(dated.select("list").distinct().withColumn("_dated", F.lit(True)), "list", "left").fillna(0, ["_feed", "_met"]).fillna(False, ["_dated"])
+    # a feed's entries are an array beside its list, so everything goes by list: inputs that are dealt by list are not shuffled again
+    entries = feed.groupBy("list").agg(F.collect_set("key").alias("_entries"), F.bool_or(F.col("key").isNull()).cast("int").alias("_null"))
+    of = runs.groupBy("list").agg(F.count("*").alias("n_links"), F.bool_and(F.col("day").isNotNull()).alias("_whole"), F.collect_set("key").alias("_keys"))
+    facts = of.join(entries, "list", "left").join(dated.select("list").distinct().withColumn("_dated", F.lit(True)), "list", "left")
+    facts = facts.withColumns({"_feed": F.size("_entries") + F.col("_null"), "_met": F.size(F.array_intersect("_keys", "_entries"))}).fillna(0, ["_feed", "_met"]).fillna(False, ["_dated"])
     enough = threshold(F.col("_feed"))
     filtered = F.col("_dated") & (F.col("_met") > enough)
     facts = facts.select("list", "n_links", filtered.alias("_filtered"), F.when(filtered | (F.col("_dated") & F.col("_whole")), F.when(F.col("_met") == F.col("_feed"), "all").when(F.col("_met") >= enough, "almost").otherwise("some")).alias("dates"))
-    kept = rows.join(facts, "list").where(~F.col("_filtered") | F.col("day").isNotNull())
+    kept = runs.join(facts, "list").where(~F.col("_filtered") | F.col("day").isNotNull())
     kept = kept.withColumns({"_last": F.lag("day").over(order), "_nth": F.row_number().over(Window.partitionBy("list", "key").orderBy("pos"))})
     asked = F.col("dates").isNotNull() & (F.col("stars") >= 2)
     holds = lambda c: F.bool_and(F.when(asked, F.coalesce(c, F.lit(True))))

@@ -241,10 +241,11 @@ SELECT list, n_links, coalesce(n_kept, 0) AS n_kept, coalesce(has_duplicates, fa
 def extractions(t):
     """Orders as lists: parts in few classes, so that links repeat, with dates beside some; lines of large quantities are the feed."""
     place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = t.lineitem.withColumn("pos", F.row_number().over(place)).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", "o_orderpriority"), "l_orderkey")
+    lines, orders = t.dealt("lineitem", "l_orderkey"), t.dealt("orders", "o_orderkey", by="lineitem")
+    rows = lines.withColumn("pos", F.row_number().over(place)).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     key = F.col("l_orderkey")
     day = F.when((F.col("l_returnflag") != "R") | (key % 2 == 0), F.when(key % 5 == 0, F.col("o_orderdate")).otherwise(F.col("l_shipdate")))
     links = rows.select(key.alias("list"), (key % 3 + 1).cast("int").alias("stars"), "pos", (F.col("l_partkey") % 6).alias("key"), day.alias("day"), F.when(F.col("l_linestatus") == "O", F.col("l_shipdate")).alias("url_day"))
-    dated = t.orders.where("o_orderpriority NOT LIKE '5%'").select(F.col("o_orderkey").alias("list"))
-    feed = rows.where("l_quantity > 25").select(key.alias("list"), (F.col("l_partkey") % 6).alias("key"))
+    dated = orders.where("o_orderpriority NOT LIKE '5%'").select(F.col("o_orderkey").alias("list"))
+    feed = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").where("l_quantity > 25").select(key.alias("list"), (F.col("l_partkey") % 6).alias("key"))
     return C.extraction_records(links, dated, feed, X.archives_threshold)

@@ -48,3 +48,7 @@ def test_masks_stay_in_tasks_as_many_as_the_lines_ask_for(spark, monkeypatch, na
 def test_links_of_large_pages_meet_in_tasks_as_many_as_the_lines_ask_for(spark):
     plan = QUERIES["x10_unordered_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(page" in line and ", key" in line and "ENSURE_REQUIREMENTS" in line]
+
+
+def test_extraction_records_stay_in_tasks_as_many_as_the_lines_ask_for(spark):
+    assert own_shuffles(spark, "x05_extraction_records") == []
