@@ -86,22 +86,16 @@ def suffix_match(feed: DataFrame, listed: DataFrame) -> DataFrame:
     """(feed, prefix_length, suffix_length): the feed's end that the list begins with; no row without a match.
 
     The list's first key marks where the suffix begins: it may begin anywhere in that key's bucket, if the entries of the
-    bucket that come before it aren't in the list.
+    bucket that come before it aren't in the list. Feeds and lists are gathered by feed, once each, as in feed_diff.
     """
-    places = bucketed(feed)
-    first = listed.where("pos = 0").select("feed", "key")
-    start = places.join(first, ["feed", "key"], "left_semi").groupBy("feed").agg(F.min("bucket").alias("start"))
-    rows = places.join(start, "feed").withColumn("_after", F.col("bucket") > F.col("start"))
-    in_list = listed.select("feed", "key").distinct().withColumn("_in", F.lit(True))
-    rows = rows.join(in_list, ["feed", "key"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    kept = rows.where(F.col("_after") | ((F.col("bucket") == F.col("start")) & F.col("_in")))
-    counts = rows.groupBy("feed").agg(F.count("*").alias("n"))
-    suffix = kept.withColumn("pos", F.row_number().over(Window.partitionBy("feed").orderBy("bucket", "pos")) - 1)
-    sizes = suffix.groupBy("feed").agg(F.count("*").alias("suffix_length"))
-    # the suffix keeps its buckets through its times; undated feeds have one entry per bucket anyway
-    ok = sequence_matches(suffix.select("feed", "pos", "key", "at"), listed.join(sizes.select("feed"), "feed", "left_semi")).where("matches")
-    lengths = listed.groupBy("feed").agg(F.count("*").alias("listed"))
-    out = counts.join(sizes, "feed").join(ok.select("feed"), "feed", "left_semi").join(lengths, "feed").where("listed >= suffix_length")
+    seen, known = _listed(feed, "seen", "pos", "key", "at"), _listed(listed, "known", "pos", "key")
+
+    def length(keys: Column) -> Column:  # a null key is no entry of a list
+        fits = lambda s: F.when(laid(s, keys) & ~F.exists(s, lambda e: e["key"].isNull()), F.array(F.size(s).cast("long")))
+        return let(_suffix(F.col("seen"), keys), fits)
+
+    found = let(F.transform("known", lambda e: e["key"]), length)
+    out = seen.join(known, "feed").select("feed", F.size("seen").alias("n"), F.explode(found).alias("suffix_length"))
     return out.select("feed", (F.col("n") - F.col("suffix_length")).alias("prefix_length"), "suffix_length")
 
 

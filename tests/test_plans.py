@@ -52,3 +52,7 @@ def test_links_of_large_pages_meet_in_tasks_as_many_as_the_lines_ask_for(spark):
 
 def test_extraction_records_stay_in_tasks_as_many_as_the_lines_ask_for(spark):
     assert own_shuffles(spark, "x05_extraction_records") == []
+
+
+def test_suffixes_stay_in_tasks_as_many_as_the_orders_ask_for(spark):
+    assert own_shuffles(spark, "e06_suffix_match") == []
