@@ -89,7 +89,8 @@ f AS (SELECT candidate, min(i) AS bad FROM c WHERE NOT sorts GROUP BY 1) SELECT
 )
 def shuffled(t):
     """Lists of growing length, line items of an order by quantity; the last that can be sorted before the first that can't."""
-    rows = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    orders = t.dealt("orders", "o_orderkey", by="lineitem").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    rows = t.dealt("lineitem", "l_orderkey").join(orders, "l_orderkey")
     ok = F.col("l_shipdate") > F.col("o_orderdate") + F.expr("INTERVAL 15 DAY")
     found = S.last_before_failure(rows, ["l_orderkey"], ["l_quantity", "l_partkey", "l_suppkey"], ok)
     return found.select(F.col("l_orderkey").alias("candidate"), F.col("l_quantity").alias("n"))

@@ -56,3 +56,7 @@ def test_extraction_records_stay_in_tasks_as_many_as_the_lines_ask_for(spark):
 
 def test_suffixes_stay_in_tasks_as_many_as_the_orders_ask_for(spark):
     assert own_shuffles(spark, "e06_suffix_match") == []
+
+
+def test_growing_lists_stay_in_tasks_as_many_as_the_lines_ask_for(spark):
+    assert own_shuffles(spark, "x21_shuffled_lists") == []
