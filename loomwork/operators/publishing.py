@@ -41,6 +41,12 @@ def marked_published(posts: DataFrame, due: DataFrame, now: Column) -> DataFrame
     return out.withColumn("published_at", F.when(F.col("_due"), now).otherwise(F.col("published_at"))).drop("_due")
 
 
+def item_guid() -> Column:
+    """The guid of an item (sub_id, kind, post_id)."""
+    suffix = F.when(F.col("kind") == "final", F.lit("-final")).when(F.col("kind") == "welcome", F.lit("-welcome")).otherwise(F.lit(""))
+    return X.guid(F.concat(F.coalesce(F.col("post_id"), F.col("sub_id")).cast("string"), suffix))
+
+
 def subscription_feed(subscriptions: DataFrame, posts: DataFrame, due: DataFrame, now: Column, most: int = FEED_ITEMS) -> DataFrame:
     """(sub_id, user_id, position, kind, post_id, published_at, guid), newest first from position 0.
 
@@ -65,22 +71,21 @@ def subscription_feed(subscriptions: DataFrame, posts: DataFrame, due: DataFrame
     around = F.array_compact(F.array(F.when(F.col("_final"), item(2**40, "final", now)), F.when(fits, item(-1, "welcome", F.col("set_up_at")))))
     items = shown.unionByName(ends.select("sub_id", "user_id", "set_up_at", F.explode(around).alias("i")).select("sub_id", "user_id", "set_up_at", "i.*"))
     place = F.row_number().over(Window.partitionBy("sub_id").orderBy(F.desc("index"))) - 1
-    suffix = F.when(F.col("kind") == "final", F.lit("-final")).when(F.col("kind") == "welcome", F.lit("-welcome")).otherwise(F.lit(""))
-    id_ = F.coalesce(F.col("post_id"), F.col("sub_id")).cast("string")
     return items.withColumn("position", place).select(
-        "sub_id", "user_id", "position", "kind", "post_id", F.col("at").alias("published_at"), X.guid(F.concat(id_, suffix)).alias("guid"), "set_up_at"
+        "sub_id", "user_id", "position", "kind", "post_id", F.col("at").alias("published_at"), item_guid().alias("guid"), "set_up_at"
     )
 
 
 def user_feed(feeds: DataFrame, most: int = FEED_ITEMS) -> DataFrame:
     """(user_id, position, sub_id, kind, post_id, published_at, guid): all feeds of a user merged, latest day first.
 
-    Of equal times the subscription set up last comes first, then the feed's own order.
+    Of equal times the subscription set up last comes first, then the feed's own order. Guids, longer than all else and not to be compressed, are made after
+    the shuffle by user.
     """
     order = [F.desc("published_at"), F.desc("set_up_at"), F.desc("sub_id"), F.asc("position")]
     w = Window.partitionBy("user_id").orderBy(*order)
-    rows = feeds.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
-    return rows.select("user_id", (F.col("_n") - 1).alias("position"), "sub_id", "kind", "post_id", "published_at", "guid")
+    rows = feeds.drop("guid").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return rows.select("user_id", (F.col("_n") - 1).alias("position"), "sub_id", "kind", "post_id", "published_at", item_guid().alias("guid"))
 
 
 def schedule_preview(posts: DataFrame, last: int = 2, ahead: int = 5) -> DataFrame:

@@ -60,3 +60,9 @@ def test_suffixes_stay_in_tasks_as_many_as_the_orders_ask_for(spark):
 
 def test_growing_lists_stay_in_tasks_as_many_as_the_lines_ask_for(spark):
     assert own_shuffles(spark, "x21_shuffled_lists") == []
+
+
+def test_guids_are_made_after_the_shuffle_by_user(spark):
+    plan = QUERIES["g04_user_feed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("Exchange hashpartitioning(user_id")
+    assert "sha2" in above and "sha2" not in below and below
