@@ -61,8 +61,7 @@ CASE k WHEN 'rss' THEN 'tumblr' WHEN 'rdf' THEN 'other' ELSE 'blogger' END AS ge
 def heads(t):
     out = None
     for kind in ("rss", "rdf", "atom"):
-        docs = _feed_documents(t, kind)
-        part = feeds.read_feeds(docs).select("doc_id", "kind", "title", "root_link", "generator").join(docs.select("doc_id", feeds.sniffed_kind(F.col("content")).alias("sniffed")), "doc_id")
+        part = feeds.read_heads(_feed_documents(t, kind)).drop("error")
         out = part if out is None else out.unionByName(part)
     return out
 

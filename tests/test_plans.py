@@ -66,3 +66,8 @@ def test_guids_are_made_after_the_shuffle_by_user(spark):
     plan = QUERIES["g04_user_feed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     above, _, below = plan.partition("Exchange hashpartitioning(user_id")
     assert "sha2" in above and "sha2" not in below and below
+
+
+def test_a_document_is_made_once_for_its_head(spark):
+    plan = QUERIES["d01_feed_heads"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 3 and "Join" not in plan
