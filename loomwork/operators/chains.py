@@ -59,11 +59,17 @@ def stitched(firsts: DataFrame, nexts: DataFrame, entries: DataFrame, feed: Data
     pages don't begin with the feed; else `whole`. A chain of one page is `single`. n_pages and n_links are of the chain as far as it goes.
     """
     numbers, ends = page_chains(firsts, nexts, entries.select("blog", "page").distinct(), most_links)
-    rows = staged(entries.join(numbers, ["blog", "page"]).select("blog", "number", "pos", "key"), "entries")
-    sizes = rows.groupBy("blog").agg(F.count("*").alias("n_links"))
-    second = rows.where("number = 2").select("blog", "key").distinct()
-    overlap = rows.where("number = 1").select("blog", "key").distinct().join(second, ["blog", "key"], "left_semi").select("blog").distinct().withColumn("_overlap", F.lit(True))
-    laid = rows.select(F.col("blog").alias("feed"), (F.row_number().over(Window.partitionBy("blog").orderBy("number", "pos")) - 1).alias("pos"), "key")
+    feed = staged(feed, "feed")
+    rows = entries.join(numbers, ["blog", "page"]).select("blog", "number", "pos", "key")
+    # what is asked of single links is asked of the first two pages and of as many links as the feed has; all others are counted and stay behind
+    own = Window.partitionBy("blog")
+    placed = rows.withColumns({"place": F.row_number().over(own.orderBy("number", "pos")) - 1, "n_links": F.count("*").over(own)})
+    placed = placed.join(feed.groupBy(F.col("feed").alias("blog")).agg(F.count("*").alias("_feed")), "blog", "left")
+    front = staged(placed.where((F.col("number") <= 2) | (F.col("place") < F.col("_feed"))).select("blog", "number", "place", "key", "n_links"), "entries")
+    sizes = front.groupBy("blog").agg(F.max("n_links").alias("n_links"))
+    both = front.where("number <= 2 AND key IS NOT NULL").groupBy("blog", "key").agg((F.min("number") < F.max("number")).alias("_both"))
+    overlap = both.where("_both").select("blog").distinct().withColumn("_overlap", F.lit(True))
+    laid = front.select(F.col("blog").alias("feed"), F.col("place").alias("pos"), "key")
     fits = Q.sequence_matches(feed, laid).select(F.col("feed").alias("blog"), "matches")
     found = ends.join(sizes, "blog").join(overlap, "blog", "left").join(fits, "blog", "left")
     outcome = (

@@ -154,8 +154,8 @@ def stitched_pages(t):
     own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     p = t.orders.select(F.col("o_custkey").alias("blog"), F.col("o_orderkey").alias("page"), F.row_number().over(own).alias("i"), F.lead("o_orderkey").over(own).alias("following"), F.first("o_orderkey").over(own).alias("first"), "o_orderstatus", "o_orderpriority")
     place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = t.lineitem.select(F.col("l_orderkey").alias("page"), F.row_number().over(place).alias("pos"), F.col("l_partkey").alias("key"))
-    entries = lines.join(t.orders.select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("blog")), "page")
+    lines = t.dealt("lineitem", "l_orderkey").select(F.col("l_orderkey").alias("page"), F.row_number().over(place).alias("pos"), F.col("l_partkey").alias("key"))
+    entries = lines.join(t.dealt("orders", "o_orderkey", by="lineitem").select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("blog")), "page")
     on = p.where("following IS NOT NULL")
     back = F.when(F.col("o_orderpriority").startswith("5") & (F.col("i") > 4), F.col("first")).otherwise(F.col("following"))
     lost = on.where(F.col("o_orderpriority").startswith("1") & (F.col("o_orderstatus") == "F") & (F.col("i") > 2)).select("blog", "page", (F.col("first") - 1).alias("target"))

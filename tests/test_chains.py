@@ -66,3 +66,19 @@ def test_stitched(spark):
         spark.createDataFrame(entries, "blog int, page int, pos int, key int"), spark.createDataFrame(feed, "feed int, pos int, key int, at timestamp"),
     )
     assert sorted(map(tuple, got.collect())) == [(0, "whole", 3, 9), (1, "overlap", 3, 10), (2, "not_feed", 3, 9), (3, "too_long", 3, 9), (4, "single", 1, 3), (5, "ambiguous", 1, 3)]
+
+
+def test_links_behind_the_front_are_only_counted(spark, monkeypatch):
+    kept = {}
+
+    def spied(df, name, staged=C.staged):
+        kept[name] = staged(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(C, "staged", spied)
+    frame = spark.createDataFrame
+    entries = frame([(1, p, i, p * 10 + i) for p in range(1, 7) for i in range(4)], "blog long, page long, pos int, key long")
+    nexts = frame([(1, p, p + 1) for p in range(1, 6)], "blog long, page long, target long")
+    feed = frame([(1, i, 10 + i, None) for i in range(3)], "feed long, pos int, key long, at timestamp")
+    got = C.stitched(frame([(1, 1)], "blog long, page long"), nexts, entries, feed).collect()
+    assert [tuple(r) for r in got] == [(1, "whole", 6, 24)] and kept["entries"].count() == 8
